@@ -175,7 +175,7 @@ _SPACES = r"[\s\p{Z}\x{85}]"
 _MAILS = rf"""
 WITH found AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_EMAIL}', 1)) AS email FROM documents),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, email) AS k FROM found),
-placed AS (SELECT doc_id, text, email, length(array_to_string(string_split(text, email)[1:k], email)) AS s FROM numbered)
+placed AS (SELECT doc_id, text, email, CAST(list_sum(list_transform(string_split(text, email)[1:k], lambda x: length(x))) + (k - 1) * length(email) AS INTEGER) AS s FROM numbered)
 """
 ORACLES = {
     "search_hits": _HITS.format(hay="lower(text)", needle=NEEDLE, n=len(NEEDLE)),
@@ -214,7 +214,7 @@ FROM conversations c
     "match_interval_merge": rf"""{_MAILS}, keys AS (SELECT doc_id, text, word, row_number() OVER (PARTITION BY doc_id, word) AS k FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '[a-z]+@[a-z]+')) AS word FROM documents)),
 spans AS (
   SELECT doc_id, 'email' AS kind, s AS start, s + length(email) AS stop FROM placed
-  UNION ALL SELECT doc_id, 'keyword', length(array_to_string(string_split(text, word)[1:k], word)), length(array_to_string(string_split(text, word)[1:k], word)) + length(word) FROM keys
+  UNION ALL SELECT doc_id, 'keyword', CAST(list_sum(list_transform(string_split(text, word)[1:k], lambda x: length(x))) + (k - 1) * length(word) AS INTEGER), CAST(list_sum(list_transform(string_split(text, word)[1:k], lambda x: length(x))) + (k - 1) * length(word) AS INTEGER) + length(word) FROM keys
 ), groups AS (
   SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, kind DESC ROWS UNBOUNDED PRECEDING) AS g FROM (
     SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM spans)
