@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\u0085   -     　]"
 NOT_SPACE = r"[^\s\u0085   -     　]"
 WORD_CHARACTER = r"[\p{IsAlphabetic}\p{N}_]"
-CONTEXT = 40
-MATCH = "array<struct<start:int,length:int,text:string>>"
+CONTEXT, BLOCK = 40, 64
 
 
 def fold(text: Column) -> Column:
@@ -31,18 +31,36 @@ def keyword(words: str) -> str:
     return rf"{SPACE}+".join(literal(w) for w in words.split())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, n: a + n)
+
+
+def running(numbers: Column) -> Column:
+    """The sum of all numbers before each one: of whole blocks, then inside the block."""
+    blocks = lambda n: F.transform(F.sequence(F.lit(0), (F.size(n) / BLOCK).cast("int")), lambda k: _sum(F.slice(n, k * BLOCK + 1, BLOCK)))
+    before = lambda s: F.transform(s, lambda _, k: _sum(F.slice(s, 1, k)))
+    inside = lambda n, z: F.transform(n, lambda _, k: F.get(z, (k / BLOCK).cast("int")) + _sum(F.slice(n, (k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK)))
+    return let(numbers, lambda n: let(blocks(n), lambda s: let(before(s), lambda z: inside(n, z))))
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
     """All matches of a pattern, left to right, none overlapping: start, length and text of each.
 
     What stands between matches comes from a split, the matches themselves from an extraction; starts are running sums."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("found"))
-    step = lambda a, p: F.struct(
-        (a["at"] + F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"),
-        F.when(p["hit"].isNull(), a["found"]).otherwise(F.array_append(a["found"], F.struct((a["at"] + F.length(p["gap"])).alias("start"), F.length(p["hit"]).alias("length"), p["hit"].alias("text")))).alias("found"),
-    )
-    return F.aggregate(pairs, begin, step, lambda a: a["found"])
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+
+    def place(hits: Column, lengths: Column) -> Column:
+        steps = F.zip_with(lengths, F.transform(hits, lambda h: F.length(h)), lambda g, h: g + F.coalesce(h, F.lit(0)))
+        starts = F.zip_with(running(steps), lengths, lambda s, g: s + g)
+        return F.zip_with(hits, F.slice(starts, 1, F.size(hits)), lambda h, s: F.struct(s.alias("start"), F.length(h).alias("length"), h.alias("text")))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: let(gaps, lambda lengths: place(hits, lengths)))
 
 
 def context(text: Column, start: Column, length: Column, around: int = CONTEXT) -> Column:
