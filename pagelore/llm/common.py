@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +35,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fold(column: str | Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")) % modulus
-
-
-def per_row(function: Callable[[str], object], returns: str) -> Callable[[Column], Column]:
-    """An Arrow-batched UDF from a function of one text; null counts as the empty text."""
-    import pandas as pd
-
-    @F.pandas_udf(returns)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([function("" if x is None else x) for x in texts], dtype=object)
-
-    return run
+    found = F.col(column) if isinstance(column, str) else column
+    return F.crc32(F.coalesce(found.cast("string"), F.lit(""))) % modulus

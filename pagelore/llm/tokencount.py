@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 REMEMBERED = 600_000
 #: Fixed value: the public split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANK = regex.compile(r"\s").match
 #: Pieces of PATTERN whose first two characters alone are two pieces.
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
@@ -149,23 +150,22 @@ class PrefixCounter:
         k = int(np.searchsorted(ends, p))
         if k == len(ends):
             return int(counts[-1])
-        before, start = (int(counts[k - 1]), int(ends[k - 1])) if k else (0, 0)
-        if ends[k] == p:
-            return int(counts[k])
-        piece = text[start : int(ends[k])]
-        inside = text[start:p]
-        if self.special and self.special.fullmatch(piece):
+        start = int(ends[k - 1]) if k else 0
+        piece, inside = text[start : int(ends[k])], text[start:p]
+        if piece != inside and self.special and self.special.fullmatch(piece):
             # part of a special string is plain text, cut together with the plain text before it
             edge = max((m.end() for m in self.special.finditer(text, 0, start)), default=0)
             whole = int(counts[np.searchsorted(ends, edge)]) if edge else 0
             return whole + sum(map(self.piece, self.pieces.findall(text[edge:p])))
-        if inside[-1].isspace() and inside.isspace():
+        if BLANK(text, p - 1):
             # white space at the end is one piece
-            while start > 0 and text[start - 1].isspace():
-                k -= 1
-                start = int(ends[k - 1]) if k else 0
-            before = int(counts[k - 1]) if k else 0
-            return before + self.piece(text[start:p])
+            start = p - 1
+            while start and BLANK(text, start - 1):
+                start -= 1
+            return (int(counts[np.searchsorted(ends, start)]) if start else 0) + self.piece(text[start:p])
+        if piece == inside:
+            return int(counts[k])
+        before = int(counts[k - 1]) if k else 0
         if piece in CONTRACTIONS and len(inside) == 2:
             return before + self.piece(inside[0]) + self.piece(inside[1])
         return before + self.prefix_counts(inside.encode("utf-8", "replace"))[-1]
