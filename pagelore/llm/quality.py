@@ -25,7 +25,7 @@ DIMS = ("x_length", "x_symbols", "x_lines", "x_repeats")
 #: Part of a group's rows that an estimate covers, least rows of a group, concentration steps, chance to reject a normal row.
 HALF, LEAST, STEPS, TAIL = 0.75, 60, 3, 1e-9
 #: Added to variances: differences of this size in a coordinate never matter. Bins of a unit.
-RIDGE, BINS = (0.1**2, 0.05**2, 0.1**2, 0.1**2), 256
+RIDGE, BINS = (0.1**2, 0.035**2, 0.1**2, 0.1**2), 256
 LONG = "bigint"
 
 
