@@ -189,3 +189,15 @@ def byte_size(n: Column) -> Column:
     value = F.floor(n / F.pow(F.lit(1024.0), unit) * 10 + 0.5) / 10
     text = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
     return F.concat(text, F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1))
+
+
+def uri_7bit(text: Column) -> Column:
+    """Bytes outside ! to ~ percent-encoded; what is encoded already stays."""
+    one = lambda c: F.when((c >= "!") & (c <= "~"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+
+
+def relative_day(day: Column, today: Column) -> Column:
+    """today, yesterday, n days ago within a week, else the date; nothing for no date."""
+    n = F.datediff(today, day)
+    return F.when(day.isNull(), "").when(n <= 0, "today").when(n == 1, "yesterday").when(n < 7, F.concat(n.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(day, "yyyy-MM-dd"))

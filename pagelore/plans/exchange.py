@@ -137,8 +137,25 @@ def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sha2(text, 256).alias("sha256"), F.length(text).alias("length"))
 
 
+def uri_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.table(spark, sf_dir, "benchmark").select("item_id", T.uri_7bit(F.col("text")).alias("uri"))
+
+
+def relative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as seen from the day of the last one."""
+    e = corpus.table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
+    last = e.agg(F.max("day").alias("today"))
+    return e.join(F.broadcast(last)).select("event_id", T.relative_day(F.col("day"), F.col("today")).alias("shown"))
+
+
+def time_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds to read a document's pages with three workers: a third of a second and 1.6 for each page of a worker, one at least."""
+    n = corpus.pages(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("pages"))
+    return n.select("doc_id", F.greatest(F.lit(1), F.floor(0.3 + F.col("pages") * 1.6 / 3 + 0.5)).alias("seconds"))
+
+
 _NAMES = ("csv_field_guarded", "csv_cell_plain", "md_escape_summary", "md_escape_flow", "link_path", "base64_text")
-QUERIES = {n: globals()[n] for n in _NAMES} | {f.__name__: f for f in (xml_escape, safe_file_title, path_parts, template_expand, template_per_page, pdf_date_parse, pdf_date_events, byte_sizes, form_csv_source, form_csv_round_trip, form_xfdf_round_trip, form_import_matching, annotation_csv, markdown_export)}
+QUERIES = {n: globals()[n] for n in _NAMES} | {f.__name__: f for f in (xml_escape, safe_file_title, path_parts, template_expand, template_per_page, pdf_date_parse, pdf_date_events, byte_sizes, form_csv_source, form_csv_round_trip, form_xfdf_round_trip, form_import_matching, annotation_csv, markdown_export, uri_encoded, relative_days, time_estimates)}
 
 
 def _sql(expression: str, table: str = "documents", key: str = "doc_id", text: str = "coalesce(text, '')") -> str:
@@ -188,4 +205,10 @@ SELECT doc_id, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) EL
     "form_import_matching": "SELECT * FROM (VALUES (1, 'First', 'set'), (1, 'City', 'unknown'), (1, 'Pet', 'set'), (1, 'Age', 'untouched'), (2, 'Note', 'set'), (2, 'Empty', 'unknown')) t(form_id, field, state)",
     "annotation_csv": f"SELECT conv_id AS doc_id, sha256(x) AS sha256, CAST(length(x) AS INTEGER) AS length FROM (SELECT conv_id, 'page,author,text' || chr(13) || chr(10) || string_agg((turn + 1) || ',' || role || ',' || {_guarded('text')}, chr(13) || chr(10) ORDER BY turn) || chr(13) || chr(10) AS x FROM conversations GROUP BY conv_id)",
     "markdown_export": f"SELECT conv_id AS doc_id, sha256(x) AS sha256, CAST(length(x) AS INTEGER) AS length FROM (SELECT conv_id, string_agg('## ' || {_MD_FLOW.format(t='role')} || chr(10) || chr(10) || {_MD_FLOW.format(t='text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS x FROM conversations GROUP BY conv_id)",
+    "uri_encoded": r"SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN ord(c) BETWEEN 33 AND 126 THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') END), '') AS uri FROM benchmark",
+    "relative_days": """
+SELECT event_id, CASE WHEN n <= 0 THEN 'today' WHEN n = 1 THEN 'yesterday' WHEN n < 7 THEN n || ' days ago' ELSE strftime(d, '%Y-%m-%d') END AS shown
+FROM (SELECT event_id, CAST(ts AS DATE) AS d, date_diff('day', CAST(ts AS DATE), (SELECT CAST(max(ts) AS DATE) FROM events)) AS n FROM events)
+""",
+    "time_estimates": "SELECT conv_id AS doc_id, CAST(greatest(1, floor(0.3e0 + count(*) * 1.6e0 / 3 + 0.5e0)) AS BIGINT) AS seconds FROM conversations GROUP BY conv_id",
 }

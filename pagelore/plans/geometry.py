@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +90,41 @@ def marks_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(doubled, "stroke", "left_anti").select("stroke")
 
 
-QUERIES = {f.__name__: f for f in (path_length, polygon_area, path_bounds, path_smoothing, path_simplify, nearest_segment, tile_grid, rect_intersection, snapped_angles, marks_deduplicated)}
+def boxes_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes' boxes under a turn by 30 degrees and a move: bounds of the four corners."""
+    a, b, c, d, e, f = math.cos(math.pi / 6), math.sin(math.pi / 6), -math.sin(math.pi / 6), math.cos(math.pi / 6), 10.0, -5.0
+    xs = F.array(*[a * F.col(x) + c * F.col(y) + e for x in ("l", "r") for y in ("b", "t")])
+    ys = F.array(*[b * F.col(x) + d * F.col(y) + f for x in ("l", "r") for y in ("b", "t")])
+    return path_bounds(spark, sf_dir).select("stroke", *[F.round(v, 6).alias(n) for v, n in ((F.array_min(xs), "l"), (F.array_min(ys), "b"), (F.array_max(xs), "r"), (F.array_max(ys), "t"))])
+
+
+def cropped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins of 10, 20, 30 and 40 points as they look, taken off pages of 595 by 842 at each turn: the box in the page's own frame, and
+    the scale that brings it back to the sheet."""
+    rows = spark.createDataFrame([(r,) for r in (0, 90, 180, 270)], "rotation int")
+    top, right, bottom, left = 10.0, 20.0, 30.0, 40.0
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("rotation") / 90).cast("int") + 1)
+    rows = rows.select("rotation", pick(left, top, right, bottom).alias("l"), pick(bottom, left, top, right).alias("b"), (595 - pick(right, bottom, left, top)).alias("r"), (842 - pick(top, right, bottom, left)).alias("t"))
+    return rows.withColumn("scale", F.round(F.least(595 / (F.col("r") - F.col("l")), 842 / (F.col("t") - F.col("b"))), 6))
+
+
+def erased_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a round eraser of 20 at (100, 50) leaves of each stroke: runs of two points or more outside it."""
+    w = Window.partitionBy("stroke").orderBy("k")
+    p = points(spark, sf_dir).withColumn("out", F.hypot(F.col("x") - 100, F.col("y") - 50) > 20)
+    runs = p.withColumn("g", F.sum((~F.col("out")).cast("int")).over(w)).filter("out").groupBy("stroke", "g").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    return runs.filter("n >= 2").select("stroke", "first", "n")
+
+
+def measure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths in millimetres and areas in square millimetres, to one decimal."""
+    mm = 25.4 / 72
+    both = path_length(spark, sf_dir).join(polygon_area(spark, sf_dir), "stroke")
+    one = lambda v, unit: F.format_string(f"%.1f{unit}", F.floor(v * 10 + 0.5) / 10)
+    return both.select("stroke", one(F.col("length") * mm, " mm").alias("length"), one(F.col("area") * mm * mm, " mm2").alias("area"))
+
+
+QUERIES = {f.__name__: f for f in (path_length, polygon_area, path_bounds, path_smoothing, path_simplify, nearest_segment, tile_grid, rect_intersection, snapped_angles, marks_deduplicated, boxes_mapped, cropped_pages, erased_strokes, measure_labels)}
 
 _P = "(SELECT CAST(user_id AS INTEGER) AS stroke, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS k, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 2e0 AS x, value AS y FROM events)"
 _B = f"(SELECT stroke, min(x) AS l, min(y) AS b, max(x) AS r, max(y) AS t FROM {_P} GROUP BY stroke)"
@@ -106,4 +142,17 @@ FROM (SELECT *, greatest(0e0, least(1e0, ((50 - x) * (x2 - x) + (50 - y) * (y2 -
     "rect_intersection": f"SELECT * FROM (SELECT stroke, greatest(l, 10e0) AS l, greatest(b, 20e0) AS b, least(r, 60e0) AS r, least(t, 70e0) AS t FROM {_B}) WHERE l < r AND b < t",
     "snapped_angles": f"SELECT stroke, CAST(floor(a / 15 + 0.5) * 15 AS BIGINT) AS snapped, CAST((floor(a / 90 + 0.5) + 4) % 4 AS BIGINT) AS quarter FROM (SELECT stroke, degrees(atan2(y2 - y, x2 - x)) AS a FROM {_STEP} WHERE k = 0 AND x2 IS NOT NULL)",
     "marks_deduplicated": f"SELECT stroke FROM {_B} x WHERE r - l > 100 AND NOT EXISTS (SELECT 1 FROM {_B} y WHERE y.r - y.l > 100 AND y.stroke < x.stroke AND abs(x.l - y.l) <= 0.5 AND abs(x.b - y.b) <= 0.5 AND abs(x.r - y.r) <= 0.5 AND abs(x.t - y.t) <= 0.5)",
+    "boxes_mapped": f"""
+WITH c AS (SELECT stroke, cos(pi() / 6) * x - sin(pi() / 6) * y + 10 AS u, sin(pi() / 6) * x + cos(pi() / 6) * y - 5 AS v FROM (SELECT stroke, unnest([l, l, r, r]) AS x, unnest([b, t, b, t]) AS y FROM {_B}))
+SELECT stroke, round(min(u), 6) AS l, round(min(v), 6) AS b, round(max(u), 6) AS r, round(max(v), 6) AS t FROM c GROUP BY stroke
+""",
+    "cropped_pages": "SELECT rotation, l, b, r, t, round(least(595 / (r - l), 842 / (t - b)), 6) AS scale FROM (VALUES (0, 40e0, 30e0, 575e0, 832e0), (90, 10e0, 40e0, 565e0, 822e0), (180, 20e0, 10e0, 555e0, 812e0), (270, 30e0, 20e0, 585e0, 802e0)) x(rotation, l, b, r, t)",
+    "erased_strokes": f"""
+SELECT stroke, first, n FROM (SELECT stroke, g, min(k) AS first, count(*) AS n FROM (
+  SELECT *, sum(CASE WHEN sqrt((x - 100) ** 2 + (y - 50) ** 2) > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY stroke ORDER BY k) AS g FROM {_P}) WHERE sqrt((x - 100) ** 2 + (y - 50) ** 2) > 20 GROUP BY stroke, g) WHERE n >= 2
+""",
 }
+ORACLES["measure_labels"] = f"""
+SELECT stroke, printf('%.1f mm', floor(length * (25.4e0 / 72) * 10 + 0.5) / 10) AS length, printf('%.1f mm2', floor(area * (25.4e0 / 72) * (25.4e0 / 72) * 10 + 0.5) / 10) AS area
+FROM ({ORACLES["path_length"]}) JOIN ({ORACLES["polygon_area"]}) USING (stroke)
+"""
