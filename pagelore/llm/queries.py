@@ -123,4 +123,38 @@ WITH RECURSIVE shards AS (
 SELECT doc_id, docs.slot, shard FROM docs JOIN places ON places.slot = docs.slot JOIN shards ON shards.k = places.k
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL}
+_B, _P = mixing.BLOCK, mixing.PERIOD
+OP8_SQL = f"""
+WITH RECURSIVE sizes AS (
+  SELECT source, count(*) AS rows, row_number() OVER (ORDER BY source) AS k, pow(count(*), 0.8) AS w FROM documents GROUP BY source
+), exact AS (
+  SELECT *, w / (SELECT sum(w) FROM sizes) * ({_P} - (SELECT count(*) FROM sizes)) AS x FROM sizes
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, source) AS r, {_P} - sum(1 + floor(x)) OVER () AS rest FROM exact
+), shares AS (
+  SELECT source, rows, k, CAST(1 + floor(x) + CASE WHEN r <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM ranked
+), all_n AS (
+  SELECT list(n ORDER BY k) AS ns FROM shares
+), steps(t, had, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(ns, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM all_n
+  UNION ALL
+  SELECT t, list_transform(had, lambda x, i: CASE WHEN i = pick THEN x + 1 ELSE x END), pick FROM (
+    SELECT t + 1 AS t, had, list_sort(list_transform(list_filter(range(1, len(ns) + 1), lambda i: had[i] < ns[i] AND had[i] * {_P} // ns[i] <= t + 1), lambda i: [((had[i] + 1) * {_P} + ns[i] - 1) // ns[i], i]))[1][2] AS pick
+    FROM steps, all_n WHERE t + 1 < {_P})
+), places AS (
+  SELECT pick AS k, list(t ORDER BY t) AS slots FROM steps WHERE t >= 0 GROUP BY pick
+), sources AS (
+  SELECT source, n, slots, (rows + {_B - 1}) // {_B} // n * {_P} + slots[(rows + {_B - 1}) // {_B} % n + 1] AS runs_out FROM shares JOIN places USING (k)
+), gone AS (
+  SELECT runs_out, sum(n) OVER (ORDER BY runs_out, n ROWS UNBOUNDED PRECEDING) AS n FROM sources
+), ends AS (
+  SELECT coalesce(min(runs_out) FILTER (WHERE n > {(1 - mixing.KEEP) * _P}), max(runs_out)) AS until FROM gone
+), numbered AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS nth FROM documents
+), placed AS (
+  SELECT doc_id, source, nth, nth // {_B} AS block, nth // {_B} // n * {_P} + slots[nth // {_B} % n + 1] AS slot FROM numbered JOIN sources USING (source)
+)
+SELECT doc_id, source, block, slot, slot * {_B} + nth % {_B} AS place, slot < until AS in_mix FROM placed, ends
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op8_mixing": OP8_SQL}
