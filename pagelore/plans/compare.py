@@ -21,8 +21,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty words of each document with their spans."""
-    found = corpus.documents(spark, sf_dir).select("doc_id", F.posexplode(F.slice(T.matches(F.col("text"), f"{T.NOT_SPACE}+"), 1, 20)).alias("k", "m"))
+    """All words of each document with their spans."""
+    found = corpus.documents(spark, sf_dir).select("doc_id", F.posexplode(T.matches(F.col("text"), f"{T.NOT_SPACE}+")).alias("k", "m"))
     return found.select("doc_id", "k", F.col("m.start").alias("start"), F.col("m.length").alias("length"), T.fold(F.col("m.text")).alias("key"))
 
 
@@ -94,8 +94,8 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_interning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number for each distinct word of a document, in order of first appearance."""
-    found = corpus.pages(spark, sf_dir).filter("page = 0").select("doc_id", F.posexplode(T.tokens(T.fold(F.col("text")))).alias("k", "w"))
-    first = found.groupBy("doc_id", "w").agg(F.min("k").alias("k"), F.count("*").alias("times"))
+    found = corpus.pages(spark, sf_dir).select("doc_id", "page", F.posexplode(T.tokens(T.fold(F.col("text")))).alias("k", "w"))
+    first = found.groupBy("doc_id", "w").agg(F.min(F.struct("page", "k")).alias("k"), F.count("*").alias("times"))
     return first.select("doc_id", F.col("w").alias("word"), "times", (F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1).cast("bigint").alias("number"))
 
 
@@ -105,9 +105,9 @@ _S = r"[^\s\p{Z}\x{85}]+"
 _W = f"(SELECT conv_id AS doc_id, turn AS page, regexp_extract_all(lower(coalesce(text, '')), '{_S}') AS w FROM conversations)"
 ORACLES = {
     "word_tokens": rf"""
-WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{_S}') AS w, string_split_regex(text, '{_S}') AS g FROM documents),
-r AS (SELECT doc_id, w, g, unnest(range(least(len(w), 20))) AS k FROM d)
-SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(coalesce(list_sum(list_transform(w[1:k], lambda x: length(x))), 0) + list_sum(list_transform(g[1:k + 1], lambda x: length(x))) AS INTEGER) AS start, CAST(length(w[k + 1]) AS INTEGER) AS length, lower(w[k + 1]) AS key FROM r
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '{_S}') AS w, string_split_regex(text, '{_S}') AS g FROM documents),
+r AS (SELECT doc_id, unnest(w) AS w, unnest(g[1:len(w)]) AS g, unnest(range(len(w))) AS k FROM d)
+SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY k) - length(w) AS INTEGER) AS start, CAST(length(w) AS INTEGER) AS length, lower(w) AS key FROM r
 """,
     "page_jaccard": f"""
 SELECT doc_id, page, CASE WHEN len(list_distinct(list_concat(w, v))) = 0 THEN 1.0 ELSE CAST(len(list_intersect(list_distinct(w), list_distinct(v))) AS DOUBLE) / len(list_distinct(list_concat(w, v))) END AS similarity
@@ -138,7 +138,7 @@ FROM (SELECT item_id, regexp_replace(t, '[^\x00-\x7F]', '?', 'g') AS a, regexp_r
 SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS INTEGER) AS plain, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\s\p{Z}\x{85}]+')) AS INTEGER) AS trimmed FROM documents
 """,
     "word_interning": f"""
-WITH x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM {_W} WHERE page = 0)
-SELECT doc_id, word, count(*) AS times, row_number() OVER (PARTITION BY doc_id ORDER BY min(k)) - 1 AS number FROM x GROUP BY doc_id, word
+WITH x AS (SELECT doc_id, page, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM {_W})
+SELECT doc_id, word, count(*) AS times, row_number() OVER (PARTITION BY doc_id ORDER BY min((page, k))) - 1 AS number FROM x GROUP BY doc_id, word
 """,
 }

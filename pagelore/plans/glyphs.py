@@ -108,7 +108,7 @@ def utf16_word_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of items with their ranges in UTF-16 units: a code point over U+FFFF is two."""
     items = corpus.table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("🙂 "), "text").alias("t"))
     units = lambda s: F.length(s) + F.regexp_count(s, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    found = items.select("item_id", "t", F.posexplode(T.matches(F.col("t"), f"{T.NOT_SPACE}+")).alias("k", "m")).filter("k < 10")
+    found = items.select("item_id", "t", F.posexplode(T.matches(F.col("t"), f"{T.NOT_SPACE}+")).alias("k", "m"))
     start = units(F.expr("substring(t, 1, m.start)"))
     return found.select("item_id", "k", start.alias("start"), (start + units(F.col("m.text"))).alias("stop"))
 
@@ -235,12 +235,12 @@ SELECT page, string_agg(CASE WHEN blank > last THEN ' ' ELSE '' END || ch, '' OR
 WITH g AS (SELECT * FROM {_G} WHERE trim(ch) <> ''), a AS (SELECT page, ch, b, l + CASE WHEN k % 9 = 0 THEN 0.7e0 ELSE 0.2e0 END AS x FROM g WHERE k % 7 <> 0)
 SELECT page, count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page = g.page AND a.ch = g.ch AND abs(a.b - g.b) <= 0.5 AND abs(a.x - g.l) <= 0.5) GROUP BY page
 """,
-    "layout_lines": "SELECT item_id AS page, j AS line, rtrim(regexp_replace(substr(text, CAST(j * 40 + 1 AS BIGINT), 40), '\\s', ' ', 'g')) AS text FROM benchmark, range(30) t(j) WHERE j * 40 < length(text)",
+    "layout_lines": "SELECT item_id AS page, j AS line, rtrim(regexp_replace(substr(text, CAST(j * 40 + 1 AS BIGINT), 40), '\\s', ' ', 'g')) AS text FROM benchmark, range(10000) t(j) WHERE j * 40 < length(text)",
     "ocr_words": "SELECT * FROM (VALUES (0, 0, 'Hello', 91.26e0, 0, 50), (0, 1, 'wor', 80e0, 60, 90), (0, 2, 'ld', 95e0, 92, 110), (1, 1, 'yes', 55.57e0, 10, 40), (2, 0, '한', 70e0, 0, 10), (2, 1, '글', 90e0, 11, 21)) t(line, k, text, confidence, l, r)",
     "ocr_line_confidence": "SELECT * FROM (VALUES (0, 88.6e0, CAST(3 AS BIGINT), 0, 110), (1, 55.6e0, 1, 10, 40), (2, 80e0, 2, 0, 21)) t(line, confidence, words, l, r)",
     "ocr_merged_ideographs": "SELECT * FROM (VALUES (0, 'Hello', 0, 50), (0, 'wor', 60, 90), (0, 'ld', 92, 110), (1, 'yes', 10, 40), (2, '한글', 0, 21)) t(line, text, l, r)",
     "utf16_word_ranges": r"""
-WITH i AS (SELECT item_id, '🙂 ' || text AS t FROM benchmark), w AS (SELECT item_id, regexp_extract_all(t, '[^\s\p{Z}\x{85}]+') AS w, string_split_regex(t, '[^\s\p{Z}\x{85}]+') AS g FROM i), r AS (SELECT item_id, w, g, unnest(range(least(len(w), 10))) AS k FROM w)
+WITH i AS (SELECT item_id, '🙂 ' || text AS t FROM benchmark), w AS (SELECT item_id, regexp_extract_all(t, '[^\s\p{Z}\x{85}]+') AS w, string_split_regex(t, '[^\s\p{Z}\x{85}]+') AS g FROM i), r AS (SELECT item_id, w, g, unnest(range(len(w))) AS k FROM w)
 SELECT item_id, CAST(k AS INTEGER) AS k, CAST(s + CASE WHEN k > 0 THEN 1 ELSE 0 END AS INTEGER) AS start, CAST(s + length(w[k + 1]) + 1 AS INTEGER) AS stop
 FROM (SELECT *, coalesce(list_sum(list_transform(w[1:k], lambda x: length(x))), 0) + list_sum(list_transform(g[1:k + 1], lambda x: length(x))) AS s FROM r)
 """,

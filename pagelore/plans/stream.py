@@ -57,12 +57,12 @@ def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the first half of the time, of the second, the last one, then some of the first half again: those are too late."""
+    """Events of the first half of the time, of the second, the last one, then views of the first half again: those are too late."""
     e = corpus.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
     bounds = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     middle = F.lit(bounds["a"]) + (F.lit(bounds["b"]) - F.lit(bounds["a"])) / 2
     rows = e.withColumn("part", F.when(F.col("ts") < middle, 0).when(F.col("ts") < F.lit(bounds["b"]), 1).otherwise(2))
-    late = rows.filter("part = 0 AND event_id % 5 = 0").withColumn("part", F.lit(3))
+    late = rows.filter("part = 0 AND event_type = 'view'").withColumn("part", F.lit(3))
     closed = _table_of(spark, P.in_time(arrivals(spark, rows.union(late), "events", 4), "ts", "1 hour", "1 day"), "append")
     return closed.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 

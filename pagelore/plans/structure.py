@@ -147,7 +147,7 @@ def paragraph_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of items as boxes of 6 by 12 points, wider gaps after each comma, grouped to words."""
-    items = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("page"), F.posexplode(F.split(F.substring("text", 1, 80), "")).alias("k", "ch")).filter("ch <> ''")
+    items = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("page"), F.posexplode(F.split("text", "")).alias("k", "ch")).filter("ch <> ''")
     gap = F.sum(F.when(F.col("ch") == ",", 5.0).otherwise(0.0)).over(Window.partitionBy("page").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     left = F.col("k") * 6.0 + F.coalesce(gap, F.lit(0.0))
     chars = items.select("page", "k", "ch", left.alias("l"), (left + 6.0).alias("r"), F.lit(0.0).alias("baseline"), F.lit(12.0).alias("size"))
@@ -201,7 +201,7 @@ JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY source) USING (sou
     "paragraph_flow": "SELECT * FROM (VALUES (0, 0, 1, 24e0, 'A Title'), (0, 1, 2, 11e0, 'The first line of a paragraph goes on'), (0, 2, 1, 11e0, 'Another block'), (0, 3, 1, 11e0, 'far to the right')) t(page, k, lines, size, text)",
     "tagged_run_order": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 4, 6), (2, 2, 4), (3, 0, 2), (4, 6, 7)) t(k, start, stop)",
     "word_boxes": r"""
-WITH c AS (SELECT item_id, unnest(string_split(substr(text, 1, 80), '')) AS ch, generate_subscripts(string_split(substr(text, 1, 80), ''), 1) - 1 AS k FROM benchmark),
+WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS k FROM benchmark),
 x AS (SELECT *, k * 6 + coalesce(sum(CASE WHEN ch = ',' THEN 5 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l, lag(ch) OVER (PARTITION BY item_id ORDER BY k) AS p FROM c),
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR p IN (' ', chr(10), ',') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY k) AS n FROM x),
 w AS (SELECT item_id, n, string_agg(ch, '' ORDER BY k) AS text, min(l) AS l, max(l) + 6 AS r FROM g WHERE ch NOT IN (' ', chr(10)) GROUP BY item_id, n)
