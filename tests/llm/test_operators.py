@@ -200,6 +200,26 @@ def test_near_duplicates(spark, odd, none):
     want = collections.Counter((r[0], f"{f:016x}", least.get(k)) for r, f, k in zip(data, fps, comp, strict=True))
     assert collections.Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(none).count() == 0
+
+
+def wide_components(texts):
+    """Components of wide fingerprints by comparing all of them."""
+    prints = np.array([np.frombuffer(simhash.wide_fingerprint(t), np.uint64) for t in texts])
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.COPY_RADIUS:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+def test_one_of_each(spark, odd, none):
+    data = rows()
+    least = {}
+    for r, k in zip(data, wide_components([r[1] for r in data]), strict=True):
+        if r[0] is not None:
+            least[k] = min(least.get(k, r[0]), r[0])
     kept = [r["doc_id"] for r in simhash.one_of_each(odd).collect()]
     assert sorted(kept) == sorted(set(least.values()))
     assert simhash.one_of_each(none).count() == 0
@@ -207,6 +227,26 @@ def test_near_duplicates(spark, odd, none):
     assert sorted((r["doc_id"] is None) for r in simhash.one_of_each(alone).collect()) == [False, True]
 
 
+@pytest.mark.parametrize("leaf", [8192, 30])
+def test_near_copies_are_found(spark, leaf):
+    """Of copies with a similarity of 0.8 or more nineteen of twenty meet; unrelated texts never do."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    data, near = [], []
+    for k in range(120):
+        base = [word() for _ in range(rnd.randint(60, 300))]
+        copy = list(base)
+        for _ in range(rnd.randint(0, len(base) // 45)):
+            copy[rnd.randrange(len(copy))] = word()
+        sets = [set(zip(*(x[d:] for d in range(5)), strict=False)) for x in (base, copy)]
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            near.append(k)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(data, "doc_id bigint, text string"), leaf).collect()}
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(120))
+    assert len(near) > 60 and sum(got[2 * k + 1] == 2 * k for k in near) >= 0.95 * len(near)
+
+
 # language identification
 
 

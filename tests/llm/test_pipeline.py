@@ -11,7 +11,7 @@ from pagelore.llm import decontam, langid, mixing, sharding
 from pagelore.llm.queries import ORACLES, QUERIES
 
 from conftest import SF_DIR, same
-from test_operators import brute_components, brute_fingerprint, rows
+from test_operators import rows, wide_components
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def test_language_stage(stages):
 def test_dedup_stage(stages):
     before, after, _ = stages[1]
     docs = sorted((r["doc_id"], r["text"]) for r in before.collect())
-    root = brute_components([brute_fingerprint(t) for _, t in docs])
+    root = wide_components([t for _, t in docs])
     assert ids(after) == [d for k, (d, _) in enumerate(docs) if root[k] == k]
 
 
