@@ -340,18 +340,29 @@ def copy_links(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
     return out.distinct()
 
 
-def near_copies(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """doc_id, component_id for each row: what texts of similarity 0.8 or more connect."""
+def copy_groups(docs: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, wide) of each row, and (wide, root, component_id) of each distinct print; component_id is null if no row has an id."""
     rows = stored(docs.select("doc_id", wide_fingerprints("text").alias("wide")), "prints")
     prints = stored(rows.groupBy("wide").agg(F.min("doc_id").alias("first")), "distinct")
     linked = components(copy_links(prints, leaf)).withColumnRenamed("a", "wide")
     of = prints.join(linked, "wide", "left").select("wide", "first", F.coalesce("root", "wide").alias("root"))
     least = of.filter(F.col("root") != F.col("wide")).groupBy("root").agg(F.min("first").alias("other"))
     roots = of.filter(F.col("root") == F.col("wide")).join(least, "root", "left").select("root", F.least("first", "other").alias("component_id"))
-    return rows.join(of.join(roots, "root").select("wide", "component_id"), "wide").select("doc_id", "component_id")
+    return rows, of.join(roots, "root").select("wide", "root", "component_id")
+
+
+def near_copies(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """doc_id, component_id for each row: what texts of similarity 0.8 or more connect."""
+    rows, groups = copy_groups(docs, leaf)
+    return rows.join(groups, "wide").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies stays: the one with the smallest doc_id; of rows that share it, or have none, any one."""
-    groups = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near copies stays: the one with the smallest doc_id, any one of rows that share it; of a group without ids
+    any one."""
+    _, groups = copy_groups(docs)
+    groups = stored(groups, "groups")
+    kept = groups.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    nameless = groups.filter("component_id is null").select(F.col("wide").alias("_copy_wide"), F.col("root").alias("_copy_root"))
+    rest = docs.filter("doc_id is null").withColumn("_copy_wide", wide_fingerprints("text")).join(nameless, "_copy_wide").dropDuplicates(["_copy_root"])
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(rest.select(*docs.columns))
