@@ -8,7 +8,7 @@ A block holds BLOCK ids, starts from an empty model and ends in its own checksum
 * if neither is right, the id is coded with order 0: the block's own frequencies, renewed each time its length doubles; an id not seen
   in the block yet is an escape and 16 plain bits.
 
-The arithmetic coder is carry-less with 16-bit digits. numpy runs it over many blocks of a partition side by side, one id of each block a
+The arithmetic coder is carry-less with 32-bit digits. numpy runs it over many blocks of a partition side by side, one id of each block a
 step; a block's bytes don't depend on its neighbours.
 
 Files: Spark writes rows (part, block, payload), so a lost executor's files are written again. A payload is MAGIC, numbers of ids, of
@@ -36,58 +36,74 @@ from pyspark.sql.types import LongType
 from pagelore.llm.common import shared_dir, stored
 
 MAGIC, BLOCK, LANES = b"PLR1", 4096, 2048
+#: Blocks whose ids are looked up together.
+SPREAD = 32
 #: Slots of the order-2 and order-1 tables, bits of the choice between orders, bits of order 0.
 SLOTS, CHOICE, ORDER0 = 2048, 12, 13
 REMEMBERED = 1_000_000
 HEAD = struct.Struct("<4sIIIII")
 PIECE = np.dtype([("doc", "<i8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
 U = np.uint64
-MASK, TOP, LOW = U((1 << 48) - 1), U(1 << 32), U((1 << 16) - 1)
+FULL, DIGIT = U((1 << 64) - 1), U(1 << 32)
 RENEW = [1 << k for k in range(6, BLOCK.bit_length())]
 
 
 class Orders:
     """Orders 1 and 2 and the choice between them, for many blocks side by side. A slot holds an id and, in its low two bits, how often
-    it was right of late."""
+    it was right of late. Outcomes: 0 order 2 was right, 1 order 1, 2 neither."""
+
+    RATE = np.float32(0.03)
+    KEEP = np.float32(1) - RATE
+    #: The chances of order 2 and of order 1 are the two parts of one complex number. What an outcome adds to them; which way it moves the
+    #: weight; the last two outcomes after it.
+    ADD = np.array([RATE, RATE * 1j, 0], np.complex64)
+    TOWARDS = np.array([0.05, -0.05, -0.05], np.float32)
+    PAST = np.array([k % 3 * 3 + w for k in range(9) for w in range(3)])
 
     def __init__(self, n: int) -> None:
-        self.at = np.arange(n)
-        self.before = np.zeros((2, n), np.int64)  # the last id, the one before
-        self.slots = np.zeros((2, n * SLOTS), np.uint32)
-        self.by_trust = np.full((n * 32, 2), 1 / 3, np.float32)
-        self.by_past = np.full((n * 9, 2), 1 / 3, np.float32)
-        self.past = np.full(n, 8)
-        self.weight = np.full((n, 1), 0.5, np.float32)
+        lanes = np.arange(n)
+        self.lanes, self.own, self.by, self.of = lanes, lanes * SLOTS, lanes * 32, lanes * 9
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.slots2, self.slots1 = np.zeros((2, n * SLOTS), np.int32)
+        self.by_trust, self.by_past = np.full(n * 32, (1 + 1j) / 3, np.complex64), np.full(n * 9, (1 + 1j) / 3, np.complex64)
+        self.past, self.weight = np.full(n, 8), np.full(n, 0.5, np.float32)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1, and the choice's first two frequencies, of the first n blocks."""
-        at, p, q = self.at[:n], self.before[0, :n] * 40503, self.before[1, :n] * 30011
-        self.k2, self.k1 = at * SLOTS + (p + q >> 3 & SLOTS - 1), at * SLOTS + (p >> 3 & SLOTS - 1)
-        self.s2, self.s1 = self.slots[0].take(self.k2).astype(np.int64), self.slots[1].take(self.k1).astype(np.int64)
+        """Guesses of order 2 and 1 of the first n blocks; where each outcome begins, and how wide it is."""
+        hashed = self.last[:n] * 40503
+        self.k1 = self.own[:n] + (hashed >> 3 & SLOTS - 1)
+        self.k2 = self.own[:n] + (hashed + self.before[:n] * 30011 >> 3 & SLOTS - 1)
+        self.s2, self.s1 = self.slots2.take(self.k2), self.slots1.take(self.k1)
         self.g2, self.g1 = self.s2 >> 2, self.s1 >> 2
-        self.context = at * 32 + ((self.g2 == self.g1) << 4 | (self.s2 & 3) << 2 | self.s1 & 3)
-        self.past_context = at * 9 + self.past[:n]
-        self.a, self.b = self.by_trust.take(self.context, 0), self.by_past.take(self.past_context, 0)
-        self.mixed = self.b + self.weight[:n] * (self.a - self.b)
-        f = (self.mixed * ((1 << CHOICE) - 3)).astype(np.int64) + 1
-        return self.g2, self.g1, f[:, 0], f[:, 1]
+        self.context = self.by[:n] + ((self.s2 & 3) * 4 + (self.s1 & 3) + (self.g2 == self.g1) * np.int32(16))
+        self.recent = self.of[:n] + self.past[:n]
+        self.a, self.b = self.by_trust.take(self.context), self.by_past.take(self.recent)
+        self.apart = self.a - self.b
+        mixed = self.b + self.weight[:n] * self.apart
+        begin, wide = np.zeros((3, n), np.int64), np.empty((3, n), np.int64)
+        scale = np.float32((1 << CHOICE) - 3)
+        wide[0], wide[1] = mixed.real * scale, mixed.imag * scale
+        wide[:2] += 1
+        begin[1] = wide[0]
+        np.add(wide[0], wide[1], out=begin[2])
+        np.subtract(1 << CHOICE, begin[2], out=wide[2])
+        return self.g2, self.g1, begin, wide
 
     def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
-        """which: 0 order 2 was right, 1 order 1, 2 neither."""
         n = len(ids)
-        hot = which[:, None] == np.arange(2)
-        # the likelihood's slope in the weight, for the first outcome; that of the others is alike
-        better = np.where(hot[:, :1], self.a[:, :1] - self.b[:, :1], self.b[:, :1] - self.a[:, :1])
-        self.weight[:n] = np.clip(self.weight[:n] + np.float32(0.05) * better, 0.02, 0.98)
-        self.by_trust[self.context] = self.a + np.float32(0.03) * (hot - self.a)
-        self.by_past[self.past_context] = self.b + np.float32(0.03) * (hot - self.b)
-        for k, key, slot, guess in ((0, self.k2, self.s2, self.g2), (1, self.k1, self.s1, self.g1)):
+        w = self.weight[:n]
+        w += self.apart.real * self.TOWARDS.take(which)
+        np.minimum(np.maximum(w, np.float32(0.02), out=w), np.float32(0.98), out=w)
+        add = self.ADD.take(which)
+        self.by_trust[self.context], self.by_past[self.recent] = self.a * self.KEEP + add, self.b * self.KEEP + add
+        new = ids << 2
+        for slots, key, slot, guess in ((self.slots2, self.k2, self.s2, self.g2), (self.slots1, self.k1, self.s1, self.g1)):
             trust = slot & 3
-            hit = guess == ids
-            self.slots[k][key] = np.where(hit, slot + (trust < 3), np.where(trust == 0, ids << 2, guess << 2 | trust >> 1))
-        self.past[:n] = (self.past[:n] % 3) * 3 + which
-        self.before[1, :n] = self.before[0, :n]
-        self.before[0, :n] = ids
+            wrong = np.where(trust > 0, slot - (trust + 1 >> 1), new)
+            slots[key] = np.where(guess == ids, slot + (trust < 3), wrong)
+        self.past[:n] = self.PAST.take(self.past[:n] * 3 + which)
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
 
 
 class Order0:
@@ -118,54 +134,63 @@ class Order0:
             self.slot = np.repeat(np.arange(len(self.entry_id), dtype=np.int32), self.entry_freq)
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cum, freq, seen) of ids, a column for each block."""
-        keys = (np.arange(ids.shape[1]) << 16) + ids
-        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        seen = self.keys[k] == keys
-        return np.where(seen, self.cum[k], self.escape[None, : ids.shape[1]]), np.where(seen, self.freq[k], (1 << ORDER0) - self.escape[None, : ids.shape[1]]), seen
+        """(cum, freq, seen) of ids, a column for each block. A few blocks at a time are spread over a table of all ids."""
+        n = ids.shape[1]
+        edges = np.searchsorted(self.keys, np.arange(0, n + SPREAD, SPREAD) << 16)
+        spread, k = np.full(SPREAD << 16, -1, np.int32), np.empty(ids.shape, np.int32)
+        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            lanes = slice(part * SPREAD, min(n, (part + 1) * SPREAD))
+            own = self.keys[a:b] - (part * SPREAD << 16)
+            spread[own] = np.arange(a, b, dtype=np.int32)
+            k[:, lanes] = spread.take((np.arange(lanes.stop - lanes.start) << 16) + ids[:, lanes])
+            spread[own] = -1
+        seen = k >= 0
+        return np.where(seen, self.cum.take(k, mode="clip"), self.escape[None, :n]), np.where(seen, self.freq.take(k, mode="clip"), (1 << ORDER0) - self.escape[None, :n]), seen
 
 
 class Coder:
-    """Low ends and widths of many blocks' intervals. Digits is what is written, or None where ``code`` is read from."""
+    """Low ends and widths of many blocks' intervals. With a code, digits are read, else written.
+
+    A width is over 32 bits after ``shift``, so that narrowing by 13 and 12 bits fits between two shifts. If less is left, either the first
+    digit is settled, or the interval is cut where it would pass on a carry; so each shift is of one digit."""
 
     def __init__(self, n: int, digits: np.ndarray) -> None:
-        self.low, self.width = np.zeros(n, U), np.full(n, MASK)
-        self.digits, self.used = digits, np.zeros(n, np.int64)
+        self.low, self.width = np.zeros(n, U), np.full(n, FULL)
+        self.digits, self.flat, self.room, self.used = digits, digits.ravel(), digits.shape[1], np.zeros(n, np.int64)
         self.code: np.ndarray | None = None
 
     def open(self) -> None:
-        self.code = np.zeros(len(self.low), U)
-        for k in range(3):
-            self.code = self.code << U(16) | self.digits[:, k].astype(U)
-        self.used += 3
+        self.code = self.digits[:, 0].astype(U) << U(32) | self.digits[:, 1].astype(U)
+        self.used += 2
 
     def value(self, at: np.ndarray | slice, bits: int) -> np.ndarray:
-        return np.minimum((self.code[at] - self.low[at] & MASK) // (self.width[at] >> U(bits)), U((1 << bits) - 1)).astype(np.int64)
+        return np.minimum((self.code[at] - self.low[at]) // (self.width[at] >> U(bits)), U((1 << bits) - 1)).astype(np.int64)
 
     def narrow(self, at: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
         part = self.width[at] >> U(bits)
-        low, width = self.low[at] + part * cum.astype(U) & MASK, part * freq.astype(U)
-        lanes = np.arange(len(self.low))[at]
-        k = np.flatnonzero(width < TOP)  # the others can't be settled
-        while len(k):
-            settled = (low[k] ^ low[k] + width[k]) < TOP
-            small = ~settled & (width[k] <= LOW)
-            width[k[small]] = (U(0) - low[k[small]]) & LOW
-            k = k[settled | small]
-            own = lanes[k]
-            if self.code is None:
-                self.digits[own, self.used[own]] = (low[k] >> U(32)).astype(np.uint16)
-            else:
-                self.code[own] = (self.code[own] << U(16) | self.digits[own, self.used[own]].astype(U)) & MASK
-            self.used[own] += 1
-            low[k] = low[k] << U(16) & MASK
-            width[k] <<= U(16)
-        self.low[at], self.width[at] = low, width
+        self.low[at] += part * cum.astype(U)
+        self.width[at] = part * freq.astype(U)
+
+    def shift(self, at: np.ndarray | None, n: int) -> None:
+        """Of the blocks ``at``, or the first n, those whose width has become small."""
+        if at is None:
+            at = np.flatnonzero(self.width[:n] < DIGIT)
+        else:
+            at = at[self.width.take(at) < DIGIT]
+        low, width, used = self.low.take(at), self.width.take(at), self.used.take(at)
+        width = np.where((low ^ low + width) < DIGIT, width, (U(0) - low) & U(DIGIT - U(1)))
+        place = at * self.room + used
+        if self.code is None:
+            self.flat[place] = (low >> U(32)).astype(np.uint32)
+        else:
+            self.code[at] = self.code.take(at) << U(32) | self.flat.take(place)
+        self.used[at] = used + 1
+        self.low[at], self.width[at] = low << U(32), width << U(32)
 
     def close(self) -> None:
         at = np.arange(len(self.low))
-        for k in (32, 16, 0):
-            self.digits[at, self.used] = (self.low >> U(k) & LOW).astype(np.uint16)
+        for k in (32, 0):
+            self.digits[at, self.used] = (self.low >> U(k) & (DIGIT - U(1))).astype(np.uint32)
             self.used += 1
 
 
@@ -173,32 +198,37 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The digits of each block, in order. Blocks of 1 to BLOCK ids under 65,536."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     lengths = np.array([len(blocks[k]) for k in order])
-    ids = np.zeros((lengths[0], len(order)), np.int64)
+    ids = np.zeros((lengths[0], len(order)), np.int32)
     for lane, k in enumerate(order):
         ids[: len(blocks[k]), lane] = blocks[k]
-    orders, coder, table = Orders(len(order)), Coder(len(order), np.zeros((len(order), 3 * lengths[0] + 8), np.uint16)), None
+    orders, coder, table = Orders(len(order)), Coder(len(order), np.zeros((len(order), 2 * lengths[0] + 8), np.uint32)), None
     start = 0
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t))  # blocks longer than t
         if t in RENEW:
             table, start = Order0(ids[:t, :n], False), t
             until = min(2 * t, lengths[0])
-            cum, freq, seen = table.find(ids[t:until, :n])
+            cum, freq, seen = (x.ravel() for x in table.find(ids[t:until, :n]))
+            across = n
         now = ids[t, :n]
-        g2, g1, f2, f1 = orders.predict(n)
-        which = np.where(now == g2, 0, np.where(now == g1, 1, 2))
-        coder.narrow(slice(0, n), np.where(which == 0, 0, np.where(which == 1, f2, f2 + f1)), np.where(which == 0, f2, np.where(which == 1, f1, (1 << CHOICE) - f2 - f1)), CHOICE)
+        g2, g1, begin, wide = orders.predict(n)
+        which = (now != g2) * (2 - (now == g1))
+        mine = which * n + orders.lanes[:n]
+        coder.narrow(slice(0, n), begin.take(mine), wide.take(mine), CHOICE)
         rest = np.flatnonzero(which == 2)
-        if table is not None and len(rest):
-            coder.narrow(rest, cum[t - start, rest], freq[t - start, rest], ORDER0)
-            rest = rest[~seen[t - start, rest]]
+        if table is not None:
+            place = (t - start) * across + rest
+            coder.narrow(rest, cum.take(place), freq.take(place), ORDER0)
+            rest = rest[~seen.take(place)]
+        coder.shift(None, n)
         if len(rest):
             coder.narrow(rest, now[rest], np.ones(len(rest), np.int64), 16)
+            coder.shift(rest, n)
         orders.learn(now, which)
     coder.close()
     out: list[bytes] = [b""] * len(order)
     for lane, k in enumerate(order):
-        out[k] = coder.digits[lane, : coder.used[lane]].astype("<u2").tobytes()
+        out[k] = coder.digits[lane, : coder.used[lane]].astype("<u4").tobytes()
     return out
 
 
@@ -206,31 +236,34 @@ def decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
     """From (number of ids, digits) of each block its ids."""
     order = sorted(range(len(coded)), key=lambda k: -coded[k][0])
     lengths = np.array([coded[k][0] for k in order])
-    digits = np.zeros((len(order), max(len(coded[k][1]) for k in order) // 2 + 8), np.uint16)
+    digits = np.zeros((len(order), max(len(coded[k][1]) for k in order) // 4 + 8), np.uint32)
     for lane, k in enumerate(order):
-        own = np.frombuffer(coded[k][1], "<u2")
+        own = np.frombuffer(coded[k][1], "<u4")
         digits[lane, : len(own)] = own
-    ids = np.zeros((lengths[0], len(order)), np.int64)
+    ids = np.zeros((lengths[0], len(order)), np.int32)
     orders, coder, table = Orders(len(order)), Coder(len(order), digits), None
     coder.open()
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t))
         if t in RENEW:
             table = Order0(ids[:t, :n], True)
-        g2, g1, f2, f1 = orders.predict(n)
+        g2, g1, begin, wide = orders.predict(n)
         v = coder.value(slice(0, n), CHOICE)
-        which = np.where(v < f2, 0, np.where(v < f2 + f1, 1, 2))
-        coder.narrow(slice(0, n), np.where(which == 0, 0, np.where(which == 1, f2, f2 + f1)), np.where(which == 0, f2, np.where(which == 1, f1, (1 << CHOICE) - f2 - f1)), CHOICE)
+        which = (v >= begin[1]).astype(np.int64) + (v >= begin[2])
+        mine = which * n + orders.lanes[:n]
+        coder.narrow(slice(0, n), begin.take(mine), wide.take(mine), CHOICE)
         now = np.where(which == 0, g2, g1)
         rest = np.flatnonzero(which == 2)
-        if table is not None and len(rest):
-            e = table.slot[(rest << ORDER0) + coder.value(rest, ORDER0)]
-            coder.narrow(rest, table.entry_cum[e], table.entry_freq[e], ORDER0)
-            now[rest] = table.entry_id[e]
-            rest = rest[table.entry_id[e] < 0]
+        if table is not None:
+            e = table.slot.take((rest << ORDER0) + coder.value(rest, ORDER0))
+            coder.narrow(rest, table.entry_cum.take(e), table.entry_freq.take(e), ORDER0)
+            now[rest] = found = table.entry_id.take(e)
+            rest = rest[found < 0]
+        coder.shift(None, n)
         if len(rest):
             now[rest] = v = coder.value(rest, 16)
             coder.narrow(rest, v, np.ones(len(rest), np.int64), 16)
+            coder.shift(rest, n)
         ids[t, :n] = now
         orders.learn(now, which)
     out: list[np.ndarray] = [ids[:0, 0]] * len(order)
