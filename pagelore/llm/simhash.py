@@ -11,9 +11,10 @@ group has factored out. A search adds up the differences on the way down and lea
 A node gives a spanning forest of its links, not all pairs. Components come from alternating star contraction, in tables.
 
 The pipeline's stage asks for near copies: texts whose sets of 5-word shingles have a similarity of 0.8 or more. They differ in too many of 64
-bits for a radius of two, so there the same index holds fingerprints of 256 bits, its nodes are shared bands, and links are whole
-distances within COPY_RADIUS. A pair meets in some band with a chance that grows with its similarity (tests: nineteen of twenty pairs
-at 0.8 and more); exact copies always do.
+bits for a radius of two, so there the nodes are bands of COPY_ROWS least hashes of the set, COPY_BANDS for each text whatever the number
+of texts. A pair at 0.8 shares a node with a chance of 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, and more above. Every link is checked by the
+sets themselves. Each member of a node is compared with the node's first one; where a node then still holds two components, all its
+pairs across components are compared, in blocks if it is large. So no node is cut, and no link that shares a node is lost.
 
 Defined cases: null or word-less text has fingerprint zero, linked like any other; fewer than three words are one shingle; exact copies
 share a fingerprint; a null doc_id gets its row but never names a component unless no other id is in it; an empty table gives an empty
@@ -29,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from pagelore.llm.common import stored
 
@@ -233,22 +234,24 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     return rows.join(of.join(roots, "root").select("fp", "copies", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-# Near copies of a given similarity: the same index over wider fingerprints.
+# Near copies of a given similarity: bands of least hashes, and links checked by the sets of shingles.
 
-#: Words of a shingle; bits of a fingerprint; differing bits of a link. Two sets of shingles with a Jaccard similarity of 0.8 have a cosine
-#: of 0.89 and so differ in 15 per cent of the bits: 38 of 256, with a spread of 6. Unrelated texts differ in 128, with a spread of 8.
-COPY_SHINGLE, COPY_BITS, COPY_RADIUS = 5, 256, 48
+#: Words of a shingle; bands of a text, least hashes of a band; members and shingles of a node that are compared in one go.
+COPY_SHINGLE, COPY_BANDS, COPY_ROWS, COPY_LEAF, COPY_HELD = 5, 24, 5, 2048, 4_000_000
+#: Bits of the fingerprint that tests compare with, and the differing bits that stand for a similarity of 0.8 there.
+COPY_BITS, COPY_RADIUS = 256, 48
+#: Factors (odd) and summands of the hashes.
+FACTORS, SUMMANDS = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([k]), SEED) for k in range(COPY_BANDS * COPY_ROWS)), np.uint32).reshape(2, -1) | np.array([[1], [0]], np.uint32)
 
 
 def wide_fingerprint(text: str | None) -> bytes:
-    """COPY_BITS bits by majority over the shingles of COPY_SHINGLE words; fewer words are one shingle; none: all zero."""
+    """COPY_BITS bits by majority over the distinct shingles of COPY_SHINGLE words; fewer words are one shingle; none: all zero."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return bytes(COPY_BITS // 8)
     join, digest = b" ".join, xxhash.xxh3_128_digest
-    n = max(1, len(words) - COPY_SHINGLE + 1)
-    shingles = zip(*(words[k:] for k in range(COPY_SHINGLE)), strict=False) if len(words) >= COPY_SHINGLE else iter([words])
-    total = np.zeros(COPY_BITS, np.int64)
+    distinct = set(zip(*(words[k:] for k in range(COPY_SHINGLE)), strict=False)) if len(words) >= COPY_SHINGLE else {tuple(words)}
+    shingles, n, total = iter(distinct), len(distinct), np.zeros(COPY_BITS, np.int64)
     for _ in range(0, n, CHUNK):
         block = [join(s) for s, _ in zip(shingles, range(CHUNK), strict=False)]
         own = b"".join([digest(s, SEED) + digest(s, SEED + 1) for s in block])
@@ -256,43 +259,73 @@ def wide_fingerprint(text: str | None) -> bytes:
     return np.packbits(total * 2 > n).tobytes()
 
 
-@F.pandas_udf(BinaryType())
-def wide_fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([wide_fingerprint(x) for x in texts], dtype=object)
-
-
-def band_values(prints: list[bytes], width: int) -> np.ndarray:
-    """The values of consecutive bands of ``width`` bits, a row for each print."""
-    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8)).reshape(len(prints), COPY_BITS)
-    count = COPY_BITS // width
-    return bits[:, : count * width].reshape(len(prints), count, width).astype(np.int64) @ (1 << np.arange(width))
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of COPY_SHINGLE words; fewer words are one shingle, no words none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    join, digest = b" ".join, xxhash.xxh3_64_digest
+    shingles = zip(*(words[k:] for k in range(COPY_SHINGLE)), strict=False) if len(words) >= COPY_SHINGLE else iter([words])
+    return np.unique(np.frombuffer(b"".join([digest(join(s), SEED) for s in shingles]), np.int64))
+
+
+def set_key(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes(), SEED)
+
+
+def copy_nodes(own: np.ndarray) -> list[int]:
+    """The node of each band; they depend on the set alone."""
+    low, least = own.astype(np.uint32), np.full(COPY_BANDS * COPY_ROWS, 2**32 - 1, np.uint32)
+    for at in range(0, len(low), 1024):
+        np.minimum(least, (low[at : at + 1024, None] * FACTORS + SUMMANDS).min(0), out=least)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(least.reshape(COPY_BANDS, COPY_ROWS))]
+
+
+@F.pandas_udf(StructType().add("set", BinaryType()).add("size", LongType()).add("nodes", ArrayType(LongType())))
+def copy_keys(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(x) for x in texts]
+    return pd.DataFrame({"set": [set_key(x) for x in sets], "size": [len(x) for x in sets], "nodes": [copy_nodes(x) for x in sets]})
+
+
+@F.pandas_udf(StructType().add("set", BinaryType()).add("shingles", ArrayType(LongType())))
+def copy_sets(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(x) for x in texts]
+    return pd.DataFrame({"set": [set_key(x) for x in sets], "shingles": sets})
+
+
+def across(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets of different groups (``root`` has each set's) that join all groups with a similarity of 0.8 between any two of
+    their sets."""
+    size = np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    start, mark, root, out = np.cumsum(size) - size, np.zeros(len(at), np.int32), root.copy(), []
+    for i in range(len(sets)):
+        others = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i])))
+        if not len(others) or not size[i]:
+            continue
+        own, n = at[start[i] : start[i] + size[i]], size[others]
+        first = np.cumsum(n) - n
+        mark[own] = 1
+        both = np.add.reduceat(mark[at[np.repeat(start[others] - first, n) + np.arange(n.sum())]], first)
+        mark[own] = 0
+        for j in others[9 * both >= 4 * (n + size[i])].tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
 
 
 def copy_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (node, wide), a node's rows together; gives (a, b): each print and the first one that its links reach in the node."""
+    """Rows (node, set, root, shingles), a node's rows together; gives links (a, b) across its components."""
     held: list[pd.DataFrame] = []
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        node, wide = rows["node"].to_numpy(), list(rows["wide"])
+        node, own, a, b = rows["node"].to_numpy(), list(rows["set"]), [], []
         edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.array([0])
-        x, a, b = np.frombuffer(b"".join(wide), np.uint64).reshape(len(wide), -1), [], []
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if j - i < 2:
-                continue
-            own, root = x[i:j], np.arange(j - i)
-            for at in range(0, j - i, QUERIES):
-                far = np.bitwise_count(own[at : at + QUERIES, None, :] ^ own[None, :, :]).sum(-1, dtype=np.int32)
-                p, q = np.nonzero(far <= COPY_RADIUS)
-                p += at
-                while (root[p] != root[q]).any():
-                    low = np.minimum(root[p], root[q])
-                    np.minimum.at(root, root[p], low)
-                    np.minimum.at(root, root[q], low)
-                    while (root[root] != root).any():
-                        root = root[root]
-            for k in np.flatnonzero(root != np.arange(j - i)).tolist():
-                a.append(wide[i + k])
-                b.append(wide[i + int(root[k])])
+            for x, y in across(list(rows["shingles"].iloc[i:j]), pd.factorize(rows["root"].iloc[i:j])[0]):
+                a.append(own[i + x])
+                b.append(own[i + y])
         return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
     for batch in batches:
@@ -305,56 +338,48 @@ def copy_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(pd.concat(held, ignore_index=True))
 
 
-def copy_links(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """(a, b) of distinct prints ``wide`` within COPY_RADIUS that share a band. The band's width grows with the number of prints, so that
-    unrelated ones seldom meet; a node over ``leaf`` is divided by the next bands, and the links that this loses are left to the nodes
-    of other bands."""
-    n = prints.count()
-    width = min(24, max(8, n.bit_length() - 6))
-    count = COPY_BITS // width
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                wide = list(batch["wide"].iloc[at : at + 1000])
-                node = band_values(wide, width) + (np.arange(count) << 32)
-                yield pd.DataFrame({"node": node.ravel(), "band": np.tile(np.arange(count), len(wide)), "wide": [w for w in wide for _ in range(count)]})
-
-    def divide(batches: Iterator[pd.DataFrame], level: int) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            band = (batch["band"].to_numpy() + level) % count
-            value = band_values(list(batch["wide"]), width)[np.arange(len(batch)), band] if len(batch) else np.empty(0, np.int64)
-            yield batch.assign(node=batch["node"].to_numpy() * 6364136223846793005 + value * 1442695040888963407 + level)
-
-    schema = "node bigint, band bigint, wide binary"
-    rows, out = prints.select("wide").mapInPandas(spread, schema), None
-    for level in range(1, count + 1):
-        heavy = stored(rows.groupBy("node").count().filter(F.col("count") > leaf).select("node"), "heavy") if level < count else None
-        heavy = heavy if heavy is not None and heavy.head(1) else None
-        light = rows if heavy is None else rows.join(heavy, "node", "left_anti")
-        found = light.select("node", "wide").repartition("node").sortWithinPartitions("node").mapInPandas(copy_leaves, "a binary, b binary")
-        out = found if out is None else out.union(found)
-        if heavy is None:
-            break
-        rows = rows.join(heavy, "node", "left_semi").mapInPandas(lambda batches, level=level: divide(batches, level), schema)
-    return out.distinct()
-
-
-def copy_groups(docs: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, wide) of each row, and (wide, root, component_id) of each distinct print; component_id is null if no row has an id."""
-    rows = stored(docs.select("doc_id", wide_fingerprints("text").alias("wide")), "prints")
-    prints = stored(rows.groupBy("wide").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = components(copy_links(prints, leaf)).withColumnRenamed("a", "wide")
-    of = prints.join(linked, "wide", "left").select("wide", "first", F.coalesce("root", "wide").alias("root"))
-    least = of.filter(F.col("root") != F.col("wide")).groupBy("root").agg(F.min("first").alias("other"))
-    roots = of.filter(F.col("root") == F.col("wide")).join(least, "root", "left").select("root", F.least("first", "other").alias("component_id"))
-    return rows, of.join(roots, "root").select("wide", "root", "component_id")
-
-
-def near_copies(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
+def copy_links(docs: DataFrame, prints: DataFrame, leaf: int = COPY_LEAF) -> DataFrame:
+    """(a, b) of distinct sets (``prints`` has set, size, nodes, text_key) that connect all pairs with a similarity of 0.8 and a node."""
+    nodes = prints.select("set", "size", F.explode("nodes").alias("node"))
+    shared = nodes.groupBy("node").count().filter("count > 1").select("node")
+    members = stored(nodes.join(shared, "node"), "members")
+    heads = members.groupBy("node").agg(F.min("set").alias("head"))
+    star = stored(members.join(heads, "node").filter("set != head").select("set", "head").distinct(), "star")
+    needed = prints.join(members.select("set").distinct(), "set", "left_semi").select("set", "text_key")
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(needed.select("text_key"), "text_key", "left_semi").distinct()
+    sets = stored(texts.select(copy_sets("text").alias("s")).select("s.*").join(needed, "set", "left_semi").dropDuplicates(["set"]), "sets")
+    both = star.join(sets, "set").join(sets.toDF("head", "others"), "head")
+    close = 9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others"))
+    found = stored(both.filter(close).select(F.col("set").alias("a"), F.col("head").alias("b")), "stars")
+
+    of = members.join(components(found).withColumnRenamed("a", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    of = stored(of, "of")
+    mixed = of.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total")).filter("low != high")
+    # a large node's members are dealt into parts, and each two parts meet in one block
+    parts = F.when((F.col("n") <= leaf) & (F.col("total") <= COPY_HELD), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / leaf, F.col("total") / COPY_HELD)))
+    rows = of.join(mixed.select("node", parts.alias("parts")), "node").withColumn("p", F.pmod(F.xxhash64("set"), F.col("parts")))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("node", F.least("p", "q"), F.greatest("p", "q")).alias("node"), "set", "root").join(sets, "set")
+    rest = rows.select("node", "set", "root", "shingles").repartition("node").sortWithinPartitions("node", "set").mapInPandas(copy_leaves, "a binary, b binary")
+    return found.union(rest)
+
+
+def copy_groups(docs: DataFrame, leaf: int = COPY_LEAF) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set) of each row, and (set, root, component_id) of each distinct set; component_id is null if no row has an id."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), copy_keys("text").alias("k"))
+    rows = stored(keyed.select("doc_id", "text_key", "k.*"), "rows")
+    prints = stored(rows.groupBy("set", "size", "nodes").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")), "distinct")
+    linked = components(copy_links(docs, prints, leaf)).withColumnRenamed("a", "set")
+    of = prints.join(linked, "set", "left").select("set", "first", F.coalesce("root", "set").alias("root"))
+    least = of.filter(F.col("root") != F.col("set")).groupBy("root").agg(F.min("first").alias("other"))
+    roots = of.filter(F.col("root") == F.col("set")).join(least, "root", "left").select("root", F.least("first", "other").alias("component_id"))
+    return rows, of.join(roots, "root").select("set", "root", "component_id")
+
+
+def near_copies(docs: DataFrame, leaf: int = COPY_LEAF) -> DataFrame:
     """doc_id, component_id for each row: what texts of similarity 0.8 or more connect."""
     rows, groups = copy_groups(docs, leaf)
-    return rows.join(groups, "wide").select("doc_id", "component_id")
+    return rows.join(groups, "set").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -363,6 +388,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     _, groups = copy_groups(docs)
     groups = stored(groups, "groups")
     kept = groups.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    nameless = groups.filter("component_id is null").select(F.col("wide").alias("_copy_wide"), F.col("root").alias("_copy_root"))
-    rest = docs.filter("doc_id is null").withColumn("_copy_wide", wide_fingerprints("text")).join(nameless, "_copy_wide").dropDuplicates(["_copy_root"])
+    nameless = groups.filter("component_id is null").select(F.col("set").alias("_copy_set"), F.col("root").alias("_copy_root"))
+    rest = docs.filter("doc_id is null").withColumn("_copy_set", copy_sets("text")["set"]).join(nameless, "_copy_set").dropDuplicates(["_copy_root"])
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(rest.select(*docs.columns))

@@ -248,6 +248,38 @@ def test_near_copies_are_found(spark, leaf):
     assert len(near) > 60 and sum(got[2 * k + 1] == 2 * k for k in near) >= 0.95 * len(near)
 
 
+def five_words(text):
+    w = text.split()
+    return set(zip(*(w[k:] for k in range(5)), strict=False))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def changed(rnd, base, n):
+    """``base`` with ``n`` words changed, apart from each other."""
+    out = list(base)
+    for k in rnd.sample(range(len(base) // 8), n):
+        out[8 * k + 4] = f"new{rnd.randrange(10**9)}"
+    return out
+
+
+def test_recall_does_not_depend_on_the_number_of_texts():
+    """A text's nodes come from the text alone, as many for ten million texts as for two; pairs barely over 0.8 share one."""
+    rnd = random.Random(5)
+    pairs = []
+    while len(pairs) < 400:
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(304)]
+        copy = changed(rnd, base, 6)
+        if 0.8 <= jaccard(five_words(" ".join(base)), five_words(" ".join(copy))) < 0.83:
+            pairs.append((" ".join(base), " ".join(copy)))
+    nodes = lambda t: set(simhash.copy_nodes(simhash.shingle_set(t)))
+    assert all(len(nodes(a)) == simhash.COPY_BANDS for a, _ in pairs)
+    assert sum(bool(nodes(a) & nodes(b)) for a, b in pairs) >= 398
+    assert len(set().union(*(nodes(a) for a, _ in pairs))) == 400 * simhash.COPY_BANDS
+
+
 # language identification
 
 
