@@ -280,6 +280,42 @@ def test_recall_does_not_depend_on_the_number_of_texts():
     assert len(set().union(*(nodes(a) for a, _ in pairs))) == 400 * simhash.COPY_BANDS
 
 
+@pytest.mark.parametrize("leaf", [8192, 6])
+def test_large_families_lose_no_link(spark, leaf):
+    """Families of which all nodes are over ``leaf``: chains whose ends are unlike, stars whose copies are unlike each other."""
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(2):
+        now = [f"w{rnd.randrange(10**6)}" for _ in range(160)]
+        for _ in range(60):
+            texts.append(" ".join(now))
+            now = changed(rnd, now, 2)
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(304)]
+        texts += [" ".join(base), *(" ".join(changed(rnd, base, rnd.choice([5, 6, 9]))) for _ in range(60))]
+    sets, root = [five_words(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), leaf).collect()}
+    assert [got[k] for k in range(len(texts))] == root
+    assert 4 < len(set(root)) < len(texts) / 2
+
+
+def test_blocks_find_what_the_whole_finds():
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(160)]
+    sets = [simhash.shingle_set(" ".join(changed(rnd, base, rnd.randrange(1, 5)))) for _ in range(40)]
+    links = simhash.across(sets, np.arange(40))
+    close = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    assert links and all(close(sets[i], sets[j]) for i, j in links)
+    root = np.arange(40)
+    for i, j in links:
+        root[root == root[j]] = root[i]
+    assert all(root[i] == root[j] for i in range(40) for j in range(i) if close(sets[i], sets[j]))
+
+
 # language identification
 
 
