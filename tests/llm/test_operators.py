@@ -316,6 +316,22 @@ def test_blocks_find_what_the_whole_finds():
     assert all(root[i] == root[j] for i in range(40) for j in range(i) if close(sets[i], sets[j]))
 
 
+def test_links_are_similarities_of_sets(spark):
+    """Under 0.8 nothing links, not by much-repeated passages either; how often a passage is repeated doesn't matter."""
+    rnd = random.Random(8)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):
+        base = new(304)
+        texts += [base, changed(rnd, base, 8)]
+    passage = new(12)
+    texts += [passage * 40 + new(60), passage * 40 + new(60), passage * 3, passage * 9]
+    texts = [" ".join(t) for t in texts]
+    assert all(0.7 < jaccard(five_words(texts[2 * k]), five_words(texts[2 * k + 1])) < 0.8 for k in range(40))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {k: k for k in range(83)} | {83: 82}
+
+
 # language identification
 
 
