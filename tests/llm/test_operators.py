@@ -562,6 +562,23 @@ def test_mix(spark, docs, odd, none):
     assert mixing.interleaved(odd).columns == [c for c in odd.columns if c not in mixing.ADDED]
 
 
+def test_mix_leaves_no_row_out(spark):
+    """Without weights all rows stay, in the order of the mix; given weights hold within a block to the end of the mix."""
+    data = [(k, "large" if k % 3 == 0 else f"s{k % 20}") for k in range(3000)]
+    frame = spark.createDataFrame(data, "doc_id bigint, source string")
+    got = [(r["doc_id"], r["source"]) for r in mixing.interleaved(frame).collect()]
+    assert sorted(got) == data
+    assert got == [(r["doc_id"], r["source"]) for r in mixing.mix(frame).orderBy("place").collect()]
+    weights = {"large": 1.0, "s1": 1.0, "s2": 2.0}
+    slots = mixing.shares(weights)
+    mixed = mixing.mix(frame, weights).filter("in_mix").orderBy("place").collect()
+    had, whole = collections.Counter(), sum(slots.values())
+    for t, r in enumerate(mixed, 1):
+        had[r["source"]] += 1
+        assert all(abs(had[s] - n * t / whole) < 2 * mixing.BLOCK for s, n in slots.items())
+    assert {r["slot"] for r in mixed} == set(range(len(mixed) // mixing.BLOCK + (len(mixed) % mixing.BLOCK > 0)))
+
+
 # token counts
 
 PUBLIC = pytest.importorskip("public_tokenizers")
