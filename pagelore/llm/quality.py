@@ -1,10 +1,11 @@
 """Quality rules: plain limits, then robust multivariate outliers.
 
 Statistics of whole texts are transformed to a vector (DIMS): log mean word length, and the square roots of the symbol, repeated-line and
-repeated-word shares. For each (lang, source) the minimum-covariance-determinant estimate is found from two starts, medians with
+repeated-word shares, the last without what a text of that length repeats by chance. For each (lang, source) the minimum-covariance-determinant estimate is found from two starts, medians with
 spreads and medians with the spatial-sign covariance, each followed by concentration steps: distances, the HALF of rows nearest, their mean
 and covariance. The start with the smaller determinant wins. A document is rejected if its squared Mahalanobis distance from that
-estimate passes the chi-square point of TAIL. All of it is aggregation by group, so a hot group is summed where its rows are; medians
+estimate passes the chi-square point of TAIL; the covariance is the group's and the noise of counting in the document itself, so a short
+text is given more room and no other floor is needed. All of it is aggregation by group, so a hot group is summed where its rows are; medians
 and distance quantiles come from counts of fine bins, so they don't depend on the partitioning.
 
 Defined cases: null text has no words, which fails the limits; a null lang or source is a group of its own; a group with fewer than LEAST
@@ -23,9 +24,14 @@ from pagelore.llm.common import WORD, stored
 
 DIMS = ("x_length", "x_symbols", "x_lines", "x_repeats")
 #: Part of a group's rows that an estimate covers, least rows of a group, concentration steps, chance to reject a normal row.
-HALF, LEAST, STEPS, TAIL = 0.75, 60, 3, 1e-9
-#: Added to variances: differences of this size in a coordinate never matter. Bins of a unit.
-RIDGE, BINS = (0.1**2, 0.035**2, 0.1**2, 0.1**2), 256
+HALF, LEAST, STEPS, TAIL = 0.75, 60, 3, 1e-4
+#: Added to variances of an estimate, so that it stays regular. Bins of a unit.
+RIDGE, BINS = (0.01**2, 0.003**2, 0.01**2, 0.01**2), 256
+#: Words, symbols, lines and repeated words that come at once in a text: its share of n things is as uncertain as one of n / CLUMP.
+CLUMP = (1, 4, 1, 6)
+#: Two 3-word windows of a clean text are equal with this chance, so a text of n words has a share of n times it repeated; at most so much
+#: is taken off.
+CHANCE, MOST_CHANCE = 1e-5, 0.1
 LONG = "bigint"
 
 
@@ -66,10 +72,18 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 def vector() -> list[Column]:
     share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    found = (F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"))
+    repeats = F.sqrt(F.greatest(F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)) - F.least(F.col("n_words") * CHANCE, F.lit(MOST_CHANCE)), F.lit(0.0)))
+    found = (F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), repeats)
     return [x.alias(name) for x, name in zip(found, DIMS, strict=True)]
 
 
+def noise() -> list[Column]:
+    """Variances of a text's own DIMS by counting: the square root of a share of n has 1 / 4n, and so has a log mean of lengths that spread
+    by half their mean."""
+    n = lambda c, k: F.lit(CLUMP[k] / 4) / F.greatest(F.col(c), F.lit(1))
+    return [n(c, k) for k, c in enumerate(("n_words", "word_chars", "n_lines", "n_words"))]
+
+
 def chi2_even(x: float, dof: int) -> float:
     """The chi-square distribution for an even number of degrees."""
     term, total = 1.0, 1.0
@@ -159,7 +173,7 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     stats = statistics(docs, ("doc_id", "lang", "source"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = stored(stats.select("doc_id", F.concat(name("lang"), F.lit("\n"), name("source")).alias("g"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *vector()), "statistics")
+    stats = stored(stats.select("doc_id", F.concat(name("lang"), F.lit("\n"), name("source")).alias("g"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *vector()), "statistics")
     passed = stats.filter("not base_failed")
     large = passed.groupBy("g").count().filter(F.col("count") >= LEAST).select("g", F.lit(True).alias("_large"))
     # the small groups together: their name is no group's
@@ -170,7 +184,9 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     found = robust(passed.select("g", *DIMS).join(enough, "g", "left_semi"))
     # an estimate from the nearest part is too narrow by this factor, were the rows normal
     widen = HALF / chi2_even(chi2_point(HALF, len(DIMS)), len(DIMS) + 2)
-    far = distance() / widen
-    limit = chi2_point(1 - tail, len(DIMS))
-    out = rows.join(found, "g", "left").withColumn("distance", far)
+    limit, n = chi2_point(1 - tail, len(DIMS)), len(DIMS)
+    out = rows.join(found.select("g", *[f"m{i}" for i in range(n)], *[_cov(i, j) for i in range(n) for j in range(i, n)]), "g", "left")
+    # the group's spread and the text's own noise
+    out = out.withColumns({_cov(i, j): F.col(_cov(i, j)) * widen + (noise()[i] if i == j else F.lit(0.0)) for i in range(n) for j in range(i, n)})
+    out = cholesky(out).withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"), "distance")

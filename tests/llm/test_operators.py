@@ -469,6 +469,26 @@ def test_robust_estimate(spark):
     assert quality.chi2_point(0.5, 2) == pytest.approx(2 * math.log(2))
 
 
+def test_each_dimension_rejects_by_itself(spark):
+    """Among clean texts a text is rejected for any one statistic, and the clean ones stay."""
+    rnd = random.Random(9)
+    word = lambda lo=2, hi=9: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(lo, hi)))
+    lines = lambda w: "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7))
+    clean = [lines([word() for _ in range(rnd.randint(150, 400))]) for _ in range(150)]
+    block = [word() for _ in range(30)]
+    repeats = lines([word() for _ in range(55)] + block + [word() for _ in range(20)] + block + [word() for _ in range(35)] + block)
+    doubled = "\n".join(x for _ in range(10) for x in (" ".join(word() for _ in range(20)), "one", "two"))
+    symbols = lines([word() + ("#" if k % 3 == 0 else "") for k in range(200)])
+    long = lines([word(8, 20) for _ in range(200)])
+    texts = [*clean, repeats, doubled, symbols, long]
+    frame = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(frame).collect()}
+    assert not any(got[k]["base_failed"] for k in range(154))
+    assert all(got[k]["kept"] for k in range(150))
+    assert [got[k]["kept"] for k in range(150, 154)] == [False] * 4
+    assert 0.4 < got[150]["n_repeat_words"] / got[150]["n_words"] < 0.5 and got[151]["n_dup_lines"] == 18 and got[152]["n_symbols"] / got[152]["word_chars"] < 0.087
+
+
 # decontamination
 
 
