@@ -9,8 +9,9 @@ scheduler runs over the data.
 Rows are numbered within a source by a digest of their key, without bringing a source together: rows are counted by digest range, the
 counts are summed, and only a range is ever sorted in one task.
 
-Without given weights every row is in the mix: once a source has run out its slots stay empty, and the others go on in their own slots.
-Given weights are a target to keep: the mix ends at the first slot whose source has no block left, so the bound holds to its end.
+Given weights are a target to keep: in_mix ends at the first slot whose source has no block left, so the bound holds to its end. Without
+them in_mix is a mark only, and ``interleaved`` keeps every row: once a source has run out its slots stay empty, and the others go on in
+their own slots.
 
 Defined cases: a null source is a source of its own; a null key counts as empty; repeated rows keep their number; a source without a
 weight, or with weight zero, gets no slot (slot null, in_mix false); an empty table gives an empty result; a column of the input named
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, slots of a period, sources that a mix may have, rows that a digest range should hold.
 BLOCK, PERIOD, MOST_SOURCES, RANGE_ROWS = 4, 1000, 10_000, 20_000
+#: Without given weights in_mix ends when the sources that still have blocks hold less than this part of the weight.
+KEEP = 0.5
 ADDED = ("block", "slot", "place", "in_mix")
 
 
@@ -77,8 +80,7 @@ def softened(sizes: Mapping[str | None, int], power: float) -> dict[str | None,
 
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int = PERIOD, power: float = 0.8) -> DataFrame:
     """All rows of ``df`` with block (its number in the source), slot, place (slot * block + row in the block: the order of the mix) and
-    in_mix: whether the slot comes before the end of the mix. Without weights, they are row counts to the power ``power``, and the mix ends
-    with the last row."""
+    in_mix: whether the slot comes before the end of the mix. Without weights, they are row counts to the power ``power``."""
     sizes = counts(df, source)
     slots = shares(softened(sizes, power) if weights is None else {s: w for s, w in weights.items() if s in sizes}, period)
     plan = schedule(slots)
@@ -87,7 +89,7 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
         return df.select("*", F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("bigint").alias("place"), F.lit(False).alias("in_mix"))
     length = sum(slots.values())
     place = {s: [t for t, (x, _) in enumerate(plan) if x == s] for s in slots}
-    until = None if weights is None else end_of_mix({s: -(-sizes[s] // block) for s in slots}, slots, place, length)
+    until = end_of_mix({s: -(-sizes[s] // block) for s in slots}, slots, place, length, KEEP if weights is None else 1)
 
     parts = max(64, -(-sum(sizes.values()) // RANGE_ROWS))
     name = F.coalesce(F.concat(F.lit("="), df[source]), F.lit(""))  # a null source is not the empty one
@@ -104,16 +106,23 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     n = F.size("_at")
     rows = rows.withColumn("block", F.floor(F.col("_nth") / block).cast("bigint"))
     rows = rows.withColumn("slot", F.when(F.col("_at").isNotNull(), F.floor(F.col("block") / n).cast("bigint") * length + F.get("_at", (F.col("block") % n).cast("int"))))
-    rows = rows.withColumn("place", F.col("slot") * block + F.col("_nth") % block).withColumn("in_mix", F.col("slot").isNotNull() if until is None else F.coalesce(F.col("slot") < until, F.lit(False)))
+    rows = rows.withColumn("place", F.col("slot") * block + F.col("_nth") % block).withColumn("in_mix", F.coalesce(F.col("slot") < until, F.lit(False)))
     return rows.select(*df.columns, *ADDED)
 
 
-def end_of_mix(blocks: Mapping[str | None, int], slots: Mapping[str | None, int], place: Mapping[str | None, list[int]], length: int) -> int:
-    """The first slot whose source has no block left."""
-    return min(blocks[s] // n * length + place[s][blocks[s] % n] for s, n in slots.items())
+def end_of_mix(blocks: Mapping[str | None, int], slots: Mapping[str | None, int], place: Mapping[str | None, list[int]], length: int, keep: float = KEEP) -> int:
+    """The first slot before which sources with ``keep`` of the weight still have blocks; exhausted ones leave their slots empty."""
+    gone = 0
+    for slot, n in sorted((blocks[s] // n * length + place[s][blocks[s] % n], n) for s, n in slots.items()):
+        gone += n
+        if gone > (1 - keep) * length:
+            return slot
+    return slot
 
 
-def interleaved(df: DataFrame, **how) -> DataFrame:
-    """The rows of the mix in its order, without added columns: range-partitioned by place, so files follow each other in order."""
-    mixed = mix(df, **how).filter("in_mix")
+def interleaved(df: DataFrame, weights: Mapping[str | None, float] | None = None, **how) -> DataFrame:
+    """All rows in the order of the mix, or with given weights those in the mix, without added columns: range-partitioned by place, so
+    files follow each other in order."""
+    mixed = mix(df, weights, **how)
+    mixed = mixed if weights is None else mixed.filter("in_mix")
     return mixed.orderBy("place").select(*[c for c in df.columns if c not in ADDED])
