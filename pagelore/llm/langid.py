@@ -1,15 +1,20 @@
 """Language identification with word-first backoff.
 
 A known word is scored by its log frequency in each language. An unseen word falls back to character n-grams, the longest known one
-at each place first, then shorter ones down to single characters. A text's score is the sum over its words; the posterior over the
+at each place first, then shorter ones down to single characters (its border alone says nothing). A text's score is the sum over its words; the posterior over the
 languages is the reported score.
 
 The model is fitted on a bounded sample: about SAMPLE labelled rows of each language, by a hash of the id, and of those the WORDS most
 frequent words and GRAMS n-grams of each language. So what is broadcast has a fixed bound. Prediction reads whole texts.
 
+``accepted`` keeps the documents in which one language stands out: its score is over chance, one of the number of languages, by EDGE of what
+there is above chance. Text that no language knows, such as an unseen script, or that all know alike, goes. A null lang is filled with
+the prediction.
+
 Defined cases: null text, or one without a letter: `und`, score 0; ties go to the language first in alphabetical order; rows with null
-lang or null text teach nothing; without a taught language every prediction is `und`; repeated rows are predicted alike; an empty
-table gives an empty result; other columns are ignored.
+lang or null text teach nothing; of more than LANGUAGES labels the most frequent ones teach; without a taught language every prediction
+is `und`, and ``accepted`` keeps what has a letter; repeated rows are predicted alike; an empty table gives an empty result; other columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,19 +28,34 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import small_batches, stored
+
 #: Rows of a language that teach, words and n-grams of a language that are kept, longest n-gram, languages.
 SAMPLE, WORDS, GRAMS, LONGEST, LANGUAGES = 4000, 20_000, 20_000, 4, 500
+#: How far the score of an accepted document must be from chance towards 1.
+EDGE = 1e-6
 LETTER = regex.compile(r"\p{L}")
 RUNS = regex.compile(r"\p{L}+")
-#: Words whose scores a worker keeps.
-REMEMBERED = 200_000
+#: Unseen words whose scores a worker keeps; rows that go to a worker at once.
+REMEMBERED, ROWS = 100_000, 1000
+
+
+class Rows:
+    """A table from words to rows of one matrix."""
+
+    def __init__(self, found: dict[str, int], matrix: np.ndarray) -> None:
+        self.found, self.matrix = found, matrix
+
+    def get(self, word: str) -> np.ndarray | None:
+        k = self.found.get(word)
+        return None if k is None else self.matrix[k]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
+    words: Rows | dict[str, np.ndarray] = field(default_factory=dict)
+    grams: Rows | dict[str, np.ndarray] = field(default_factory=dict)
     priors: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def word(self, w: str) -> np.ndarray:
@@ -53,29 +73,48 @@ class Model:
             at += size if found is not None else 1
         return out / max(n, 1)
 
-    def scores(self, texts: Iterator[str | None]) -> Iterator[tuple[str, float]]:
-        memo: dict[str, int] = {}
-        rows = np.empty((1024, len(self.languages)))
+    def scores(self, texts: Iterator[str | None], memo: Memo | None = None) -> Iterator[tuple[str, float]]:
+        memo = memo or Memo(self)
         for text in texts:
             if not text or not self.languages or not LETTER.search(text):
                 yield "und", 0.0
                 continue
-            if len(memo) > REMEMBERED:
-                memo.clear()
             found = RUNS.findall(text.lower())
             if not found:  # letters that lower-case to none
                 yield "und", 0.0
                 continue
-            for w in {w for w in found if w not in memo}:
-                k = memo[w] = len(memo)
-                if k >= len(rows):
-                    rows = np.concatenate([rows, np.empty_like(rows)])
-                rows[k] = self.word(w)
-            total = self.priors + rows[np.fromiter(map(memo.__getitem__, found), np.int64, len(found))].sum(0)
+            total = self.priors + memo.rows(found).sum(0)
             best = int(np.argmax(total))
             yield self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+class Memo:
+    """Scores of words: of known ones for good, of others until there are REMEMBERED."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        known = model.words if isinstance(model.words, Rows) else Rows({}, np.empty((0, len(model.languages))))
+        self.known, self.n = known.found, len(known.found)
+        self.matrix = np.concatenate([known.matrix, np.empty((1024, len(model.languages)))])
+        self.other: dict[str, int] = {}
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        known, other = self.known, self.other
+        if len(other) > REMEMBERED:
+            other.clear()
+        at = [known.get(w, -1) for w in words]
+        for k in [k for k, x in enumerate(at) if x < 0]:
+            w = words[k]
+            x = other.get(w)
+            if x is None:
+                x = other[w] = self.n + len(other)
+                if x >= len(self.matrix):
+                    self.matrix = np.concatenate([self.matrix, np.empty((len(self.matrix) - self.n, self.matrix.shape[1]))])
+                self.matrix[x] = self.model.word(w)
+            at[k] = x
+        return self.matrix[np.array(at, np.int64)]
+
+
 def _kept(counts: DataFrame, most: int) -> list:
     """The ``most`` most frequent items of each language. Sorted by language and count; a language's rows are ranked in one window, of
     the bounded sample only."""
@@ -86,33 +125,32 @@ def _kept(counts: DataFrame, most: int) -> list:
 def fit(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
     """``labelled``: doc_id, text, lang of the rows that may teach."""
     labelled = labelled.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Model([])
     languages = sorted(sizes)
-    limit = F.lit(0.0)
-    for lang in languages:
-        limit = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / sizes[lang]))).otherwise(limit)
+    limit = F
+    for lang in languages:  # one expression of many cases; other labels teach nothing
+        limit = limit.when(F.col("lang") == lang, F.lit(min(1.0, sample / sizes[lang])))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     taught = labelled.filter(chance < limit)
     counts = taught.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
-    counts = counts.persist()
+    counts = stored(counts, "taught")
     padded = F.concat(F.lit(" "), "item", F.lit(" "))
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda at: F.substring(padded, at, n))))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.length(padded)), lambda at: F.substring(padded, at, n)), lambda g: (F.length(g) == n) & (g != " "))))
     by_gram = counts.select("lang", F.explode(pieces).alias("item"), "n").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     known, gram_rows = _kept(counts, words), _kept(by_gram, grams)
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    counts.unpersist()
     at = {lang: k for k, lang in enumerate(languages)}
 
-    def table(rows: list, size: np.ndarray) -> dict[str, np.ndarray]:
-        out: dict[str, np.ndarray] = {}
+    def table(rows: list, size: np.ndarray) -> Rows:
+        found: dict[str, int] = {}
+        for _, item, _ in rows:
+            found.setdefault(item, len(found))
+        count = np.zeros((len(found), len(languages)))
         for lang, item, n in rows:
-            out.setdefault(item, np.zeros(len(languages)))[at[lang]] = n
-        floor = np.log(0.5 / (size + 0.5))
-        return {x: np.where(c > 0, np.log((c + 0.5) / (size + 0.5)), floor) for x, c in out.items()}
+            count[found[item], at[lang]] = n
+        return Rows(found, np.log((count + 0.5) / (size + 0.5)))
 
     size = np.array([float(total.get(x, 0)) for x in languages])
     gram_size = np.zeros(len(languages))
@@ -123,26 +161,34 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: in
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """struct(lang_pred, score) of each text."""
+    small_batches(docs.sparkSession, ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memo = Memo(shared.value)
         for texts in batches:
-            yield pd.DataFrame(list(shared.value.scores(texts)), columns=["lang_pred", "score"])
+            yield pd.DataFrame(list(shared.value.scores(texts, memo)), columns=["lang_pred", "score"])
 
-    return run(F.col(text))
+    # so that a filter on it doesn't run it once more
+    return run.asNondeterministic()(F.col(text))
 
 
 def identify(docs: DataFrame, teach: Column | None = None) -> DataFrame:
     """``docs`` with lang_pred and score, learnt from its rows where ``teach`` holds (all labelled rows if none is given)."""
     model = fit(docs.select("doc_id", "text", "lang") if teach is None else docs.filter(teach).select("doc_id", "text", "lang"))
-    out = docs.drop("lang_pred", "score")
-    return out.withColumn("_p", predict(out, model)).select(*out.columns, "_p.lang_pred", "_p.score")
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.select(F.struct(*others).alias("kept"), predict(docs, model).alias("found"))
+    return out.select("kept.*", "found.*")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a language; columns stay. Where no row has a label, the texts with a letter stay."""
+def accepted(docs: DataFrame, edge: float = EDGE) -> DataFrame:
+    """The rows in whose text a language stands out by ``edge``; a null lang is filled with the prediction, all else is as it was. Where no
+    row has a label, the texts with a letter stay."""
     model = fit(docs.select("doc_id", "text", "lang"))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return docs.withColumn("_verdict", predict(docs, model)).filter("_verdict.lang_pred != 'und'").select(*docs.columns)
+    out = docs.select(F.struct(*docs.columns).alias("kept"), predict(docs, model).alias("found"))
+    columns = [F.coalesce(F.col("kept.lang"), F.col("found.lang_pred")).alias("lang") if c == "lang" else F.col("kept")[c].alias(c) for c in docs.columns]
+    chance = 1 / len(model.languages)
+    return out.filter((F.col("found.lang_pred") != "und") & (F.col("found.score") >= chance + edge * (1 - chance))).select(*columns)
