@@ -10,11 +10,13 @@ fingerprints are sorted by Gray rank and grouped FAN by FAN; a group's mask hold
 group has factored out. A search adds up the differences on the way down and leaves a whole group once they pass the radius.
 A node gives a spanning forest of its links, not all pairs. Components come from alternating star contraction, in tables.
 
-The pipeline's stage asks for near copies: texts whose sets of 5-word shingles have a similarity of 0.8 or more. They differ in too many of 64
-bits for a radius of two, so there the nodes are bands of COPY_ROWS least hashes of the set, COPY_BANDS for each text whatever the number
-of texts. A pair at 0.8 shares a node with a chance of 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, and more above. Every link is checked by the
-sets themselves. Each member of a node is compared with the node's first one; where a node then still holds two components, all its
-pairs across components are compared, in blocks if it is large. So no node is cut, and no link that shares a node is lost.
+The pipeline's stage asks for near copies: texts whose sets of 5-word shingles have a similarity of 0.8 or more. They differ in about 39 of
+256 bits, too many for nodes of equal fingerprint bits. So there the uppermost level is bands of COPY_ROWS least hashes of the set, COPY_BANDS
+for each text whatever the number of texts: a pair at 0.8 shares a node with a chance of 1 - (1 - 0.8 ** 5) ** 24 = 0.9999, and more above.
+Inside a node the 256-bit fingerprints stand in Gray order under groups with their shared masked bits, and a search leaves a group whose
+accumulated differences pass COPY_REACH, over five standard deviations beyond a similarity of 0.8. What it finds is a candidate: every
+link is checked by the sets themselves. Each member of a node is first compared with the node's first one; only nodes that then still
+hold two components are searched, in blocks if they are large. So no node is cut, and no link that shares a node is lost.
 
 Defined cases: null or word-less text has fingerprint zero, linked like any other; fewer than three words are one shingle; exact copies
 share a fingerprint; a null doc_id gets its row but never names a component unless no other id is in it; an empty table gives an empty
@@ -32,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from pagelore.llm.common import stored
+from pagelore.llm.common import small_batches, stored
 
 RADIUS, LEAF, FAN, SHINGLE = 2, 8192, 16, 3
 SEED = 42
-#: Shingles and queries that are held at a time.
-CHUNK, QUERIES = 1 << 16, 128
+#: Shingles and queries that are held at a time; rows that go to a worker at once.
+CHUNK, QUERIES, ROWS = 1 << 16, 128, 1000
 
 
 def fingerprint(text: str | None) -> int:
@@ -71,10 +73,18 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Sorts codes of several 64-bit words, a row each, by Gray rank: a word's rank is turned over where the words before have odd parity."""
+    rank = gray_rank(codes)
+    odd = np.bitwise_xor.accumulate(rank & np.uint64(1), axis=1)
+    rank[:, 1:] ^= np.uint64(0) - odd[:, :-1]
+    return np.lexsort(rank.T[::-1])
+
+
 def hierarchy(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Levels from the top: (value, mask) of each group of codes in Gray order; the last level is the codes themselves. A mask leaves out
-    what the group above has."""
-    full = np.full(len(codes), ~np.uint64(0))
+    what the group above has. Codes are words, or rows of words."""
+    full = np.full(codes.shape, ~np.uint64(0))
     levels = [(codes, full)]
     while len(levels[0][0]) > FAN:
         value, mask = levels[0]
@@ -107,7 +117,8 @@ def near(levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, radiu
             q, far, node = np.repeat(q, FAN), np.repeat(far, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
             there = node < len(value)
             q, far, node = q[there], far[there], node[there]
-        far = far + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
+        apart = np.bitwise_count((queries[q] ^ value[node]) & mask[node])
+        far = far + (apart if apart.ndim == 1 else apart.sum(1, dtype=np.int64))
         keep = far <= radius
         q, far, node = q[keep], far[keep], node[keep]
     return q, node
@@ -238,8 +249,8 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 #: Words of a shingle; bands of a text, least hashes of a band; members and shingles of a node that are compared in one go.
 COPY_SHINGLE, COPY_BANDS, COPY_ROWS, COPY_LEAF, COPY_HELD = 5, 24, 5, 2048, 4_000_000
-#: Bits of the fingerprint that tests compare with, and the differing bits that stand for a similarity of 0.8 there.
-COPY_BITS, COPY_RADIUS = 256, 48
+#: Bits of the fingerprint, differing bits that a candidate may have, and those that most pairs at a similarity of 0.8 stay within.
+COPY_BITS, COPY_REACH, COPY_RADIUS = 256, 80, 48
 #: Factors (odd) and summands of the hashes.
 FACTORS, SUMMANDS = np.frombuffer(b"".join(xxhash.xxh3_64_digest(bytes([k]), SEED) for k in range(COPY_BANDS * COPY_ROWS)), np.uint32).reshape(2, -1) | np.array([[1], [0]], np.uint32)
 
@@ -287,43 +298,56 @@ def copy_keys(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"set": [set_key(x) for x in sets], "size": [len(x) for x in sets], "nodes": [copy_nodes(x) for x in sets]})
 
 
-@F.pandas_udf(StructType().add("set", BinaryType()).add("shingles", ArrayType(LongType())))
+@F.pandas_udf(StructType().add("set", BinaryType()).add("print", BinaryType()).add("shingles", ArrayType(LongType())))
 def copy_sets(texts: pd.Series) -> pd.DataFrame:
     sets = [shingle_set(x) for x in texts]
-    return pd.DataFrame({"set": [set_key(x) for x in sets], "shingles": sets})
+    return pd.DataFrame({"set": [set_key(x) for x in sets], "print": [wide_fingerprint(x) for x in texts], "shingles": sets})
 
 
-def across(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
+def across(sets: list[np.ndarray], prints: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
     """Links between sets of different groups (``root`` has each set's) that join all groups with a similarity of 0.8 between any two of
-    their sets."""
+    their sets. ``prints``: the fingerprint of each set, COPY_BITS / 64 words; a set is compared with what the Gray-order index finds
+    within COPY_REACH of it."""
     size = np.array([len(x) for x in sets])
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     start, mark, root, out = np.cumsum(size) - size, np.zeros(len(at), np.int32), root.copy(), []
-    for i in range(len(sets)):
-        others = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i])))
-        if not len(others) or not size[i]:
-            continue
-        own, n = at[start[i] : start[i] + size[i]], size[others]
-        first = np.cumsum(n) - n
-        mark[own] = 1
-        both = np.add.reduceat(mark[at[np.repeat(start[others] - first, n) + np.arange(n.sum())]], first)
-        mark[own] = 0
-        for j in others[9 * both >= 4 * (n + size[i])].tolist():
-            if root[j] != root[i]:
-                out.append((i, j))
-                root[root == root[j]] = root[i]
+    order = gray_order(prints)
+    levels = hierarchy(prints[order])
+    for first in range(0, len(sets), QUERIES):
+        q, c = near(levels, prints[first : first + QUERIES], COPY_REACH)
+        q, c = q + first, order[c]
+        ahead = (c > q) & (5 * np.minimum(size[c], size[q]) >= 4 * np.maximum(size[c], size[q])) & (size[q] > 0)
+        q, c = q[ahead], c[ahead]
+        order_q = np.argsort(q, kind="stable")
+        q, c = q[order_q], c[order_q]
+        edge = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True]) if len(q) else np.array([0])
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            i, others = int(q[x]), c[x:y]
+            others = others[root[others] != root[i]]
+            if not len(others):
+                continue
+            own, n = at[start[i] : start[i] + size[i]], size[others]
+            begin = np.cumsum(n) - n
+            mark[own] = 1
+            both = np.add.reduceat(mark[at[np.repeat(start[others] - begin, n) + np.arange(n.sum())]], begin)
+            mark[own] = 0
+            for j in others[9 * both >= 4 * (n + size[i])].tolist():
+                if root[j] != root[i]:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
     return out
 
 
 def copy_leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (node, set, root, shingles), a node's rows together; gives links (a, b) across its components."""
+    """Rows (node, set, print, root, shingles), a node's rows together; gives links (a, b) across its components."""
     held: list[pd.DataFrame] = []
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         node, own, a, b = rows["node"].to_numpy(), list(rows["set"]), [], []
         edge = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]) if len(node) else np.array([0])
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            for x, y in across(list(rows["shingles"].iloc[i:j]), pd.factorize(rows["root"].iloc[i:j])[0]):
+            prints = np.frombuffer(b"".join(rows["print"].iloc[i:j]), np.uint64).reshape(j - i, -1)
+            for x, y in across(list(rows["shingles"].iloc[i:j]), prints, pd.factorize(rows["root"].iloc[i:j])[0]):
                 a.append(own[i + x])
                 b.append(own[i + y])
         return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
@@ -348,32 +372,45 @@ def copy_links(docs: DataFrame, prints: DataFrame, leaf: int = COPY_LEAF) -> Dat
     needed = prints.join(members.select("set").distinct(), "set", "left_semi").select("set", "text_key")
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(needed.select("text_key"), "text_key", "left_semi").distinct()
     sets = stored(texts.select(copy_sets("text").alias("s")).select("s.*").join(needed, "set", "left_semi").dropDuplicates(["set"]), "sets")
-    both = star.join(sets, "set").join(sets.toDF("head", "others"), "head")
-    close = 9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others"))
-    found = stored(both.filter(close).select(F.col("set").alias("a"), F.col("head").alias("b")), "stars")
-
-    of = members.join(components(found).withColumnRenamed("a", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    of = stored(of, "of")
+    one = sets.select("set", "shingles")
+    other = one.toDF("head", "others")
+    alike = 9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.join(one, "set").join(other, "head").filter(alike).select(F.col("set").alias("a"), F.col("head").alias("b")), "stars")
+
+    def rooted(frame: DataFrame, roots: DataFrame, name: str, root: str) -> DataFrame:
+        return frame.join(roots.toDF(name, root), name, "left").withColumn(root, F.coalesce(root, name))
+
+    # most copies are joined by one head each; what other heads could still join is checked after that
+    found = checked(star.groupBy("set").agg(F.min("head").alias("head")))
+    roots = stored(components(found), "roots")
+    apart = rooted(rooted(star, roots, "set", "x"), roots, "head", "y").filter("x != y").select("set", "head")
+    found = found.union(checked(apart))
+    of = stored(rooted(members, components(found), "set", "root"), "of")
     mixed = of.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total")).filter("low != high")
     # a large node's members are dealt into parts, and each two parts meet in one block
     parts = F.when((F.col("n") <= leaf) & (F.col("total") <= COPY_HELD), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / leaf, F.col("total") / COPY_HELD)))
     rows = of.join(mixed.select("node", parts.alias("parts")), "node").withColumn("p", F.pmod(F.xxhash64("set"), F.col("parts")))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("node", F.least("p", "q"), F.greatest("p", "q")).alias("node"), "set", "root").join(sets, "set")
-    rest = rows.select("node", "set", "root", "shingles").repartition("node").sortWithinPartitions("node", "set").mapInPandas(copy_leaves, "a binary, b binary")
+    rest = rows.select("node", "set", "print", "root", "shingles").repartition("node").sortWithinPartitions("node", "set").mapInPandas(copy_leaves, "a binary, b binary")
     return found.union(rest)
 
 
 def copy_groups(docs: DataFrame, leaf: int = COPY_LEAF) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, set) of each row, and (set, root, component_id) of each distinct set; component_id is null if no row has an id."""
+    """(doc_id, set) of each row, and of each distinct set (set, root, component_id, and text_key of its first row); component_id is null if
+    no row has an id."""
+    small_batches(docs.sparkSession, ROWS)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), copy_keys("text").alias("k"))
     rows = stored(keyed.select("doc_id", "text_key", "k.*"), "rows")
-    prints = stored(rows.groupBy("set", "size", "nodes").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key")), "distinct")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("f")
+    prints = stored(rows.groupBy("set", "size", "nodes").agg(first).select("set", "size", "nodes", F.col("f.doc_id").alias("first"), "f.text_key"), "distinct")
     linked = components(copy_links(docs, prints, leaf)).withColumnRenamed("a", "set")
-    of = prints.join(linked, "set", "left").select("set", "first", F.coalesce("root", "set").alias("root"))
+    of = prints.join(linked, "set", "left").select("set", "first", "text_key", F.coalesce("root", "set").alias("root"))
     least = of.filter(F.col("root") != F.col("set")).groupBy("root").agg(F.min("first").alias("other"))
     roots = of.filter(F.col("root") == F.col("set")).join(least, "root", "left").select("root", F.least("first", "other").alias("component_id"))
-    return rows, of.join(roots, "root").select("set", "root", "component_id")
+    return rows, of.join(roots, "root").select("set", "root", "component_id", "first", "text_key")
 
 
 def near_copies(docs: DataFrame, leaf: int = COPY_LEAF) -> DataFrame:
@@ -383,11 +420,12 @@ def near_copies(docs: DataFrame, leaf: int = COPY_LEAF) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies stays: the one with the smallest doc_id, any one of rows that share it; of a group without ids
-    any one."""
+    """One row of each group of near copies stays: the one with the smallest doc_id (of rows that share it any one of the group), or any one
+    if no row has an id. Different texts stay both, whether or not they share an id."""
     _, groups = copy_groups(docs)
-    groups = stored(groups, "groups")
-    kept = groups.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    nameless = groups.filter("component_id is null").select(F.col("set").alias("_copy_set"), F.col("root").alias("_copy_root"))
-    rest = docs.filter("doc_id is null").withColumn("_copy_set", copy_sets("text")["set"]).join(nameless, "_copy_set").dropDuplicates(["_copy_root"])
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(rest.select(*docs.columns))
+    heads = groups.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "text_key")).alias("f"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    heads = heads.select(named("f.first").alias("id"), "f.text_key")
+    # repeated rows are one before the join, which then has its sides dealt as it needs them
+    rows = docs.select(F.struct(*docs.columns).alias("kept"), named("doc_id").alias("id"), F.xxhash64("text").alias("text_key"))
+    return rows.dropDuplicates(["id", "text_key"]).join(heads, ["id", "text_key"], "left_semi").select("kept.*")

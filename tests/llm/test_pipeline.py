@@ -7,7 +7,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from pagelore.llm import decontam, langid, mixing, sharding
+from pagelore.llm import decontam, langid, mixing, sharding, simhash
 from pagelore.llm.queries import ORACLES, QUERIES
 
 from conftest import SF_DIR, same
@@ -55,6 +55,19 @@ def test_dedup_stage(stages):
     assert ids(after) == [d for k, (d, _) in enumerate(docs) if root[k] == k]
 
 
+def test_dedup_stage_by_similarity(stages):
+    """The stage's contract by comparing all sets of 5-word shingles: of what 0.8 or more connects, the smallest doc_id stays."""
+    before, after, _ = stages[1]
+    docs = sorted((r["doc_id"], set(simhash.shingle_set(r["text"]).tolist())) for r in before.collect())
+    root = list(range(len(docs)))
+    for i, (_, a) in enumerate(docs):
+        for j, (_, b) in enumerate(docs[:i]):
+            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert ids(after) == [d for k, (d, _) in enumerate(docs) if root[k] == k]
+
+
 def test_decontamination_stage(stages, spark):
     before, after, _ = stages[2]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
