@@ -9,13 +9,13 @@ scheduler runs over the data.
 Rows are numbered within a source by a digest of their key, without bringing a source together: rows are counted by digest range, the
 counts are summed, and only a range is ever sorted in one task.
 
-Given weights are a target to keep: in_mix ends at the first slot whose source has no block left, so the bound holds to its end. Without
-them in_mix is a mark only, and ``interleaved`` keeps every row: once a source has run out its slots stay empty, and the others go on in
-their own slots.
+Weights are a target to keep: in_mix ends at the first slot whose source has no block left, so the bound holds to its end. Without given
+weights ``interleaved`` keeps every row all the same: once a source has run out its slots stay empty, and the others go on in their
+own slots.
 
-Defined cases: a null source is a source of its own; a null key counts as empty; repeated rows keep their number; a source without a
-weight, or with weight zero, gets no slot (slot null, in_mix false); an empty table gives an empty result; a column of the input named
-like an added one is replaced.
+Defined cases: a null source is a source of its own; rows with a null key are ordered by a digest of all their columns; repeated rows keep
+their number; a source without a weight, or with weight zero, gets no slot (slot null, in_mix false); of more than MOST_SOURCES sources
+the small ones share one weight; an empty table gives an empty result; a column of the input named like an added one is replaced.
 """
 
 from __future__ import annotations
@@ -23,13 +23,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, slots of a period, sources that a mix may have, rows that a digest range should hold.
 BLOCK, PERIOD, MOST_SOURCES, RANGE_ROWS = 4, 1000, 10_000, 20_000
-#: Without given weights in_mix ends when the sources that still have blocks hold less than this part of the weight.
-KEEP = 0.5
 ADDED = ("block", "slot", "place", "in_mix")
 
 
@@ -65,12 +63,23 @@ def schedule(slots: Mapping[str | None, int]) -> list[tuple[str | None, int]]:
     return out
 
 
-def counts(df: DataFrame, source: str = "source") -> dict[str | None, int]:
-    """Rows of each source. Their number is checked: a mix is of sources, not of keys."""
-    found = df.groupBy(source).count().limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    return {r[0]: r[1] for r in found}
+#: The common name of the sources beyond MOST_SOURCES; others begin with =, a null source is the empty name.
+POOLED = "+"
+
+
+def named(df: DataFrame, source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), df[source].cast("string")), F.lit(""))
+
+
+def counts(df: DataFrame, source: str = "source") -> dict[str, int]:
+    """Rows of each source by name, of at most MOST_SOURCES; the rows of all smaller ones count as POOLED."""
+    sizes = df.groupBy(named(df, source).alias("name")).count()
+    found = {r[0]: r[1] for r in sizes.orderBy(F.desc("count"), "name").limit(MOST_SOURCES).collect()}
+    if len(found) == MOST_SOURCES:
+        rest = sizes.agg(F.sum("count")).first()[0] - sum(found.values())
+        if rest:
+            found[POOLED] = rest
+    return found
 
 
 def softened(sizes: Mapping[str | None, int], power: float) -> dict[str | None, float]:
@@ -81,43 +90,45 @@ def softened(sizes: Mapping[str | None, int], power: float) -> dict[str | None,
 def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int = PERIOD, power: float = 0.8) -> DataFrame:
     """All rows of ``df`` with block (its number in the source), slot, place (slot * block + row in the block: the order of the mix) and
     in_mix: whether the slot comes before the end of the mix. Without weights, they are row counts to the power ``power``."""
-    sizes = counts(df, source)
-    slots = shares(softened(sizes, power) if weights is None else {s: w for s, w in weights.items() if s in sizes}, period)
-    plan = schedule(slots)
-    df = df.drop(*ADDED)
-    if not plan:
-        return df.select("*", F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("slot"), F.lit(None).cast("bigint").alias("place"), F.lit(False).alias("in_mix"))
-    length = sum(slots.values())
-    place = {s: [t for t, (x, _) in enumerate(plan) if x == s] for s in slots}
-    until = end_of_mix({s: -(-sizes[s] // block) for s in slots}, slots, place, length, KEEP if weights is None else 1)
-
+    spark, sizes = df.sparkSession, counts(df, source)
+    if weights is None:
+        wanted = softened(sizes, power)
+    else:
+        wanted = {("" if s is None else f"={s}"): w for s, w in weights.items()}
+    slots = shares({s: w for s, w in wanted.items() if s in sizes}, period)
+    plan, length = schedule(slots), sum(slots.values())
+    place: dict[str, list[int]] = {s: [] for s in slots}
+    for t, (s, _) in enumerate(plan):
+        place[s].append(t)
+    until = end_of_mix({s: -(-sizes[s] // block) for s in slots}, slots, place, length) if plan else 0
+
+    # what comes from outside stays in one struct, so that its names meet no others
+    kept = [c for c in df.columns if c not in ADDED]
+    everything = F.xxhash64(*[df[c] for c in df.columns]).cast("string")
+    digest = F.md5(F.coalesce(df[key].cast("string"), F.concat(F.lit("null "), everything)))
+    rows = df.select(F.struct(*kept).alias("kept"), df[key].alias("key"), named(df, source).alias("s"), digest.alias("h"))
+    if POOLED in sizes:
+        listed = F.broadcast(spark.createDataFrame([(s, True) for s in sizes], "s string, listed boolean"))
+        rows = rows.join(listed, "s", "left").withColumn("s", F.when(F.col("listed"), F.col("s")).otherwise(POOLED)).drop("listed")
     parts = max(64, -(-sum(sizes.values()) // RANGE_ROWS))
-    name = F.coalesce(F.concat(F.lit("="), df[source]), F.lit(""))  # a null source is not the empty one
-    rows = df.withColumns({"_s": name, "_h": F.md5(F.coalesce(df[key].cast("string"), F.lit("")))})
-    rows = rows.withColumn("_r", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint") * parts / 2**32).cast("int"))
-    ahead = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("_s", "_r").agg(F.count("*").alias("_n"))
-    ranges = ranges.select("_s", "_r", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_s", "_r").orderBy("_h", key)) - 1)
-    rows = rows.join(ranges, ["_s", "_r"], "left")
+    rows = rows.withColumn("r", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * parts / 2**32).cast("int"))
+    ahead = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("s", "r").agg(F.count("*").alias("n"))
+    ranges = ranges.select("s", "r", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("s", "r").orderBy("h", "key")) - 1)
+    rows = rows.join(ranges, ["s", "r"], "left")
     # one row for each source, of all slots together one period: its slots in the period
-    at = df.sparkSession.createDataFrame([("" if s is None else f"={s}", place[s]) for s in slots], "_s string, _at array<int>")
-    rows = rows.join(F.broadcast(at), "_s", "left").withColumn("_nth", F.col("_k") + F.col("_before"))
-    n = F.size("_at")
-    rows = rows.withColumn("block", F.floor(F.col("_nth") / block).cast("bigint"))
-    rows = rows.withColumn("slot", F.when(F.col("_at").isNotNull(), F.floor(F.col("block") / n).cast("bigint") * length + F.get("_at", (F.col("block") % n).cast("int"))))
-    rows = rows.withColumn("place", F.col("slot") * block + F.col("_nth") % block).withColumn("in_mix", F.coalesce(F.col("slot") < until, F.lit(False)))
-    return rows.select(*df.columns, *ADDED)
-
-
-def end_of_mix(blocks: Mapping[str | None, int], slots: Mapping[str | None, int], place: Mapping[str | None, list[int]], length: int, keep: float = KEEP) -> int:
-    """The first slot before which sources with ``keep`` of the weight still have blocks; exhausted ones leave their slots empty."""
-    gone = 0
-    for slot, n in sorted((blocks[s] // n * length + place[s][blocks[s] % n], n) for s, n in slots.items()):
-        gone += n
-        if gone > (1 - keep) * length:
-            return slot
-    return slot
+    at = spark.createDataFrame([(s, place[s]) for s in slots], "s string, at array<int>")
+    rows = rows.join(F.broadcast(at), "s", "left").select("kept", "at", F.size("at").alias("n"), (F.col("k") + F.col("before")).alias("nth"))
+    rows = rows.withColumn("block", F.floor(F.col("nth") / block).cast("bigint"))
+    rows = rows.withColumn("slot", F.when(F.col("at").isNotNull(), F.floor(F.col("block") / F.col("n")).cast("bigint") * length + F.get("at", (F.col("block") % F.col("n")).cast("int"))))
+    rows = rows.withColumn("place", F.col("slot") * block + F.col("nth") % block)
+    return rows.select(*[F.col("kept")[c].alias(c) for c in kept], "block", "slot", "place", F.coalesce(F.col("slot") < until, F.lit(False)).alias("in_mix"))
+
+
+def end_of_mix(blocks: Mapping[str, int], slots: Mapping[str, int], place: Mapping[str, list[int]], length: int) -> int:
+    """The first slot whose source has no block left."""
+    return min(blocks[s] // n * length + place[s][blocks[s] % n] for s, n in slots.items())
 
 
 def interleaved(df: DataFrame, weights: Mapping[str | None, float] | None = None, **how) -> DataFrame:

@@ -145,10 +145,8 @@ WITH RECURSIVE sizes AS (
   SELECT pick AS k, list(t ORDER BY t) AS slots FROM steps WHERE t >= 0 GROUP BY pick
 ), sources AS (
   SELECT source, n, slots, (rows + {_B - 1}) // {_B} // n * {_P} + slots[(rows + {_B - 1}) // {_B} % n + 1] AS runs_out FROM shares JOIN places USING (k)
-), gone AS (
-  SELECT runs_out, sum(n) OVER (ORDER BY runs_out, n ROWS UNBOUNDED PRECEDING) AS n FROM sources
 ), ends AS (
-  SELECT coalesce(min(runs_out) FILTER (WHERE n > {(1 - mixing.KEEP) * _P}), max(runs_out)) AS until FROM gone
+  SELECT min(runs_out) AS until FROM sources
 ), numbered AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS nth FROM documents
 ), placed AS (
