@@ -306,8 +306,10 @@ def test_large_families_lose_no_link(spark, leaf):
 def test_blocks_find_what_the_whole_finds():
     rnd = random.Random(7)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(160)]
-    sets = [simhash.shingle_set(" ".join(changed(rnd, base, rnd.randrange(1, 5)))) for _ in range(40)]
-    links = simhash.across(sets, np.arange(40))
+    texts = [" ".join(changed(rnd, base, rnd.randrange(1, 5))) for _ in range(40)]
+    sets = [simhash.shingle_set(t) for t in texts]
+    prints = np.array([np.frombuffer(simhash.wide_fingerprint(t), np.uint64) for t in texts])
+    links = simhash.across(sets, prints, np.arange(40))
     close = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
     assert links and all(close(sets[i], sets[j]) for i, j in links)
     root = np.arange(40)
@@ -332,6 +334,34 @@ def test_links_are_similarities_of_sets(spark):
     assert got == {k: k for k in range(83)} | {83: 82}
 
 
+def test_same_id_different_texts(spark):
+    """Rows that share an id are rows: only copies go."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey")
+    data = [(1, a), (1, a), (1, b), (2, b + " "), (None, c), (None, a), (3, c)]
+    got = sorted((r["doc_id"], r["text"].strip()) for r in simhash.one_of_each(spark.createDataFrame(data, "doc_id bigint, text string")).collect())
+    assert got == [(1, a), (1, b), (3, c)]
+
+
+def test_gray_order_of_wide_codes():
+    """Rows of words sort as one long word does, and the hierarchy prunes nothing near."""
+    rnd = np.random.default_rng(4)
+    codes = rnd.integers(0, 2**64, (300, 4), np.uint64)
+    codes[100:200] = codes[:100] ^ (np.uint64(1) << rnd.integers(0, 64, (100, 4)).astype(np.uint64))
+    whole = [sum(int(w) << 64 * (3 - k) for k, w in enumerate(row)) for row in codes]
+
+    def rank(x):
+        out = 0
+        while x:
+            out, x = out ^ x, x >> 1
+        return out
+
+    order = simhash.gray_order(codes)
+    assert order.tolist() == sorted(range(300), key=lambda k: rank(whole[k]))
+    q, c = simhash.near(simhash.hierarchy(codes[order]), codes[:150], 110)
+    want = {(i, j) for i in range(150) for j in range(300) if (whole[i] ^ whole[j]).bit_count() <= 110}
+    assert set(zip(q.tolist(), order[c].tolist(), strict=True)) == want
+
+
 # language identification
 
 
@@ -349,6 +379,70 @@ def test_languages(spark, docs, odd, none):
     assert langid.accepted(unlabelled).count() == langid.accepted(odd).count()
 
 
+def test_rejected_by_prediction(spark):
+    """Letters are not enough: text that no taught language knows goes. Columns of any name stay, a null lang is filled."""
+    data = [(k, "the house on the hill and the river" if k % 2 else "la maison sur la colline et le fleuve", "en" if k % 2 else "fr", "p", "v") for k in range(40)]
+    data += [(50, "привет мир и ещё", None, "p", "v"), (51, "the river", None, "p", "v"), (52, "日本語", "", "p", "v"), (53, "12 !", "en", "p", "v"), (51, "the river", None, None, "v"), (None, "le fleuve", None, "p", None)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string, lang string, _p string, _verdict string")
+    taught = frame.filter("lang != '' or lang is null")
+    got = langid.accepted(taught)
+    assert got.columns == frame.columns
+    assert sorted(((r["doc_id"], r["lang"], r["_p"], r["_verdict"]) for r in got.collect()), key=str) == sorted(((d, lang or ("fr" if t.startswith("le") else "en"), p, v) for d, t, lang, p, v in data if d not in (50, 52, 53)), key=str)
+    assert {(r["doc_id"], r["_p"], r["_verdict"]) for r in langid.identify(frame).collect()} == {(d, p, v) for d, _, _, p, v in data}
+
+
+def test_many_labels(spark):
+    """A dirty label column ends nothing: the most frequent labels teach."""
+    data = [(k, "word aa" if k % 2 else "other bb", "xx" if k % 2 else "yy") for k in range(20)] + [(100 + k, f"t{k}", f"l{k}") for k in range(langid.LANGUAGES + 50)]
+    got = langid.identify(spark.createDataFrame(data, "doc_id bigint, text string, lang string")).filter("doc_id < 20").collect()
+    assert all(r["lang_pred"] == ("xx" if r["doc_id"] % 2 else "yy") for r in got)
+
+
+def brute_language(data, text):
+    """Word-first backoff as the module says it, for rows (text, lang) that all teach and lists that cut nothing off."""
+    letters = lambda t: __import__("regex").findall(r"\p{L}+", t.lower())
+    langs = sorted({lang for _, lang in data})
+    words, grams = {x: collections.Counter() for x in langs}, {x: collections.Counter() for x in langs}
+    for t, lang in data:
+        words[lang].update(letters(t))
+    for lang in langs:
+        for w, n in words[lang].items():
+            p = f" {w} "
+            for size in range(1, 5):
+                for k in range(len(p) - size + 1):
+                    grams[lang][p[k : k + size]] += n
+        del grams[lang][" "]
+    def log(table, x):  # noqa: E301
+        return [math.log((table[lang][x] + 0.5) / (sum(table[lang].values()) + 0.5)) for lang in langs]
+
+    total = [0.0] * len(langs)
+    for w in letters(text):
+        if any(words[lang][w] for lang in langs):
+            add = log(words, w)
+        else:
+            p, k, found = f" {w} ", 0, []
+            while k < len(p):
+                size = next((z for z in range(min(4, len(p) - k), 0, -1) if any(grams[lang][p[k : k + z]] for lang in langs)), 0)
+                if size:
+                    found.append(log(grams, p[k : k + size]))
+                k += size or 1
+            add = [sum(x) / len(found) for x in zip(*found, strict=True)] if found else [0.0] * len(langs)
+        total = [a + b for a, b in zip(total, add, strict=True)]
+    best = max(range(len(langs)), key=lambda k: (total[k], -k))
+    return langs[best], 1 / sum(math.exp(x - total[best]) for x in total)
+
+
+def test_predictions_against_brute_force(spark, docs):
+    """On whole documents of every language, on unseen words, and on texts that mix them."""
+    data = [(r["doc_id"], r["text"], r["lang"]) for r in docs.limit(60).collect()]
+    asked = [(1000 + k, " ".join(reversed(t.split()))[:400], None) for k, (_, t, _) in enumerate(data[:30])] + [(2000, "Zzyx qwrt ünder", None), (2001, "kkkk", None), (2002, "the de la und", None)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"), sample=10**9, words=10**6, grams=10**6)
+    for _, t, _ in asked:
+        got = next(model.scores(iter([t])))
+        want = brute_language([(x, lang) for _, x, lang in data], t)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-6)
+
+
 def test_backoff():
     model = langid.Model(["aa", "bb"], {"word": np.array([-1.0, -2.0])}, {"qu": np.array([-9.0, -1.0]), "q": np.array([-1.0, -9.0]), "u": np.array([-1.0, -9.0])}, np.zeros(2))
     assert list(langid.Model.word(model, "word")) == [-1.0, -2.0]
@@ -599,6 +693,25 @@ def test_mix_leaves_no_row_out(spark):
     assert {r["slot"] for r in mixed} == set(range(len(mixed) // mixing.BLOCK + (len(mixed) % mixing.BLOCK > 0)))
 
 
+@pytest.mark.parametrize("sizes, weights", [({"a": 1000, "b": 100}, {"a": 1.0, "b": 1.0}), ({"a": 1000, "b": 100}, None), ({"a": 900, "b": 50, "c": 333}, {"a": 1, "b": 1, "c": 1}), ({"a": 5, None: 4000, "c": 37}, None)])
+def test_skewed_sources_reach_their_weights(spark, sizes, weights):
+    """At every slot of the mix each source has had within one block of its share, and the mix ends where a source has none left."""
+    data = [(None if k % 9 == 0 else k, s, "u", 7, "w") for s, n in sizes.items() for k in range(n)]
+    frame = spark.createDataFrame(data, "doc_id bigint, source string, _s string, _k int, s string")
+    got = mixing.mix(frame, weights)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == sorted(data, key=str)
+    slots = mixing.shares(mixing.softened(sizes, 0.8) if weights is None else weights)
+    whole, had, seen = sum(slots.values()), collections.Counter(), collections.defaultdict(set)
+    for r in got.filter("in_mix").collect():
+        seen[r["slot"]].add((r["source"], r["block"]))
+    for t in range(len(seen)):
+        [(s, block)] = seen[t]
+        assert block == had[s]
+        had[s] += 1
+        assert all(abs(had[x] - n * (t + 1) / whole) < 1 for x, n in slots.items())
+    assert any(had[s] == -(-sizes[s] // mixing.BLOCK) for s in slots)
+
+
 # token counts
 
 PUBLIC = pytest.importorskip("public_tokenizers")
