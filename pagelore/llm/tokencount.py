@@ -2,8 +2,8 @@
 
 In byte-pair encoding the tokens of a prefix are the tokens of a shorter prefix and one last token: the only one that ends there and can
 stand after the last token of the rest. So one pass over a piece gives the exact count at every prefix, and a text's counts are
-running sums over its pieces. From a text's table (piece ends and counts) truncation and budget questions are answered without
-encoding again.
+running sums over its pieces, with what a cut changes there (runs of white space, contractions, special strings) put right. A text's table
+has the exact count at each of its prefixes, so truncation and budget questions are lookups in it.
 
 The vocabulary is a byte-level tokenizer file of the tokenizers library; special strings inside texts are single tokens, as they are by
 default there.
@@ -15,8 +15,9 @@ are ignored.
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -25,11 +26,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose counts a worker keeps.
-REMEMBERED = 600_000
+from pagelore.llm.common import small_batches
+
+#: Pieces and code points of pieces whose counts a worker keeps.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 6_000_000
+#: Rows that go to a worker at once.
+ROWS = 1000
 #: Fixed value: the public split pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK = regex.compile(r"\s").match
+SPACES = regex.compile(r"\s{2,}")
 #: Pieces of PATTERN whose first two characters alone are two pieces.
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
@@ -61,7 +67,7 @@ class PrefixCounter:
         self.ending.make_automaton()
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pieces = regex.compile(PATTERN)
-        self.memo: dict[str, int] = {}
+        self.forget()
         self.follows: dict[int, bool] = {}
 
     def edge(self, token: bytes, right: bool) -> list[tuple[bytes, int]]:
@@ -107,13 +113,12 @@ class PrefixCounter:
                     last[p], count[p] = k, count[at] + 1
         return count
 
-    def piece(self, piece: str) -> int:
-        known = self.memo.get(piece)
-        if known is None:
-            if len(self.memo) > REMEMBERED:
-                self.memo.clear()
-            known = self.memo[piece] = self.prefix_counts(piece.encode("utf-8", "replace"))[-1]
-        return known
+    def prefixes(self, piece: str) -> list[int]:
+        """Tokens of piece[:k] for each k from 1, for text that is one piece."""
+        count = self.prefix_counts(piece.encode("utf-8", "replace"))
+        if len(count) == len(piece) + 1:
+            return count[1:]
+        return [count[p] for p in accumulate(len(c.encode("utf-8", "replace")) for c in piece)]
 
     def cut(self, text: str) -> tuple[list[str], list[bool]]:
         """(pieces, whether each is a special string)."""
@@ -129,56 +134,74 @@ class PrefixCounter:
         part = self.pieces.findall(text[at:])
         return out + part, marks + [False] * len(part)
 
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(end in code points, tokens up to there) of each piece."""
+    def place(self, piece: str) -> int:
+        """Number of the piece, whose prefix counts are kept in ``flat`` from ``start`` on."""
+        k = self.memo.get(piece)
+        if k is None:
+            k = self.memo[piece] = len(self.memo)
+            self.flat.extend(self.prefixes(piece))
+            self.start.append(len(self.flat))
+        return k
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.start = array("i"), array("q", [0])
+
+    def counts(self, text: str) -> np.ndarray:
+        """Tokens of text[:p] for each p from 1 to the text's length: the prefix table."""
         found, marks = self.cut(text)
-        for w in set(found):
-            if w not in self.memo:
-                self.piece(w)
-        memo = self.memo
-        try:
-            count = np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
-        except KeyError:  # the memo was emptied on the way
-            count = np.fromiter(map(self.piece, found), np.int64, len(found))
-        count[np.array(marks, bool)] = 1
-        return np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), np.cumsum(count)
-
-    def at(self, text: str, ends: np.ndarray, counts: np.ndarray, p: int) -> int:
-        """Tokens of text[:p], from the text's table."""
-        if p <= 0 or not len(ends):
-            return 0
-        k = int(np.searchsorted(ends, p))
-        if k == len(ends):
-            return int(counts[-1])
-        start = int(ends[k - 1]) if k else 0
-        piece, inside = text[start : int(ends[k])], text[start:p]
-        if piece != inside and self.special and self.special.fullmatch(piece):
-            # part of a special string is plain text, cut together with the plain text before it
-            edge = max((m.end() for m in self.special.finditer(text, 0, start)), default=0)
-            whole = int(counts[np.searchsorted(ends, edge)]) if edge else 0
-            return whole + sum(map(self.piece, self.pieces.findall(text[edge:p])))
-        if BLANK(text, p - 1):
-            # white space at the end is one piece
-            start = p - 1
-            while start and BLANK(text, start - 1):
-                start -= 1
-            return (int(counts[np.searchsorted(ends, start)]) if start else 0) + self.piece(text[start:p])
-        if piece == inside:
-            return int(counts[k])
-        before = int(counts[k - 1]) if k else 0
-        if piece in CONTRACTIONS and len(inside) == 2:
-            return before + self.piece(inside[0]) + self.piece(inside[1])
-        return before + self.prefix_counts(inside.encode("utf-8", "replace"))[-1]
-
-    def longest_within(self, text: str, ends: np.ndarray, counts: np.ndarray, limit: int) -> int:
-        """Code points of the longest prefix with at most ``limit`` tokens."""
-        if not len(ends) or counts[-1] <= limit:
-            return len(text)
-        k = bisect_right(counts, limit)  # the first piece whose end is over
-        p = int(ends[k]) - 1
-        while p > 0 and self.at(text, ends, counts, p) > limit:
-            p -= 1
-        return p
+        if len(self.memo) > REMEMBERED or len(self.flat) > REMEMBERED_CHARS:
+            self.forget()
+        known = self.memo
+        for w in {w for w in found if w not in known}:
+            self.place(w)
+        if not found:
+            return np.zeros(0, np.int64)
+        k = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.int32)
+        size = start[k + 1] - start[k]
+        ends = np.cumsum(size)
+        out = flat[np.repeat(start[k] - (ends - size), size) + np.arange(ends[-1])].astype(np.int64)
+        del start, flat  # the arrays can grow again
+        whole = out[ends - 1]
+        whole[np.array(marks, bool)] = 1
+        before = np.cumsum(whole) - whole
+        out += np.repeat(before, size)
+        out[ends - 1] = before + whole
+        # pieces that a cut inside them makes two of
+        for c in CONTRACTIONS:
+            if c in known and c in text:
+                both = self.prefixes(c[0])[-1] + self.prefixes(c[1])[-1]
+                at = np.flatnonzero((k == known[c]) & ~np.array(marks, bool))
+                out[ends[at] - 2] = before[at] + both
+        if any(marks):
+            self._inside_specials(text, marks, ends, out)
+        # white space at the end is one piece
+        for m in SPACES.finditer(text):
+            first = m.start()
+            out[first : m.end()] = (out[first - 1] if first else 0) + np.array(self.prefixes(m[0]))
+        return out
+
+    def _inside_specials(self, text: str, marks: list[bool], ends: np.ndarray, out: np.ndarray) -> None:
+        """Part of a special string is plain text, cut together with the plain text before it."""
+        edge = 0
+        for n in np.flatnonzero(marks).tolist():
+            start, end = (int(ends[n - 1]) if n else 0), int(ends[n])
+            # only what follows the last white space before it can be cut in another way
+            back = start
+            while back > edge and not BLANK(text, back - 1):
+                back -= 1
+            while back > edge and BLANK(text, back - 1):
+                back -= 1
+            plain = int(out[back - 1]) if back else 0
+            for p in range(start + 1, end):
+                out[p - 1] = plain + sum(self.prefixes(x)[-1] for x in self.pieces.findall(text[back:p]))
+            edge = end
+
+    def longest_within(self, counts: np.ndarray, limit: int) -> int:
+        """Code points of the longest prefix with at most ``limit`` tokens, from the prefix table."""
+        fits = np.flatnonzero(counts <= limit)
+        return int(fits[-1]) + 1 if len(fits) else 0
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -191,24 +214,26 @@ def counter(path: str) -> PrefixCounter:
     return _counters[path]
 
 
-def prefix_tables(docs: DataFrame, path: str, limit: int, text: str = "text") -> Column:
-    """struct(n_bytes, n_tokens, fits_chars, ends, counts) of each text. ends and counts are the prefix table, little-endian unsigned
-    32-bit numbers; fits_chars is the longest prefix within ``limit`` tokens, answered from the table."""
+def prefix_tables(docs: DataFrame, path: str, limit: int, text: str = "text", tables: bool = True) -> Column:
+    """struct(n_bytes, n_tokens, fits_chars, counts) of each text. counts is the prefix table, little-endian unsigned 32-bit numbers, one for
+    each code point (null if ``tables`` is false); fits_chars is the longest prefix within ``limit`` tokens, answered from the table."""
+    small_batches(docs.sparkSession, ROWS)
 
-    @F.pandas_udf("n_bytes bigint, n_tokens bigint, fits_chars bigint, ends binary, counts binary")
+    @F.pandas_udf("n_bytes bigint, n_tokens bigint, fits_chars bigint, counts binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = counter(path)
         for texts in batches:
             rows = []
             for t in texts:
                 t = t or ""
-                ends, counts = own.table(t)
-                rows.append((len(t.encode("utf-8", "replace")), int(counts[-1]) if len(counts) else 0, own.longest_within(t, ends, counts, limit), ends.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "fits_chars", "ends", "counts"])
+                counts = own.counts(t)
+                rows.append((len(t.encode("utf-8", "replace")), int(counts[-1]) if len(counts) else 0, own.longest_within(counts, limit), counts.astype("<u4").tobytes() if tables else None))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_tokens", "fits_chars", "counts"])
 
     return run(F.col(text))
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fits_chars, ends, counts for each row."""
-    return docs.select("doc_id", prefix_tables(docs, path, limit).alias("p")).select("doc_id", "p.n_bytes", "p.n_tokens", (F.col("p.n_tokens") > limit).alias("over_limit"), "p.fits_chars", "p.ends", "p.counts")
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, tables: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fits_chars, and with ``tables`` counts for each row."""
+    found = docs.select("doc_id", prefix_tables(docs, path, limit, tables=tables).alias("p"))
+    return found.select("doc_id", "p.n_bytes", "p.n_tokens", (F.col("p.n_tokens") > limit).alias("over_limit"), "p.fits_chars", *(["p.counts"] if tables else []))
