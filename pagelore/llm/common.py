@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+SEED = 42
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new folder if all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -38,6 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast; above that it is repeated for SALTS parts of each key.
+MOST_BROADCAST, SALTS = 200_000, 16
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, which has one small row for each key, where few keys may hold most rows: rows stay where they are, or if
+    ``found`` is too large for a broadcast are dealt by key and salt. ``found`` is counted, so it should be stored."""
+    if found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(found), key, how)
+    salted = found.withColumn("salt_of_join", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt_of_join", F.floor(F.rand(SEED) * SALTS).cast("int")).join(salted, [key, "salt_of_join"], how).drop("salt_of_join")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

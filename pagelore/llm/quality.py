@@ -5,8 +5,9 @@ repeated-word shares, the last without what a text of that length repeats by cha
 spreads and medians with the spatial-sign covariance, each followed by concentration steps: distances, the HALF of rows nearest, their mean
 and covariance. The start with the smaller determinant wins. A document is rejected if its squared Mahalanobis distance from that
 estimate passes the chi-square point of TAIL; the covariance is the group's and the noise of counting in the document itself, so a short
-text is given more room and no other floor is needed. All of it is aggregation by group, so a hot group is summed where its rows are; medians
-and distance quantiles come from counts of fine bins, so they don't depend on the partitioning.
+text is given more room and no other floor is needed. All of it is aggregation by group, and groups' values are broadcast (their number is checked)
+or joined by salted keys, so a hot group is summed where its rows are; medians and distance quantiles come from counts of fine bins, so
+they don't depend on the partitioning. Concentration ends when no start's determinant falls by more than SETTLED, or after STEPS steps.
 
 Defined cases: null text has no words, which fails the limits; a null lang or source is a group of its own; a group with fewer than LEAST
 rows that pass the limits is judged with all such groups together, and if even they are fewer, its rows are kept; repeated rows count each
@@ -20,11 +21,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import WORD, stored
+from pagelore.llm.common import WORD, looked_up, stored
 
 DIMS = ("x_length", "x_symbols", "x_lines", "x_repeats")
-#: Part of a group's rows that an estimate covers, least rows of a group, concentration steps, chance to reject a normal row.
-HALF, LEAST, STEPS, TAIL = 0.75, 60, 3, 1e-4
+#: Part of a group's rows that an estimate covers, least rows of a group, concentration steps at most and the fall of a log determinant that
+#: ends them, chance to reject a normal row.
+HALF, LEAST, STEPS, SETTLED, TAIL = 0.75, 60, 20, 0.01, 1e-4
 #: Added to variances of an estimate, so that it stays regular. Bins of a unit.
 RIDGE, BINS = (0.01**2, 0.003**2, 0.01**2, 0.01**2), 256
 #: Words, symbols, lines and repeated words that come at once in a text: its share of n things is as uncertain as one of n / CLUMP.
@@ -153,7 +155,7 @@ def robust(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """For each group g of ``rows`` (g and DIMS): m0.., l00.., det of the better start."""
     n = len(DIMS)
     middle = stored(_wide(_quantile(_per_dim(rows, [F.col(x) for x in DIMS]), ("g", "dim"), F.col("bin"), 0.5), "m"), "medians")
-    apart = rows.join(middle, "g")
+    apart = looked_up(rows, middle, "g")
     spread = _wide(_quantile(_per_dim(apart, [F.abs(F.col(x) - F.col(f"m{i}")) for i, x in enumerate(DIMS)]), ("g", "dim"), F.col("bin"), 0.5), "s")
     size = F.sqrt(sum(((F.col(x) - F.col(f"m{i}")) ** 2 for i, x in enumerate(DIMS)), F.lit(1e-9)))
     signs = apart.select("g", *[((F.col(x) - F.col(f"m{i}")) / size).alias(x) for i, x in enumerate(DIMS)])
@@ -161,9 +163,14 @@ def robust(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     signed = _moments(signs, ("g",)).drop(*[f"m{i}" for i in range(n)]).join(middle, "g").withColumn("start", F.lit(1))
     found = stored(cholesky(plain.unionByName(signed.select(plain.columns))), "estimates")
     for _ in range(steps):
-        far = rows.join(found, "g").withColumn("_bin", F.floor(F.log2(distance() + 1e-6) * 64).cast("int")).select("g", "start", "_bin", *DIMS)
-        near = far.join(_quantile(far, ("g", "start"), F.col("_bin"), HALF), ["g", "start"]).filter("_bin <= at")
+        before = found
+        far = looked_up(rows, found, "g").withColumn("_bin", F.floor(F.log2(distance() + 1e-6) * 64).cast("int")).select("g", "start", "_bin", *DIMS)
+        cut = stored(_quantile(far.withColumn("of", F.struct("g", "start")), ("of",), F.col("_bin"), HALF), "cuts")
+        near = looked_up(far.withColumn("of", F.struct("g", "start")), cut, "of").filter("_bin <= at")
         found = stored(cholesky(_moments(near, ("g", "start"))), "estimates")
+        fell = before.select("g", "start", F.log("det").alias("was")).join(found.select("g", "start", F.log("det").alias("now")), ["g", "start"])
+        if (fell.agg(F.max(F.col("was") - F.col("now"))).first()[0] or 0.0) <= SETTLED:
+            break
     best = found.groupBy("g").agg(F.min(F.struct("det", "start")).alias("b")).select("g", F.col("b.start").alias("start"))
     return found.join(best, ["g", "start"]).drop("start")
 
@@ -175,17 +182,18 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stored(stats.select("doc_id", F.concat(name("lang"), F.lit("\n"), name("source")).alias("g"), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), *vector()), "statistics")
     passed = stats.filter("not base_failed")
-    large = passed.groupBy("g").count().filter(F.col("count") >= LEAST).select("g", F.lit(True).alias("_large"))
+    sizes = stored(passed.groupBy("g").count(), "sizes")
+    large = stored(sizes.filter(F.col("count") >= LEAST).select("g", F.lit(True).alias("large")), "large")
     # the small groups together: their name is no group's
-    rows = stats.join(large, "g", "left").withColumn("g", F.when(F.col("_large"), F.col("g")).otherwise("small")).drop("_large")
+    rows = looked_up(stats, large, "g", "left").withColumn("g", F.when(F.col("large"), F.col("g")).otherwise("small")).drop("large")
     rows = stored(rows, "grouped")
-    passed = rows.filter("not base_failed")
-    enough = passed.groupBy("g").count().filter(F.col("count") >= LEAST).select("g")
-    found = robust(passed.select("g", *DIMS).join(enough, "g", "left_semi"))
+    few = sizes.filter(F.col("count") < LEAST).agg(F.sum("count")).first()[0] or 0
+    judged = F.lit(True) if few >= LEAST else F.col("g") != "small"
+    found = robust(rows.filter(~F.col("base_failed") & judged).select("g", *DIMS))
     # an estimate from the nearest part is too narrow by this factor, were the rows normal
     widen = HALF / chi2_even(chi2_point(HALF, len(DIMS)), len(DIMS) + 2)
     limit, n = chi2_point(1 - tail, len(DIMS)), len(DIMS)
-    out = rows.join(found.select("g", *[f"m{i}" for i in range(n)], *[_cov(i, j) for i in range(n) for j in range(i, n)]), "g", "left")
+    out = looked_up(rows, found.select("g", *[f"m{i}" for i in range(n)], *[_cov(i, j) for i in range(n) for j in range(i, n)]), "g", "left")
     # the group's spread and the text's own noise
     out = out.withColumns({_cov(i, j): F.col(_cov(i, j)) * widen + (noise()[i] if i == j else F.lit(0.0)) for i in range(n) for j in range(i, n)})
     out = cholesky(out).withColumn("distance", F.when(F.col("m0").isNotNull(), distance()))

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -583,6 +584,57 @@ def test_each_dimension_rejects_by_itself(spark):
     assert 0.4 < got[150]["n_repeat_words"] / got[150]["n_words"] < 0.5 and got[151]["n_dup_lines"] == 18 and got[152]["n_symbols"] / got[152]["word_chars"] < 0.087
 
 
+def brute_mcd(x, tries=60):
+    """Mean and covariance of the three quarters of rows with the smallest determinant, from many random starts to the end."""
+    rnd, h, best = np.random.default_rng(0), int(np.ceil(0.75 * len(x))), None
+    cov = lambda rows: np.cov(rows.T, bias=True) + np.diag(quality.RIDGE)
+    for _ in range(tries):
+        own = x[rnd.choice(len(x), 12, replace=False)]
+        for _ in range(60):
+            d = x - own.mean(0)
+            own = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov(own)), d), kind="stable")[:h]]
+        det = np.linalg.det(cov(own))
+        if best is None or det < best[0]:
+            best = det, own.mean(0), cov(own)
+    return best
+
+
+def test_verdicts_against_brute_force(spark):
+    """Estimate, distance and verdict by numpy from the statistics of whole texts, for two groups with junk of every kind in less than the
+    quarter of rows that an estimate bears."""
+    rnd = random.Random(12)
+    word = lambda lo=2, hi=9: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(lo, hi)))
+    data = []
+    for k in range(300):
+        w = [word() for _ in range(rnd.randint(60, 400))]
+        if k % 8 == 0:  # some symbols, long words or repeats, from harmless to heavy
+            heavy = rnd.random()
+            w = [word(2, 9 + int(20 * heavy)) + ("#" if rnd.random() < heavy / 3 else "") for _ in w]
+        lines = [" ".join(w[i : i + 8]) for i in range(0, len(w), 8)]
+        if k % 11 == 0:
+            lines += lines[: int(len(lines) * rnd.random() * 0.6)]
+        data.append((k, "\n".join(lines), "en", "a" if k % 3 else "b"))
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")).collect()}
+    widen = 0.75 / quality.chi2_even(quality.chi2_point(0.75, 4), 6)
+    limit, near, rejected = quality.chi2_point(1 - quality.TAIL, 4), 0, 0
+    for source in "ab":
+        stats = {d: brute_statistics(t) + (sum(1 for x in t.split("\n") if WORD.search(x)),) for d, t, _, s in data if s == source}
+        vec = {d: np.array([math.log((c + 1) / (n + 1)), math.sqrt(sy / max(c, 1)), math.sqrt(du / max(li, 1)), math.sqrt(max(0, re_ / max(n, 1) - min(n * quality.CHANCE, quality.MOST_CHANCE)))]) for d, (n, c, sy, du, re_, li) in stats.items()}
+        passed = [d for d, (n, _, _, _, re_, _) in stats.items() if n >= 50 and 100 * re_ <= 50 * n]
+        _, mean, cov = brute_mcd(np.array([vec[d] for d in passed]))
+        for d, (n, c, _, _, _, li) in stats.items():
+            noise = np.diag([k / 4 / max(m, 1) for k, m in zip(quality.CLUMP, (n, c, li, n), strict=True)])
+            x = vec[d] - mean
+            far = x @ np.linalg.inv(cov * widen + noise) @ x
+            near += abs(math.log(far / got[d]["distance"])) < 0.25
+            rejected += d in passed and far > limit
+            if d not in passed:
+                assert got[d]["base_failed"] and not got[d]["kept"]
+            elif not 0.8 < far / limit < 1.25:
+                assert got[d]["kept"] == (far <= limit), (d, far, got[d]["distance"])
+    assert near >= 285 and rejected > 10
+
+
 # decontamination
 
 
@@ -729,13 +781,27 @@ def test_prefix_counts_are_exact():
     texts = ["", "  a   b\n\n c", "don't we're they've I'll 'r 're  'll", "<|endoftext|>hi <|endoftext|>", "a <|endoftext|>  x<|endof", "日本語 テキスト 🙂🙂 é", "x" * 60 + " " * 140 + "y", "   a\u0085b", " \t\n", "fíné  １２３ ½ a b"]
     texts += ["".join(rnd.choice("the on'sreé \n12.!， ñ🙂aaa") for _ in range(60)) for _ in range(60)]
     for t in texts:
-        ends, counts = own.table(t)
-        for p in range(len(t) + 1):
-            assert own.at(t, ends, counts, p) == len(lib.encode(t[:p], add_special_tokens=False).ids), (t, p)
+        counts = own.counts(t)
+        assert len(counts) == len(t)
+        for p in range(1, len(t) + 1):
+            assert counts[p - 1] == len(lib.encode(t[:p], add_special_tokens=False).ids), (t, p)
         for limit in (0, 1, 5):
-            p = own.longest_within(t, ends, counts, limit)
-            assert own.at(t, ends, counts, p) <= limit
-            assert all(own.at(t, ends, counts, q) > limit for q in range(p + 1, len(t) + 1))
+            p = own.longest_within(counts, limit)
+            assert all(counts[q - 1] > limit for q in range(p + 1, len(t) + 1)) and (p == 0 or counts[p - 1] <= limit)
+
+
+def test_long_pieces_take_one_pass():
+    """A text without a space, of one letter or of many, and long runs of white space and of special strings."""
+    own, lib = tokencount.counter(PUBLIC.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefghé") for _ in range(100_000)), "a" * 100_000, "日本語" * 20_000, "x" + " " * 60_000 + "y", "<|endoftext|>" * 300 + "q" * 20_000]
+    for t in texts:
+        counts = own.counts(t)
+        for p in [1, 2, 999, 1000, 1500, len(t) // 2, len(t) - 1, len(t)]:
+            assert counts[p - 1] == len(lib.encode(t[:p], add_special_tokens=False).ids), (t[:9], p)
+    began = time.perf_counter()
+    own.counts("".join(rnd.choice("abcdefgh") for _ in range(300_000)))
+    assert time.perf_counter() - began < 10
 
 
 def test_token_counts(spark, docs, odd, none):
