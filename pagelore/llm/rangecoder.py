@@ -2,17 +2,21 @@
 
 A block holds BLOCK ids, starts from an empty model and ends in its own checksums, so blocks are read and repaired alone. For each id:
 
-* order 2 and order 1 each name the id that last followed the same two ids, or the same one; which of them is right, if any, is coded
-  with a mixture of two adaptive frequency tables, one by how often both were right of late and one by the last outcomes; the
-  mixture's weight follows the table that does better;
-* if neither is right, the id is coded with order 0: the block's own frequencies, renewed each time its length doubles; an id not seen
-  in the block yet is an escape and 16 plain bits.
+* order 2 and order 1 each give all of their chance to the id that last followed the same two ids, or the same one;
+* order 0 spreads its chance over the ids of the block so far by their frequencies, renewed each time the block's length doubles, with a
+  rest for the ids that it doesn't know;
+* the id is coded with the weighted sum of the three. The weights adapt: they are a mixture of two tables, one by how often orders 2 and 1
+  were right of late and one by the last outcomes, and the mixture follows the table that does better;
+* what no order knows falls into order 0's rest and is followed by whether it is new in the block, by an adaptive chance, then by its number
+  or by 16 or 32 plain bits.
+
+Ids are numbered within a block by first appearance, so models are small and take ids of any vocabulary up to 32 bits.
 
 The arithmetic coder is carry-less with 32-bit digits. numpy runs it over many blocks of a partition side by side, one id of each block a
 step; a block's bytes don't depend on its neighbours.
 
 Files: Spark writes rows (part, block, payload), so a lost executor's files are written again. A payload is MAGIC, numbers of ids, of
-document pieces and of digits, crc32 of the ids, crc32 of the rest, the pieces (doc number in the part, doc_id, null mark, ids), the digits.
+document pieces and of bytes of digits, crc32 of the ids, crc32 of the rest, the pieces (doc number in the part, doc_id, null mark, ids), the digits.
 
 Defined cases: null text is empty and has the end id alone; a null doc_id sorts first; rows that share a doc_id are ordered by a hash
 of the text; an empty table gives an empty result; other columns are ignored.
@@ -35,12 +39,11 @@ from pyspark.sql.types import LongType
 
 from pagelore.llm.common import shared_dir, stored
 
-MAGIC, BLOCK, LANES = b"PLR1", 4096, 2048
-#: Blocks whose ids are looked up together.
-SPREAD = 32
-#: Slots of the order-2 and order-1 tables, bits of the choice between orders, bits of order 0.
-SLOTS, CHOICE, ORDER0 = 2048, 12, 13
-REMEMBERED = 1_000_000
+MAGIC, BLOCK, LANES = b"PLR2", 4096, 2048
+#: Slots of the order-2 table, bits of weights, bits of order 0.
+SLOTS, WEIGHT, ORDER0 = 2048, 11, 13
+WHOLE0, BITS = 1 << ORDER0, WEIGHT + ORDER0
+REMEMBERED, PROBES = 1_000_000, 200
 HEAD = struct.Struct("<4sIIIII")
 PIECE = np.dtype([("doc", "<i8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
 U = np.uint64
@@ -49,109 +52,90 @@ RENEW = [1 << k for k in range(6, BLOCK.bit_length())]
 
 
 class Orders:
-    """Orders 1 and 2 and the choice between them, for many blocks side by side. A slot holds an id and, in its low two bits, how often
-    it was right of late. Outcomes: 0 order 2 was right, 1 order 1, 2 neither."""
+    """Orders 1 and 2 and the weights of all three, for many blocks side by side. A slot holds an id's number and, in its low two bits, how
+    often it was right of late. Outcomes: 0 order 2 was right, 1 order 1, 2 neither."""
 
     RATE = np.float32(0.03)
     KEEP = np.float32(1) - RATE
-    #: The chances of order 2 and of order 1 are the two parts of one complex number. What an outcome adds to them; which way it moves the
-    #: weight; the last two outcomes after it.
+    #: The weights of order 2 and of order 1 are the two parts of one complex number. What an outcome adds to them; which way it moves the
+    #: share of the first table; the last two outcomes after it.
     ADD = np.array([RATE, RATE * 1j, 0], np.complex64)
     TOWARDS = np.array([0.05, -0.05, -0.05], np.float32)
     PAST = np.array([k % 3 * 3 + w for k in range(9) for w in range(3)])
 
-    def __init__(self, n: int) -> None:
+    def __init__(self, n: int, longest: int) -> None:
         lanes = np.arange(n)
-        self.lanes, self.own, self.by, self.of = lanes, lanes * SLOTS, lanes * 32, lanes * 9
+        self.own1, self.own2, self.by, self.of = lanes * longest, lanes * SLOTS, lanes * 32, lanes * 9
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.slots2, self.slots1 = np.zeros((2, n * SLOTS), np.int32)
+        self.slots2, self.slots1 = np.zeros(n * SLOTS, np.int32), np.zeros(n * longest, np.int32)
         self.by_trust, self.by_past = np.full(n * 32, (1 + 1j) / 3, np.complex64), np.full(n * 9, (1 + 1j) / 3, np.complex64)
-        self.past, self.weight = np.full(n, 8), np.full(n, 0.5, np.float32)
+        self.past, self.share = np.full(n, 8), np.full(n, 0.5, np.float32)
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1 of the first n blocks; where each outcome begins, and how wide it is."""
-        hashed = self.last[:n] * 40503
-        self.k1 = self.own[:n] + (hashed >> 3 & SLOTS - 1)
-        self.k2 = self.own[:n] + (hashed + self.before[:n] * 30011 >> 3 & SLOTS - 1)
+    def predict(self, n: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Guesses of order 2 and 1 of the first n blocks, and their weights, out of 2 ** WEIGHT."""
+        self.k1 = self.own1[:n] + self.last[:n]
+        self.k2 = self.own2[:n] + (self.last[:n] * 40503 + self.before[:n] * 30011 >> 3 & SLOTS - 1)
         self.s2, self.s1 = self.slots2.take(self.k2), self.slots1.take(self.k1)
         self.g2, self.g1 = self.s2 >> 2, self.s1 >> 2
+        if first:  # no number has an id yet
+            self.g2, self.g1 = self.g2 - 1, self.g1 - 1
         self.context = self.by[:n] + ((self.s2 & 3) * 4 + (self.s1 & 3) + (self.g2 == self.g1) * np.int32(16))
         self.recent = self.of[:n] + self.past[:n]
         self.a, self.b = self.by_trust.take(self.context), self.by_past.take(self.recent)
         self.apart = self.a - self.b
-        mixed = self.b + self.weight[:n] * self.apart
-        begin, wide = np.zeros((3, n), np.int64), np.empty((3, n), np.int64)
-        scale = np.float32((1 << CHOICE) - 3)
-        wide[0], wide[1] = mixed.real * scale, mixed.imag * scale
-        wide[:2] += 1
-        begin[1] = wide[0]
-        np.add(wide[0], wide[1], out=begin[2])
-        np.subtract(1 << CHOICE, begin[2], out=wide[2])
-        return self.g2, self.g1, begin, wide
-
-    def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
-        n = len(ids)
-        w = self.weight[:n]
+        mixed = self.b + self.share[:n] * self.apart
+        scale = np.float32((1 << WEIGHT) - 3)
+        return self.g2, self.g1, (mixed.real * scale).astype(np.int64) + 1, (mixed.imag * scale).astype(np.int64) + 1
+
+    def learn(self, now: np.ndarray) -> None:
+        n = len(now)
+        is2, is1 = now == self.g2, now == self.g1
+        which = np.where(is2, 0, 2 - is1)
+        w = self.share[:n]
         w += self.apart.real * self.TOWARDS.take(which)
         np.minimum(np.maximum(w, np.float32(0.02), out=w), np.float32(0.98), out=w)
         add = self.ADD.take(which)
         self.by_trust[self.context], self.by_past[self.recent] = self.a * self.KEEP + add, self.b * self.KEEP + add
-        new = ids << 2
-        for slots, key, slot, guess in ((self.slots2, self.k2, self.s2, self.g2), (self.slots1, self.k1, self.s1, self.g1)):
+        new = now << 2
+        for slots, key, slot, right in ((self.slots2, self.k2, self.s2, is2), (self.slots1, self.k1, self.s1, is1)):
             trust = slot & 3
-            wrong = np.where(trust > 0, slot - (trust + 1 >> 1), new)
-            slots[key] = np.where(guess == ids, slot + (trust < 3), wrong)
+            slots[key] = np.where(right, slot + (trust < 3), np.where(trust > 0, slot - (trust + 1 >> 1), new))
         self.past[:n] = self.PAST.take(self.past[:n] * 3 + which)
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        self.last[:n] = now
 
 
 class Order0:
-    """Frequencies of the ids so far, for many blocks; each block's add up to 2 ** ORDER0, the rest is the escape."""
-
-    def __init__(self, ids: np.ndarray, slots: bool) -> None:
-        steps, n = ids.shape
-        keys, count = np.unique((np.arange(n) << 16) + ids, return_counts=True)
-        lane = keys >> 16
-        kinds = np.bincount(lane, minlength=n)
-        whole = 1 << ORDER0
-        escape = np.maximum(1, whole * kinds // (2 * (steps + kinds)))
-        freq = 1 + count * (whole - escape - kinds)[lane] // steps
-        upto = np.cumsum(freq)
-        first = np.cumsum(kinds) - kinds
-        base = (upto - freq)[first]
-        self.keys, self.freq, self.cum = keys, freq, upto - freq - base[lane]
-        self.escape = np.append(upto[first[1:] - 1], upto[-1]) - base  # where each block's escape begins
+    """Frequencies of the numbers so far, for many blocks; each block's add up to WHOLE0 with the rest for numbers from ``kinds`` on."""
+
+    def __init__(self, now: np.ndarray, n: int, slots: bool) -> None:
+        steps = len(now)
+        wide = int(now.max()) + 1 if steps else 1
+        count = np.bincount((np.arange(n) * wide + now).ravel(), minlength=n * wide).reshape(n, wide)
+        self.kinds = (count > 0).sum(1)
+        kinds = self.kinds[:, None]
+        rest = np.maximum(1, WHOLE0 * kinds // (2 * (max(steps, 1) + kinds)))
+        freq = np.where(count > 0, 1 + count * (WHOLE0 - rest - kinds) // max(steps, 1), 0)
+        cum = np.zeros((n, wide + 1), np.int64)
+        np.cumsum(freq, axis=1, out=cum[:, 1:])
+        self.cum, self.base, self.known = cum.ravel(), np.arange(n) * (wide + 1), cum[:, -1]
         if slots:
-            # entries of a block, then its escape
-            at = np.arange(len(keys)) + lane
-            self.entry_id = np.full(len(keys) + n, -1)
-            self.entry_id[at] = keys & 0xFFFF
-            self.entry_cum, self.entry_freq = np.empty((2, len(keys) + n), np.int64)
-            self.entry_cum[at], self.entry_freq[at] = self.cum, freq
-            ends = first + kinds + np.arange(n)
-            self.entry_cum[ends], self.entry_freq[ends] = self.escape, whole - self.escape
-            self.slot = np.repeat(np.arange(len(self.entry_id), dtype=np.int32), self.entry_freq)
-
-    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cum, freq, seen) of ids, a column for each block. A few blocks at a time are spread over a table of all ids."""
-        n = ids.shape[1]
-        edges = np.searchsorted(self.keys, np.arange(0, n + SPREAD, SPREAD) << 16)
-        spread, k = np.full(SPREAD << 16, -1, np.int32), np.empty(ids.shape, np.int32)
-        for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            lanes = slice(part * SPREAD, min(n, (part + 1) * SPREAD))
-            own = self.keys[a:b] - (part * SPREAD << 16)
-            spread[own] = np.arange(a, b, dtype=np.int32)
-            k[:, lanes] = spread.take((np.arange(lanes.stop - lanes.start) << 16) + ids[:, lanes])
-            spread[own] = -1
-        seen = k >= 0
-        return np.where(seen, self.cum.take(k, mode="clip"), self.escape[None, :n]), np.where(seen, self.freq.take(k, mode="clip"), (1 << ORDER0) - self.escape[None, :n]), seen
+            all_of = np.zeros((n, wide + 1), np.int64)
+            all_of[:, :-1] = freq
+            all_of[np.arange(n), self.kinds] = WHOLE0 - self.known
+            self.slot = np.repeat(np.tile(np.arange(wide + 1, dtype=np.int16), n), all_of.ravel())
+
+    def find(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where numbers begin and how wide they are, a column for each of the first n blocks; unknown ones begin at the rest, and have none."""
+        at, end = np.clip(x, 0, self.kinds[:n]), np.clip(x + 1, 0, self.kinds[:n])
+        begin = self.cum.take(self.base[:n] + at)
+        return begin, self.cum.take(self.base[:n] + end) - begin
 
 
 class Coder:
     """Low ends and widths of many blocks' intervals. With a code, digits are read, else written.
 
-    A width is over 32 bits after ``shift``, so that narrowing by 13 and 12 bits fits between two shifts. If less is left, either the first
+    A width is over 32 bits after ``shift``, so that narrowing by BITS, or by 13 and 16 bits, fits between two shifts. If less is left, either the first
     digit is settled, or the interval is cut where it would pass on a carry; so each shift is of one digit."""
 
     def __init__(self, n: int, digits: np.ndarray) -> None:
@@ -171,6 +155,15 @@ class Coder:
         self.low[at] += part * cum.astype(U)
         self.width[at] = part * freq.astype(U)
 
+    def one_of(self, at: np.ndarray, of: np.ndarray, pick: np.ndarray | None) -> np.ndarray:
+        """One of ``of`` equal parts: written if given, else read."""
+        part = self.width[at] // of.astype(U)
+        if pick is None:
+            pick = np.minimum((self.code[at] - self.low[at]) // part, of.astype(U) - U(1)).astype(np.int64)
+        self.low[at] += part * pick.astype(U)
+        self.width[at] = part
+        return pick
+
     def shift(self, at: np.ndarray | None, n: int) -> None:
         """Of the blocks ``at``, or the first n, those whose width has become small."""
         if at is None:
@@ -194,41 +187,85 @@ class Coder:
             self.used += 1
 
 
+def numbered(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ids (a column for each block) as numbers in order of first appearance in their block."""
+    n, steps = ids.shape[1], ids.shape[0]
+    key = (np.arange(n)[:, None] << 32 | ids.T).ravel()
+    key[(np.arange(steps)[None, :] >= lengths[:, None]).ravel()] = -1
+    kinds, first, back = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(first[kinds >= 0], kind="stable") + int((kinds < 0).sum())
+    lane = first[order] // steps
+    rank = np.zeros(len(kinds), np.int64)
+    rank[order] = np.arange(len(order)) - np.searchsorted(lane, np.arange(n))[lane]
+    return np.ascontiguousarray(rank[back].reshape(n, steps).T)
+
+
+class Rest:
+    """Numbers that order 0 doesn't know yet: those of the block since its renewal, or a new one, which an id follows."""
+
+    BITS = 12
+
+    def __init__(self, n: int, wide: np.ndarray) -> None:
+        self.known, self.fresh, self.wide = np.zeros(n, np.int64), np.full(n, 1 << self.BITS - 1), wide
+
+    def code(self, coder: Coder, at: np.ndarray, kinds: np.ndarray, number: np.ndarray | None, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the blocks ``at``, with ``kinds`` numbers in order 0: the numbers, the places of new ones in ``at``, and their ids. They are written
+        if given, else read."""
+        known, whole = self.known[at], 1 << self.BITS
+        chance = np.where(known == kinds, whole, self.fresh[at])
+        new = coder.value(at, self.BITS) < chance if number is None else number == known
+        coder.narrow(at, np.where(new, 0, chance), np.where(new, chance, whole - chance), self.BITS)
+        self.fresh[at] = np.clip(self.fresh[at] + np.where(new, whole - self.fresh[at], -self.fresh[at]) // 16, 16, whole - 16)
+        old = np.flatnonzero(~new)
+        found = known.copy()
+        found[old] = kinds[old] + coder.one_of(at[old], (known - kinds)[old], None if number is None else (number - kinds)[old])
+        new = np.flatnonzero(new)
+        to = at[new]
+        low = coder.one_of(to, np.full(len(to), 1 << 16), None if ids is None else ids[new] & 0xFFFF)
+        coder.shift(at, 0)
+        if self.wide.any():
+            more = np.flatnonzero(self.wide[to])
+            high = coder.one_of(to[more], np.full(len(more), 1 << 16), None if ids is None else ids[new][more] >> 16)
+            coder.shift(to[more], 0)
+            low[more] |= high << 16
+        self.known[to] += 1
+        return found, new, low
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The digits of each block, in order. Blocks of 1 to BLOCK ids under 65,536."""
+    """The digits of each block, in order. Blocks of 1 to BLOCK ids under 2 ** 32. The first digit says whether ids have over 16 bits."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     lengths = np.array([len(blocks[k]) for k in order])
-    ids = np.zeros((lengths[0], len(order)), np.int32)
+    ids = np.zeros((lengths[0], len(order)), np.int64)
     for lane, k in enumerate(order):
         ids[: len(blocks[k]), lane] = blocks[k]
-    orders, coder, table = Orders(len(order)), Coder(len(order), np.zeros((len(order), 2 * lengths[0] + 8), np.uint32)), None
-    start = 0
+    wide = ids.max(0) >= 1 << 16
+    numbers = numbered(ids, lengths)
+    orders, coder = Orders(len(order), lengths[0]), Coder(len(order), np.zeros((len(order), 3 * lengths[0] + 8), np.uint32))
+    others, start = Rest(len(order), wide), 0
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t))  # blocks longer than t
-        if t in RENEW:
-            table, start = Order0(ids[:t, :n], False), t
-            until = min(2 * t, lengths[0])
-            cum, freq, seen = (x.ravel() for x in table.find(ids[t:until, :n]))
-            across = n
-        now = ids[t, :n]
-        g2, g1, begin, wide = orders.predict(n)
-        which = (now != g2) * (2 - (now == g1))
-        mine = which * n + orders.lanes[:n]
-        coder.narrow(slice(0, n), begin.take(mine), wide.take(mine), CHOICE)
-        rest = np.flatnonzero(which == 2)
-        if table is not None:
-            place = (t - start) * across + rest
-            coder.narrow(rest, cum.take(place), freq.take(place), ORDER0)
-            rest = rest[~seen.take(place)]
+        if t == 0 or t in RENEW:
+            table, start = Order0(numbers[:t, :n], n, False), t
+            cum, freq = table.find(numbers[t : min(max(2 * t, RENEW[0]), lengths[0]), :n], n)
+        now = numbers[t, :n]
+        g2, g1, w2, w1 = orders.predict(n, t == 0)
+        w0 = (1 << WEIGHT) - w2 - w1
+        begin = w0 * cum[t - start, :n] + (w2 * (g2 < now) + w1 * (g1 < now) << ORDER0)
+        size = w0 * freq[t - start, :n] + (w2 * (g2 == now) + w1 * (g1 == now) << ORDER0)
+        rest = np.flatnonzero(size == 0)
+        if len(rest):
+            begin[rest] = w0[rest] * table.known[rest] + (w2[rest] + w1[rest] << ORDER0)
+            size[rest] = w0[rest] * (WHOLE0 - table.known[rest])
+        coder.narrow(slice(0, n), begin, size, BITS)
         coder.shift(None, n)
         if len(rest):
-            coder.narrow(rest, now[rest], np.ones(len(rest), np.int64), 16)
-            coder.shift(rest, n)
-        orders.learn(now, which)
+            others.code(coder, rest, table.kinds[rest], now[rest], ids[t, rest])
+        orders.learn(now)
     coder.close()
     out: list[bytes] = [b""] * len(order)
     for lane, k in enumerate(order):
-        out[k] = coder.digits[lane, : coder.used[lane]].astype("<u4").tobytes()
+        out[k] = (b"\1" if wide[lane] else b"\0") + coder.digits[lane, : coder.used[lane]].astype("<u4").tobytes()
     return out
 
 
@@ -237,38 +274,55 @@ def decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
     order = sorted(range(len(coded)), key=lambda k: -coded[k][0])
     lengths = np.array([coded[k][0] for k in order])
     digits = np.zeros((len(order), max(len(coded[k][1]) for k in order) // 4 + 8), np.uint32)
+    wide = np.array([coded[k][1][0] == 1 for k in order])
     for lane, k in enumerate(order):
-        own = np.frombuffer(coded[k][1], "<u4")
+        own = np.frombuffer(coded[k][1], "<u4", offset=1)
         digits[lane, : len(own)] = own
-    ids = np.zeros((lengths[0], len(order)), np.int32)
-    orders, coder, table = Orders(len(order)), Coder(len(order), digits), None
+    numbers, ids = np.zeros((lengths[0], len(order)), np.int64), np.zeros((len(order), lengths[0]), np.int64)
+    orders, coder = Orders(len(order), lengths[0]), Coder(len(order), digits)
+    others, lanes = Rest(len(order), wide), np.arange(len(order))
     coder.open()
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t))
-        if t in RENEW:
-            table = Order0(ids[:t, :n], True)
-        g2, g1, begin, wide = orders.predict(n)
-        v = coder.value(slice(0, n), CHOICE)
-        which = (v >= begin[1]).astype(np.int64) + (v >= begin[2])
-        mine = which * n + orders.lanes[:n]
-        coder.narrow(slice(0, n), begin.take(mine), wide.take(mine), CHOICE)
-        now = np.where(which == 0, g2, g1)
-        rest = np.flatnonzero(which == 2)
-        if table is not None:
-            e = table.slot.take((rest << ORDER0) + coder.value(rest, ORDER0))
-            coder.narrow(rest, table.entry_cum.take(e), table.entry_freq.take(e), ORDER0)
-            now[rest] = found = table.entry_id.take(e)
-            rest = rest[found < 0]
+        if t == 0 or t in RENEW:
+            table = Order0(numbers[:t, :n], n, True)
+        g2, g1, w2, w1 = orders.predict(n, t == 0)
+        w0 = (1 << WEIGHT) - w2 - w1
+        # the guesses in order, with what they add; two guesses of one number are one
+        swap = g1 < g2
+        lo, hi = np.minimum(g1, g2), np.maximum(g1, g2)
+        both = lo == hi
+        w_lo, w_hi = np.where(swap, w1, w2) << ORDER0, np.where(swap, w2, w1) << ORDER0
+        c_lo, f_lo = table.find(lo, n)
+        c_hi, f_hi = table.find(hi, n)
+        a0 = w0 * c_lo
+        a1 = a0 + w0 * f_lo + np.where(both, w_lo + w_hi, w_lo)
+        b0 = np.where(both, a1, w0 * c_hi + w_lo)
+        b1 = np.where(both, a1, b0 + w0 * f_hi + w_hi)
+        v = coder.value(slice(0, n), BITS)
+        past_lo, past_hi = v >= a1, v >= b1
+        spread = (v - np.where(past_lo, w_lo, 0) - np.where(past_hi, w_hi, 0)) // w0
+        now = table.slot.take((lanes[:n] << ORDER0) + np.clip(spread, 0, WHOLE0 - 1)).astype(np.int64)
+        now = np.where((v >= a0) & ~past_lo, lo, np.where((v >= b0) & ~past_hi, hi, now))
+        is_lo, is_hi = now == lo, now == hi
+        begin, f = table.find(now, n)
+        begin = w0 * begin + np.where(now > lo, w_lo, 0) + np.where(now > hi, w_hi, 0)
+        size = w0 * f + np.where(is_lo, w_lo, 0) + np.where(is_hi, w_hi, 0)
+        rest = np.flatnonzero(~(((v >= a0) & ~past_lo) | ((v >= b0) & ~past_hi)) & (now == table.kinds[:n]))
+        if len(rest):
+            begin[rest] = w0[rest] * table.known[rest] + (w2[rest] + w1[rest] << ORDER0)
+            size[rest] = w0[rest] * (WHOLE0 - table.known[rest])
+        coder.narrow(slice(0, n), begin, size, BITS)
         coder.shift(None, n)
         if len(rest):
-            now[rest] = v = coder.value(rest, 16)
-            coder.narrow(rest, v, np.ones(len(rest), np.int64), 16)
-            coder.shift(rest, n)
-        ids[t, :n] = now
-        orders.learn(now, which)
-    out: list[np.ndarray] = [ids[:0, 0]] * len(order)
+            number, new, found = others.code(coder, rest, table.kinds[rest], None, None)
+            now[rest] = number
+            ids[rest[new], number[new]] = found
+        numbers[t, :n] = now
+        orders.learn(now)
+    out: list[np.ndarray] = [ids[0, :0]] * len(order)
     for lane, k in enumerate(order):
-        out[k] = ids[: lengths[lane], lane]
+        out[k] = ids[lane].take(numbers[: lengths[lane], lane])
     return out
 
 
@@ -287,25 +341,33 @@ def unpack(payload: bytes) -> tuple[int, np.ndarray, bytes, int]:
 
 
 class WordIds:
-    """Ids of texts from the tokenizers library. Its normalizer and splitter never join across white space, so each distinct word is
-    encoded once by the library."""
+    """Ids of texts from the tokenizers library. Where its normalizer and splitter never join across white space, each distinct word is
+    encoded once; that is tried on PROBES pairs of words from the vocabulary, and if it fails texts are encoded whole."""
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = sorted(self.tokenizer.get_vocab())
+        probes = [vocabulary[k * len(vocabulary) // PROBES].replace("</w>", "") for k in range(PROBES)] + ["a", "9", "!", "'s", "\u00e9", "\u65e5"]
+        words = [x for x in ("".join(p.split()) for p in probes) if x]
+        pairs = [(a, b, " \n\t\r\x0b\x0c"[k % 6] * (1 + k % 2)) for k, (a, b) in enumerate(zip(words, reversed(words), strict=True))]
+        self.by_word = self._batch([a + s + b for a, b, s in pairs]) == [x + y for x, y in zip(self._batch([a for a, _, _ in pairs]), self._batch([b for _, b, _ in pairs]), strict=True)]
         self.forget()
 
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in run(texts, add_special_tokens=False)]
+
     def forget(self) -> None:
         self.memo: dict[bytes, int] = {b" ": 0}  # no word: the end of a text
-        self.flat, self.filled = np.zeros(1 << 16, np.uint16), 1
+        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 1
         self.flat[0] = self.end_id
         self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.count[0] = 1
 
     def add(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        ids = self._batch([w.decode("utf-8", "replace") for w in words])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         k, total = len(self.memo), int(lengths.sum())
         while len(self.start) < k + len(words):
@@ -320,6 +382,9 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of each text), with the end id after each text."""
+        if not self.by_word:
+            found = [[*own, self.end_id] for own in self._batch([t or "" for t in texts])]
+            return np.array([x for own in found for x in own], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
         if len(self.memo) > REMEMBERED:
             self.forget()
         words: list[bytes] = []
@@ -352,7 +417,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, parti
             _encoders[tokenizer, end_id] = WordIds(tokenizer, end_id)
         own = _encoders[tokenizer, end_id]
         part, block, doc = TaskContext.get().partitionId(), 0, 0
-        held_ids, held_pieces = np.zeros(0, np.uint16), np.zeros(0, PIECE)
+        held_ids, held_pieces = np.zeros(0, np.uint32), np.zeros(0, PIECE)
 
         def blocks(last: bool) -> Iterator[pd.DataFrame]:
             """Whole blocks of what is held; all of it at the end."""

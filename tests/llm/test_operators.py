@@ -821,6 +821,31 @@ def test_token_counts(spark, docs, odd, none):
 # range coder
 
 
+def test_large_ids_and_size():
+    """Ids of any 32-bit vocabulary, mixed with small blocks; and text ids take clearly less room than zlib needs."""
+    rnd = np.random.default_rng(8)
+    blocks = [rnd.integers(0, 2**32, 500), rnd.integers(0, 60_000, 700), np.array([2**32 - 1, 0, 65535, 65536]), rnd.zipf(1.2, 4096) % 200_000]
+    coded = rangecoder.encode(blocks)
+    for want, got in zip(blocks, rangecoder.decode([(len(b), d) for b, d in zip(blocks, coded, strict=True)]), strict=True):
+        assert (want == got).all()
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{SF_DIR}/documents.parquet")["text"].to_pylist()
+    ids, counts = rangecoder.WordIds(PUBLIC.path("word_bpe_49k.json"), 2).encode(texts)
+    assert counts.sum() == len(ids)
+    blocks = [ids[k : k + rangecoder.BLOCK] for k in range(0, len(ids), rangecoder.BLOCK)]
+    assert sum(map(len, rangecoder.encode(blocks))) < 0.95 * sum(len(zlib.compress(b.astype("<u2").tobytes())) for b in blocks)
+
+
+def test_ids_of_a_tokenizer_that_joins_words():
+    """Byte-level pieces begin with their space, so words alone have other ids: texts are then encoded whole."""
+    own, lib = rangecoder.WordIds(PUBLIC.path("byte_bpe_50k.json"), 7), library("byte_bpe_50k.json")
+    assert not own.by_word and rangecoder.WordIds(PUBLIC.path("word_bpe_49k.json"), 2).by_word
+    texts = ["two words here", None, "", " x  y"]
+    ids, counts = own.encode(texts)
+    assert ids.tolist() == [x for t in texts for x in [*lib.encode(t or "", add_special_tokens=False).ids, 7]] and counts.sum() == len(ids)
+
+
 @pytest.mark.parametrize("kind", ["uniform", "skewed", "constant", "repeats", "short"])
 def test_coder_round_trip(kind):
     rnd = np.random.default_rng(7)
