@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\u0085   -     　]"
 NOT_SPACE = r"[^\s\u0085   -     　]"
 WORD_CHARACTER = r"[\p{IsAlphabetic}\p{N}_]"
-CONTEXT, BLOCK = 40, 64
+CONTEXT = 40
 
 
 def fold(text: Column) -> Column:
@@ -41,11 +41,13 @@ def _sum(numbers: Column) -> Column:
 
 
 def running(numbers: Column) -> Column:
-    """The sum of all numbers before each one: of whole blocks, then inside the block."""
-    blocks = lambda n: F.transform(F.sequence(F.lit(0), (F.size(n) / BLOCK).cast("int")), lambda k: _sum(F.slice(n, k * BLOCK + 1, BLOCK)))
+    """The sum of all numbers before each one: of whole blocks, then inside the block. Blocks are as long as there are blocks, so a number costs
+    the square root of their count."""
+    blocks = lambda n, b: F.transform(F.sequence(F.lit(0), (F.size(n) / b).cast("int")), lambda k: _sum(F.slice(n, k * b + 1, b)))
     before = lambda s: F.transform(s, lambda _, k: _sum(F.slice(s, 1, k)))
-    inside = lambda n, z: F.transform(n, lambda _, k: F.get(z, (k / BLOCK).cast("int")) + _sum(F.slice(n, (k / BLOCK).cast("int") * BLOCK + 1, k % BLOCK)))
-    return let(numbers, lambda n: let(blocks(n), lambda s: let(before(s), lambda z: inside(n, z))))
+    inside = lambda n, b, z: F.transform(n, lambda _, k: F.get(z, (k / b).cast("int")) + _sum(F.slice(n, (k / b).cast("int") * b + 1, k % b)))
+    length = lambda n: (F.sqrt(F.size(n)) + 1).cast("int")
+    return let(numbers, lambda n: let(length(n), lambda b: let(blocks(n, b), lambda s: let(before(s), lambda z: inside(n, b, z)))))
 
 
 def matches(text: Column, pattern: str | Column) -> Column:

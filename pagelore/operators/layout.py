@@ -15,41 +15,32 @@ ENDS, CLOSERS, TIGHT = ".?!…。？！．", ".?!…。？！．\"'”’)]}」
 MARKER = re.compile(r"\d{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,5}")
 
 
+#: A mark with all closing marks behind it.
+STOP = re.compile(f"[{re.escape(ENDS)}][{re.escape(CLOSERS)}]*")
+
+
+def line_ends(text: str) -> set[int]:
+    """Where a line ends that ends its sentence: a short one, or one before a blank one; not the last."""
+    lines = pd.Series(text.split("\n"))
+    width, end = lines.str.strip().str.len(), lines.str.len().add(1).cumsum() - 1
+    short, before_blank = width < SHORT_LINE * max(1, width.max()), (width.shift(-1) == 0) & (end.index + 2 < len(lines))
+    return set(end[(width > 0) & (end.index + 1 < len(lines)) & (short | before_blank)])
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence. A mark ends one before white space or at the end of the text, unless all before it is a list
-    marker; so does the end of a short line, or of a line before a blank one."""
-    lines = text.split("\n")
-    longest = max(1, *(len(x.strip()) for x in lines))
-    cuts, begin, at = [], 0, 0
-    stop_places = {}
-    for k, line in enumerate(lines):
-        end = at + len(line)
-        own = len(line.strip())
-        if k + 1 < len(lines) and own and (own < SHORT_LINE * longest or (k + 2 < len(lines) and not lines[k + 1].strip())):
-            stop_places[end] = True
-        at = end + 1
-    i = 0
-    while i < len(text):
-        if text[i] in ENDS:
-            j = i + 1
-            while j < len(text) and text[j] in CLOSERS:
-                j += 1
-            if (j == len(text) or text[j].isspace() or text[i] in TIGHT) and not MARKER.fullmatch(text[begin:i].strip()):
-                cuts.append(j)
-                begin = j
-            i = j
+    """(start, end) of each sentence. Candidates are marks before white space or at the end of the text and the ends of lines; a mark behind
+    nothing but a list marker is none."""
+    marks = {m.end(): m.start() for m in STOP.finditer(text) if m[0][0] in TIGHT or not text[m.end() :][:1].strip()}
+    ends, spans, begin = line_ends(text) | {len(text)}, [], 0
+    for end in sorted(marks.keys() | ends):
+        stop = marks.get(end)
+        if end not in ends and MARKER.fullmatch(text[begin:stop].strip()):
             continue
-        if i in stop_places:
-            cuts.append(i)
-            begin = i
-        i += 1
-    out, begin = [], 0
-    for end in [*cuts, len(text)]:
-        part = text[begin:end]
-        if part.strip():
-            out.append((begin + len(part) - len(part.lstrip()), begin + len(part.rstrip())))
+        own = text[begin:end]
+        if own.strip():
+            spans.append((begin + len(own) - len(own.lstrip()), begin + len(own.rstrip())))
         begin = end
-    return out
+    return spans
 
 
 def speakable(text: str) -> str:

@@ -81,11 +81,15 @@ def snapped_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marks_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strokes' boxes that are within half a unit of no earlier one: rounded cells find the candidates."""
-    b = path_bounds(spark, sf_dir).filter("r - l > 100")
-    cells = b.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("d")).withColumn("cell", F.floor("t") + F.col("d"))
+    """Strokes' boxes that are within half a unit of no earlier one: cells of all four edges find the candidates."""
+    b = path_bounds(spark, sf_dir)
+    near = lambda c: F.array_distinct(F.array(F.floor(F.col(c) - 0.5), F.floor(F.col(c) + 0.5)))
+    cells = b
+    for c in "lbrt":
+        cells = cells.withColumn(f"n_{c}", F.explode(near(c)))
+    cells = cells.withColumn("cell", F.struct(*[F.col(f"n_{c}").alias(c) for c in "lbrt"]))
     close = lambda c: F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= 0.5
-    x, y = b.withColumn("cell", F.floor("t")).alias("x"), cells.alias("y")
+    x, y = b.withColumn("cell", F.struct(*[F.floor(c).alias(c) for c in "lbrt"])).alias("x"), cells.alias("y")
     doubled = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("y.stroke") < F.col("x.stroke")) & close("l") & close("b") & close("r") & close("t")).select(F.col("x.stroke").alias("stroke")).distinct()
     return b.join(doubled, "stroke", "left_anti").select("stroke")
 
@@ -141,7 +145,7 @@ FROM (SELECT *, greatest(0e0, least(1e0, ((50 - x) * (x2 - x) + (50 - y) * (y2 -
     "tile_grid": "SELECT doc_id, c AS columns, r AS rows, greatest(c, r) - 1 AS farthest FROM (SELECT doc_id, CAST(greatest(ceil(least(length(text), 4000) / 512e0), 1) AS BIGINT) AS c, CAST(greatest(ceil(len(string_split(text, chr(10))) * 100 / 512e0), 1) AS BIGINT) AS r FROM documents)",
     "rect_intersection": f"SELECT * FROM (SELECT stroke, greatest(l, 10e0) AS l, greatest(b, 20e0) AS b, least(r, 60e0) AS r, least(t, 70e0) AS t FROM {_B}) WHERE l < r AND b < t",
     "snapped_angles": f"SELECT stroke, CAST(floor(a / 15 + 0.5) * 15 AS BIGINT) AS snapped, CAST((floor(a / 90 + 0.5) + 4) % 4 AS BIGINT) AS quarter FROM (SELECT stroke, degrees(atan2(y2 - y, x2 - x)) AS a FROM {_STEP} WHERE k = 0 AND x2 IS NOT NULL)",
-    "marks_deduplicated": f"SELECT stroke FROM {_B} x WHERE r - l > 100 AND NOT EXISTS (SELECT 1 FROM {_B} y WHERE y.r - y.l > 100 AND y.stroke < x.stroke AND abs(x.l - y.l) <= 0.5 AND abs(x.b - y.b) <= 0.5 AND abs(x.r - y.r) <= 0.5 AND abs(x.t - y.t) <= 0.5)",
+    "marks_deduplicated": f"SELECT stroke FROM {_B} x WHERE NOT EXISTS (SELECT 1 FROM {_B} y WHERE y.stroke < x.stroke AND abs(x.l - y.l) <= 0.5 AND abs(x.b - y.b) <= 0.5 AND abs(x.r - y.r) <= 0.5 AND abs(x.t - y.t) <= 0.5)",
     "boxes_mapped": f"""
 WITH c AS (SELECT stroke, cos(pi() / 6) * x - sin(pi() / 6) * y + 10 AS u, sin(pi() / 6) * x + cos(pi() / 6) * y - 5 AS v FROM (SELECT stroke, unnest([l, l, r, r]) AS x, unnest([b, t, b, t]) AS y FROM {_B}))
 SELECT stroke, round(min(u), 6) AS l, round(min(v), 6) AS b, round(max(u), 6) AS r, round(max(v), 6) AS t FROM c GROUP BY stroke

@@ -182,10 +182,12 @@ def pixel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovery_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sidecars (purchases) that have their file (an event of the same user and hour that is no purchase) and no living owner (a user of a
-    number over 140), newest first for each user."""
+    """Sidecars (purchases) that have their file (an event of the same user and hour that is no purchase) and no living owner (the user doesn't
+    click within the day after), newest first for each user."""
     e = corpus.table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
-    side = e.filter("event_type = 'purchase' AND user_id <= 140")
+    side = e.filter("event_type = 'purchase'").alias("s")
+    click = e.filter("event_type = 'click'").select("user_id", F.col("ts").alias("clicked")).alias("c")
+    side = side.join(click, (F.col("s.user_id") == F.col("c.user_id")) & (F.col("clicked") > F.col("ts")) & (F.col("clicked") <= F.col("ts") + F.expr("INTERVAL 1 DAY")), "left_anti")
     files = e.filter("event_type <> 'purchase'").select("user_id", "hour").distinct()
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return side.join(files, ["user_id", "hour"], "left_semi").select("user_id", "event_id", F.row_number().over(w).cast("bigint").alias("place"))
@@ -260,7 +262,7 @@ FROM (SELECT *, px * 72e0 / 150 AS x, py * 72e0 / 150 AS y FROM (VALUES (0), (90
 """,
     "recovery_entries": """
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events s
-WHERE event_type = 'purchase' AND user_id <= 140 AND EXISTS (SELECT 1 FROM events f WHERE f.user_id = s.user_id AND f.event_type <> 'purchase' AND date_trunc('hour', f.ts) = date_trunc('hour', s.ts))
+WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = s.user_id AND c.event_type = 'click' AND c.ts > s.ts AND c.ts <= s.ts + INTERVAL 1 DAY) AND EXISTS (SELECT 1 FROM events f WHERE f.user_id = s.user_id AND f.event_type <> 'purchase' AND date_trunc('hour', f.ts) = date_trunc('hour', s.ts))
 """,
     "list_without_doubles": "SELECT replace(lower(regexp_replace(url, '[?#].*$', '')), chr(92), '/') AS key, min(page_id) AS page_id FROM pages GROUP BY key",
     "metadata_merge": "SELECT doc_id, lang, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'new-' || doc_id ELSE source END AS source FROM documents",

@@ -61,11 +61,20 @@ def range_format_dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands(corpus.pages(spark, sf_dir).filter("length(text) > 300"), "doc_id", "page", ", ")
 
 
+#: Ids of a range that is numbered in one task.
+ID_RANGE = 20_000
+
+
 def bates_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running number over all pages of a source, in order of documents."""
-    docs = corpus.documents(spark, sf_dir)
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs.select("doc_id", R.bates("ABC", 4, 9990, n, "-K").alias("bates"))
+    """A running number over all pages of a source, in order of documents. Numbers are counted inside ranges of ids and added up over the
+    ranges, so no source is sorted in one task."""
+    docs = corpus.documents(spark, sf_dir).select("doc_id", "source", F.floor(F.col("doc_id") / ID_RANGE).alias("range"))
+    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = docs.groupBy("source", "range").agg(F.count("*").alias("n"))
+    before = ranges.select("source", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    inside = docs.withColumn("k", F.row_number().over(Window.partitionBy("source", "range").orderBy("doc_id")) - 1)
+    numbered = inside.join(before, (inside["source"].eqNullSafe(before["source"])) & (inside["range"].eqNullSafe(before["range"])))
+    return numbered.select("doc_id", R.bates("ABC", 4, 9990, F.col("k") + F.col("before"), "-K").alias("bates"))
 
 
 #: start, style, prefix, first number

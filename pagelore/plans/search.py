@@ -14,10 +14,19 @@ NEEDLE, CASED, KEYWORD, FROM_PAGE, ENOUGH = "the", "The", "of the", 2, 16
 
 
 def hits(docs: DataFrame, keys: list[str], pattern: str, match_case: bool = False) -> DataFrame:
-    """A row for each match: keys, char_start, char_length, context, context_at. Texts without a match don't reach the offsets."""
+    """A row for each match: keys, char_start, char_length, context, context_at. Texts without a match don't reach the offsets, and contexts
+    are cut before the matches become rows, so that no row carries the text."""
     hay = F.col("text") if match_case else T.fold(F.col("text"))
-    found = docs.withColumn("_h", hay).filter(F.col("_h").rlike(pattern)).select(*keys, "text", F.explode(T.matches(F.col("_h"), pattern)).alias("m"))
-    return found.select(*keys, F.col("m.start").alias("char_start"), F.col("m.length").alias("char_length"), T.context(F.col("text"), F.col("m.start"), F.col("m.length")).alias("context"), T.context_start(F.col("m.start")).alias("context_at"))
+    one = lambda m: F.struct(m["start"].alias("char_start"), m["length"].alias("char_length"), T.context(F.col("text"), m["start"], m["length"]).alias("context"), T.context_start(m["start"]).alias("context_at"))
+    found = docs.withColumn("_h", hay).filter(F.col("_h").rlike(pattern))
+    return found.select(*keys, F.transform(T.matches(F.col("_h"), pattern), one).alias("_m")).select(*keys, F.inline("_m"))
+
+
+def places(docs: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    """A row for each match without its context: keys, char_start, char_length."""
+    found = docs.withColumn("_h", T.fold(F.col("text"))).filter(F.col("_h").rlike(pattern))
+    one = lambda m: F.struct(m["start"].alias("char_start"), m["length"].alias("char_length"))
+    return found.select(*keys, F.transform(T.matches(F.col("_h"), pattern), one).alias("_m")).select(*keys, F.inline("_m"))
 
 
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +38,7 @@ def search_match_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(corpus.documents(spark, sf_dir), ["doc_id"], T.literal(NEEDLE, whole_word=True)).select("doc_id", "char_start", "char_length")
+    return places(corpus.documents(spark, sf_dir), ["doc_id"], T.literal(NEEDLE, whole_word=True))
 
 
 def keyword_ws_flexible(spark: SparkSession, sf_dir: str) -> DataFrame:

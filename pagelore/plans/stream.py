@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from pagelore.sources import corpus
+from pagelore.sources.scratch import folder as scratch
 from pagelore.streaming import pages as P
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def arrivals(spark: SparkSession, rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """Rows with a column ``part`` as a stream: a file for each part, in order."""
-    folder = scratch(spark, name)
+def deliver(spark: SparkSession, rows: DataFrame, name: str, parts: int, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Rows with a column ``part`` as a stream: the files of each part arrive together and are read to the end before the next part arrives,
+    each as one batch over all its partitions. ``start`` makes the writer of the stream."""
+    folder, log, schema = scratch(spark, name), scratch(spark, "log"), rows.drop("part").schema
     for k in range(parts):
-        rows.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    return P.read(spark, folder, rows.drop("part").schema)
+        rows.filter(F.col("part") == k).drop("part").write.mode("append").parquet(folder)
+        start(P.read(spark, folder, schema)).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +28,15 @@ def stream_page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = found.filter("page % 2 = 0").select("doc_id", "page", (F.col("hits") * 2).alias("hits"), F.lit(1).alias("delivery"), F.lit(1).alias("part"))
     rows = found.select("doc_id", "page", "hits", F.lit(0).alias("delivery"), F.lit(0).alias("part")).union(again)
     keep = P.PageUpsert(scratch(spark, "upsert"), ["doc_id", "page"], ["delivery"])
-    query = arrivals(spark, rows, "pages", 2).writeStream.foreachBatch(keep).option("checkpointLocation", scratch(spark, "log")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    deliver(spark, rows, "pages", 2, lambda stream: stream.writeStream.foreachBatch(keep))
     return keep.result(spark, 1).select("doc_id", "page", "hits")
 
 
-def _table_of(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+def _table_of(spark: SparkSession, rows: DataFrame, name: str, parts: int, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``change`` makes of the stream of ``rows``, as a table."""
     out = scratch(spark, "out")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", scratch(spark, "log")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    deliver(spark, rows, name, parts, lambda stream: change(stream).writeStream.format("parquet").outputMode("append").option("path", out))
+    return spark.read.parquet(out)
 
 
 def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +45,7 @@ def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select("user_id", F.lit("edit").alias("label"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"), F.when(F.month("ts") % 2 == 1, 0).otherwise(1).alias("part"))
     half = rows.agg(F.expr("percentile_approx(at_ms, 0.5)").alias("m")).first()["m"]
     rows = rows.withColumn("part", (F.col("at_ms") > F.lit(half)).cast("int"))
-    return _table_of(spark, P.coalesced(arrivals(spark, rows, "edits", 2), 3_600_000), "append")
+    return _table_of(spark, rows, "edits", 2, lambda stream: P.coalesced(stream, 3_600_000))
 
 
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +55,7 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.lit(bounds["a"]) + (F.lit(bounds["b"]) - F.lit(bounds["a"])) / 2
     rows = e.withColumn("part", F.when(F.col("ts") < middle, 0).when(F.col("ts") < F.lit(bounds["b"]), 1).otherwise(2))
     late = rows.filter("part = 0 AND event_type = 'view'").withColumn("part", F.lit(3))
-    closed = _table_of(spark, P.in_time(arrivals(spark, rows.union(late), "events", 4), "ts", "1 hour", "1 day"), "append")
+    closed = _table_of(spark, rows.union(late), "events", 4, lambda stream: P.in_time(stream, "ts", "1 hour", "1 day"))
     return closed.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelore.functions import text as T
 from pagelore.operators import layout as L
 from pagelore.sources import corpus
+from pagelore.sources.scratch import stored
 
 #: Shapes of numbered headings and their levels, in order of trial.
 NUMBERED = (
@@ -42,28 +43,36 @@ def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(there, ["doc_id", "answers"], "left").select("doc_id", "note", F.when(F.col("there") & (F.col("answers") != F.col("note")), F.col("answers")).alias("parent"), "length")
 
 
-_WALK = """
-WITH RECURSIVE walk(doc_id, note, depth, path, root, length) AS (
-  SELECT doc_id, note, 0, array(note), note, length FROM {notes} WHERE parent IS NULL
-  UNION ALL
-  SELECT n.doc_id, n.note, w.depth + 1, concat(w.path, array(n.note)), w.root, n.length FROM {notes} n JOIN walk w ON n.doc_id = w.doc_id AND n.parent = w.note AND NOT array_contains(w.path, n.note)
-)
-"""
+def walked(nodes: DataFrame) -> DataFrame:
+    """doc_id, note, parent, ... with path, the notes from the root down to each. Each round joins what is above, so paths double: as many
+    rounds as the depth has binary digits, each a table. What hangs on a circle has no root and goes."""
+    kept = [c for c in nodes.columns if c not in ("doc_id", "note", "parent")]
+    now = nodes.select("doc_id", "note", F.col("parent").alias("up"), F.array("note").alias("path"), *kept)
+    while True:
+        now = stored(now, "paths")
+        if not now.filter("up IS NOT NULL").head(1):
+            return now.drop("up")
+        above = now.select("doc_id", F.col("note").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
+        joined = now.filter("up IS NOT NULL").join(above, ["doc_id", "up"]).filter(~F.arrays_overlap("before", "path"))
+        now = now.filter("up IS NULL").unionByName(joined.select("doc_id", "note", F.col("next").alias("up"), F.concat("before", "path").alias("path"), *kept))
 
 
 def thread_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads depth first, answers in order: place and depth of each note."""
-    return spark.sql(_WALK + "SELECT doc_id, note, depth, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS place FROM walk", notes=attached(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("path"))
+    return walked(attached(spark, sf_dir)).select("doc_id", "note", (F.size("path") - 1).alias("depth"), place.alias("place"))
 
 
 def thread_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each answer under the root of its thread, shortest first."""
-    return spark.sql(_WALK + "SELECT doc_id, root, note, row_number() OVER (PARTITION BY doc_id, root ORDER BY length, note) AS place FROM walk WHERE depth > 0", notes=attached(spark, sf_dir))
+    answers = walked(attached(spark, sf_dir)).filter(F.size("path") > 1).withColumn("root", F.col("path")[0])
+    return answers.select("doc_id", "root", "note", F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("length", "note")).alias("place"))
 
 
 def thread_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that answers a note, at any depth."""
-    return spark.sql(_WALK + "SELECT doc_id, ancestor AS note, count(*) AS answers FROM (SELECT doc_id, note, explode(slice(path, 1, size(path) - 1)) AS ancestor FROM walk WHERE depth > 0) GROUP BY doc_id, ancestor", notes=attached(spark, sf_dir))
+    above = walked(attached(spark, sf_dir)).select("doc_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("note"))
+    return above.groupBy("doc_id", "note").agg(F.count("*").alias("answers"))
 
 
 #: node, parent, order among siblings, title, page, collapsed
@@ -105,23 +114,36 @@ def numbered_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents with a type size from their place: the first of every tenth document is large."""
-    first = (F.col("k") == 0) & (F.col("doc_id") % 10 == 0)
-    return lines(spark, sf_dir).select("doc_id", "k", "line", F.when(first, 24.0).when(F.col("k") % 7 == 3, 14.0).otherwise(11.0).alias("size"))
+    """Documents with their lines as an array of (k, length, size): the type size is from a line's place, the first of every tenth document is
+    large. Lines without a character are left out."""
+    size = lambda k: F.when((k == 0) & (F.col("doc_id") % 10 == 0), 24.0).when(k % 7 == 3, 14.0).otherwise(11.0)
+    folded = F.split(F.regexp_replace("text", r"[\s\p{Z}\x{85}&&[^\n]]+", " "), "\n")
+    found = F.transform(folded, lambda x, k: F.struct(k.alias("k"), F.length(F.trim(x)).alias("length"), size(k).alias("size")))
+    return corpus.documents(spark, sf_dir).select("doc_id", F.filter(found, lambda x: x["length"] > 0).alias("lines"))
+
+
+def body_size(lines: Column) -> Column:
+    """The size with the most characters, in halves; the larger one on a tie; null without lines."""
+    half = lambda x: F.floor(x["size"] * 2 + 0.5) / 2
+    chars = lambda s: F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(half(x) == s, x["length"]).otherwise(0))
+    return F.array_max(F.transform(F.array_distinct(F.transform(lines, half)), lambda s: F.struct(chars(s).alias("chars"), s.alias("size"))))["size"]
 
 
 def body_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size with the most characters of a document; the larger one on a tie."""
-    per = sized_lines(spark, sf_dir).groupBy("doc_id", (F.floor(F.col("size") * 2 + 0.5) / 2).alias("size")).agg(F.sum(F.length("line")).alias("chars"))
-    return per.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", "size")).alias("body"))
+    return sized_lines(spark, sf_dir).select("doc_id", body_size(F.col("lines")).alias("body")).filter("body IS NOT NULL")
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines over the body size by 1.12, 1.3 or 1.6 are headings of level 3, 2 or 1, if they are short."""
-    both = sized_lines(spark, sf_dir).join(body_sizes(spark, sf_dir), "doc_id")
-    ratio = F.col("size") / F.col("body")
-    level = F.when(F.length("line") > 200, 0).when(ratio >= 1.6, 1).when(ratio >= 1.3, 2).when(ratio >= 1.12, 3).otherwise(0)
-    return both.withColumn("level", level).filter("level > 0").select("doc_id", "k", "level", F.length("line").alias("length"))
+    """Lines over the body size by 1.12, 1.3 or 1.6 are headings of level 3, 2 or 1, if they are short. Only headings leave the document's
+    array, so nothing is shuffled."""
+
+    def level(x: Column, body: Column) -> Column:
+        ratio = x["size"] / body
+        return F.when(x["length"] > 200, 0).when(ratio >= 1.6, 1).when(ratio >= 1.3, 2).when(ratio >= 1.12, 3).otherwise(0)
+
+    ranked = T.let(body_size(F.col("lines")), lambda body: F.transform("lines", lambda x: F.struct(x["k"].alias("k"), level(x, body).alias("level"), x["length"].alias("length"))))
+    found = sized_lines(spark, sf_dir).select("doc_id", F.filter(ranked, lambda x: x["level"] > 0).alias("h"))
+    return found.select("doc_id", F.inline("h"))
 
 
 def heading_parents(spark: SparkSession, sf_dir: str) -> DataFrame:

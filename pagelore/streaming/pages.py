@@ -18,8 +18,10 @@ from pyspark.sql.types import StructType
 from pagelore.operators.series import ANCHOR_MS
 
 
-def read(spark: SparkSession, folder: str, schema: StructType | str, files_a_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
+def read(spark: SparkSession, folder: str, schema: StructType | str, files_a_batch: int | None = None) -> DataFrame:
+    """Files that are there or arrive, all at once or some a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).parquet(folder)
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
