@@ -370,8 +370,9 @@ def copy_links(docs: DataFrame, prints: DataFrame, leaf: int = COPY_LEAF) -> Dat
     heads = members.groupBy("node").agg(F.min("set").alias("head"))
     star = stored(members.join(heads, "node").filter("set != head").select("set", "head").distinct(), "star")
     needed = prints.join(members.select("set").distinct(), "set", "left_semi").select("set", "text_key")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(needed.select("text_key"), "text_key", "left_semi").distinct()
-    sets = stored(texts.select(copy_sets("text").alias("s")).select("s.*").join(needed, "set", "left_semi").dropDuplicates(["set"]), "sets")
+    # copies are one before they are dealt; the function is marked so that no filter on its result runs it once more on all rows
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["text_key"]).join(needed.select("text_key"), "text_key", "left_semi")
+    sets = stored(texts.select(copy_sets.asNondeterministic()("text").alias("s")).select("s.*").join(needed, "set", "left_semi").dropDuplicates(["set"]), "sets")
     one = sets.select("set", "shingles")
     other = one.toDF("head", "others")
     alike = 9 * F.size(F.array_intersect("shingles", "others")) >= 4 * (F.size("shingles") + F.size("others"))
@@ -402,7 +403,7 @@ def copy_groups(docs: DataFrame, leaf: int = COPY_LEAF) -> tuple[DataFrame, Data
     """(doc_id, set) of each row, and of each distinct set (set, root, component_id, and text_key of its first row); component_id is null if
     no row has an id."""
     small_batches(docs.sparkSession, ROWS)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), copy_keys("text").alias("k"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), copy_keys.asNondeterministic()("text").alias("k"))
     rows = stored(keyed.select("doc_id", "text_key", "k.*"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("f")
     prints = stored(rows.groupBy("set", "size", "nodes").agg(first).select("set", "size", "nodes", F.col("f.doc_id").alias("first"), "f.text_key"), "distinct")
