@@ -7,9 +7,9 @@ languages is the reported score.
 The model is fitted on a bounded sample: about SAMPLE labelled rows of each language, by a hash of the id, and of those the WORDS most
 frequent words and GRAMS n-grams of each language. So what is broadcast has a fixed bound. Prediction reads whole texts.
 
-``accepted`` keeps the documents in which one language stands out: its score is over chance, one of the number of languages, by EDGE of what
-there is above chance. Text that no language knows, such as an unseen script, or that all know alike, goes. A null lang is filled with
-the prediction.
+``accepted`` keeps the documents that may be in a taught language: one language stands out (its score is over chance, one of the number of
+languages, by EDGE of what there is above chance), or at least some letter comes from a block of 128 code points that a taught language
+is written in. Text of a script that no language knows goes. A null lang is filled with the prediction.
 
 Defined cases: null text, or one without a letter: `und`, score 0; ties go to the language first in alphabetical order; rows with null
 lang or null text teach nothing; of more than LANGUAGES labels the most frequent ones teach; without a taught language every prediction
@@ -58,6 +58,11 @@ class Model:
     grams: Rows | dict[str, np.ndarray] = field(default_factory=dict)
     priors: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
+    def blocks(self) -> set[int]:
+        """Blocks of 128 code points that taught letters are from."""
+        grams = self.grams.found if isinstance(self.grams, Rows) else self.grams
+        return {ord(c) >> 7 for g in grams if len(g) == 1 for c in g if LETTER.match(c)}
+
     def word(self, w: str) -> np.ndarray:
         """Log probability in each language, by the word or else by its n-grams."""
         known = self.words.get(w)
@@ -159,16 +164,23 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: in
     return Model(languages, table(known, size), table(gram_rows, gram_size), np.zeros(len(languages)))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """struct(lang_pred, score) of each text."""
+def least_score(languages: int, edge: float) -> float:
+    return 1 / max(languages, 1) + edge * (1 - 1 / max(languages, 1))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", edge: float = EDGE) -> Column:
+    """struct(lang_pred, score, known) of each text; known: it may be in a taught language."""
     small_batches(docs.sparkSession, ROWS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    least = least_score(len(model.languages), edge)
+
+    @F.pandas_udf("lang_pred string, score double, known boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo = Memo(shared.value)
+        memo, blocks = Memo(shared.value), shared.value.blocks()
         for texts in batches:
-            yield pd.DataFrame(list(shared.value.scores(texts, memo)), columns=["lang_pred", "score"])
+            rows = [(x, s, x != "und" and (s >= least or any(ord(c) >> 7 in blocks for c in set(t.lower()) if LETTER.match(c)))) for t, (x, s) in zip(texts, shared.value.scores(texts, memo), strict=True)]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "known"])
 
     # so that a filter on it doesn't run it once more
     return run.asNondeterministic()(F.col(text))
@@ -179,16 +191,15 @@ def identify(docs: DataFrame, teach: Column | None = None) -> DataFrame:
     model = fit(docs.select("doc_id", "text", "lang") if teach is None else docs.filter(teach).select("doc_id", "text", "lang"))
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(F.struct(*others).alias("kept"), predict(docs, model).alias("found"))
-    return out.select("kept.*", "found.*")
+    return out.select("kept.*", "found.lang_pred", "found.score")
 
 
 def accepted(docs: DataFrame, edge: float = EDGE) -> DataFrame:
-    """The rows in whose text a language stands out by ``edge``; a null lang is filled with the prediction, all else is as it was. Where no
-    row has a label, the texts with a letter stay."""
+    """The rows that may be in a taught language; a null lang is filled with the prediction, all else is as it was. Where no row has a label,
+    the texts with a letter stay."""
     model = fit(docs.select("doc_id", "text", "lang"))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    out = docs.select(F.struct(*docs.columns).alias("kept"), predict(docs, model).alias("found"))
+    out = docs.select(F.struct(*docs.columns).alias("kept"), predict(docs, model, edge=edge).alias("found"))
     columns = [F.coalesce(F.col("kept.lang"), F.col("found.lang_pred")).alias("lang") if c == "lang" else F.col("kept")[c].alias(c) for c in docs.columns]
-    chance = 1 / len(model.languages)
-    return out.filter((F.col("found.lang_pred") != "und") & (F.col("found.score") >= chance + edge * (1 - chance))).select(*columns)
+    return out.filter("found.known").select(*columns)
