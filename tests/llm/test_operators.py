@@ -503,6 +503,85 @@ def test_probabilities_add_up(spark):
         assert 0.5 < total <= 1 + 1e-9
 
 
+def brute_score(model, texts, text):
+    """The classes are the model's; everything else is worked out again from the texts."""
+    number = {None: brown.END}
+    number.update({w: int(brown.item_of(model.items, brown.sequence(model.items, [w.encode()], {}))[0]) for t in [*texts, text] for w in words(t)})
+    count, pairs, seen, classes = collections.Counter(), collections.Counter(), collections.Counter(), int(model.own.max()) + 1
+    of = lambda w: int(model.own[number[w]])
+    for t in texts:
+        own = [None, *words(t), None]
+        count.update(own[1:])
+        pairs.update((of(a), of(b)) for a, b in zip(own, own[1:], strict=False))
+        seen.update(number[w] for w in own[1:])
+    out, into = collections.Counter(), collections.Counter()
+    for (a, b), n in pairs.items():
+        out[a] += n
+        into[b] += n
+    whole, total = sum(pairs.values()), 0.0
+    own = [None, *words(text), None]
+    for a, b in zip(own, own[1:], strict=False):
+        prior = (into[of(b)] + 0.5) / (whole + 0.5 * classes)
+        total += math.log10((pairs[of(a), of(b)] + 5 * prior) / (out[of(a)] + 5))
+        members = int((model.own == of(b)).sum())
+        total += math.log10((seen[number[b]] + 0.5) / (into[of(b)] + 0.5 * members))
+        first = model.items.n - len(model.items.words)
+        if brown.END < number[b] < first:
+            kinds = [w for w in count if number[w] == number[b]]
+            total += math.log10((count[b] + 0.5) / (sum(count[w] for w in kinds) + 0.5 * (len(kinds) + 1)))
+    return total
+
+
+@pytest.mark.parametrize("sizes", [{"listed": 60, "own": 12, "endings": 8, "classes": 7}, {"listed": 500, "own": 40, "endings": 30, "classes": 10, "rounds": 3}])
+def test_score_against_brute_force(spark, docs, sizes):
+    data = [(r["doc_id"], r["text"]) for r in docs.limit(40).collect()] + [(9001, None), (9002, "new words only, qq"), (9003, "the the the the")]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    teach = fold("doc_id", 5) != 1
+    texts = [t for d, t in data if zlib.crc32(str(d).encode()) % 5 != 1]
+    model = brown.fit(frame.filter(teach), brown.word_counts(frame.filter(teach)), **sizes)
+    got = {r["doc_id"]: r["score"] for r in brown.language_model(frame, teach, **sizes).collect()}
+    for d, t in data:
+        assert got[d] == pytest.approx(brute_score(model, texts, t), abs=1e-6)
+
+
+def test_rounds_move_each_word_to_its_best_class(spark):
+    """Every word that isn't fixed goes where the likelihood of the whole, worked out again, is highest while the others stay."""
+    rnd = np.random.default_rng(3)
+    seqs = [rnd.integers(1, 25, rnd.integers(0, 30)) for _ in range(40)] + [np.array([7, 7, 7, 7])]
+    texts = spark.createDataFrame([(bytearray(q.astype("<i4").tobytes()),) for q in seqs], "seq binary").repartition(4)
+    pairs = np.zeros((26, 26))
+    for q in seqs:
+        own = [0, *q.tolist(), 0]
+        np.add.at(pairs, (own[:-1], own[1:]), 1)
+    of = np.append(0, 1 + np.arange(25) % 4)
+    fixed = np.arange(26) < 3
+    table = brown.pair_table(texts, of, 5)
+    one = np.eye(5)[of]
+    assert (table == one.T @ pairs @ one).all() and brown.likelihood(table) == pytest.approx(likelihood(pairs, of))
+    got = brown.moved(texts, of, table, fixed)
+    assert (got[fixed] == of[fixed]).all() and got[25] == of[25] and (got != of).any()
+    for k in range(3, 25):
+        tried = {}
+        for c in range(1, 5):
+            other = of.copy()
+            other[k] = c
+            tried[c] = likelihood(pairs, other)
+        assert tried[int(got[k])] == pytest.approx(max(tried.values()))
+
+
+def test_rounds_raise_the_likelihood_of_all_listed_words(spark, docs):
+    """Words beyond the core leave their ending's class, and texts that were not learnt from are more likely by it."""
+    teach = fold("doc_id", 5) != 1
+    sizes = {"listed": 5000, "own": 100, "endings": 50, "classes": 16}
+    counts = brown.word_counts(docs.filter(teach))
+    before, after = (brown.fit(docs.filter(teach), counts, rounds=n, **sizes) for n in (0, 2))
+    first = after.items.n - len(after.items.words)
+    assert (before.own[: first + 100][[0, *range(first, first + 100)]] == after.own[: first + 100][[0, *range(first, first + 100)]]).all()
+    assert (before.own != after.own).mean() > 0.2
+    score = [sum(r["score"] for r in brown.language_model(docs, teach, rounds=n, **sizes).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for n in (0, 2)]
+    assert score[1] > score[0]
+
+
 def likelihood(pairs, of):
     one = np.eye(of.max() + 1)[of]
     table = one.T @ pairs @ one
