@@ -70,6 +70,19 @@ def missing_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("page").agg(F.count("*").alias("missing"))
 
 
+def upright_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the characters in the frame where most of their page reads upright: the quarter turn of most visible ones (the smaller of two
+    equal ones) is turned back. All but each fifth character of page p are turned p quarters here."""
+    g = glyphs(spark, sf_dir).withColumn("turn", F.when(F.col("k") % 5 == 0, 0).otherwise((F.col("page") % 4).cast("int")))
+    votes = g.filter(~F.col("ch").rlike(r"^\s$")).groupBy("page", "turn").agg(F.count("*").alias("n"))
+    most = votes.groupBy("page").agg(F.max_by("turn", F.struct("n", -F.col("turn"))).alias("quarter"))
+    q = F.coalesce("quarter", F.lit(0))
+    turned = lambda a, b, c, d: F.when(q == 1, F.col(a)).when(q == 2, -F.col(b)).when(q == 3, -F.col(c)).otherwise(F.col(d)) + 0.0
+    left, low = turned("b", "r", "t", "l"), F.when(q == 1, -F.col("r")).when(q == 2, -F.col("t")).when(q == 3, F.col("l")).otherwise(F.col("b")) + 0.0
+    right, high = turned("t", "l", "b", "r"), F.when(q == 1, -F.col("l")).when(q == 2, -F.col("b")).when(q == 3, F.col("r")).otherwise(F.col("t")) + 0.0
+    return g.join(most, "page", "left").select("page", "k", q.alias("quarter"), left.alias("l"), low.alias("b"), right.alias("r"), high.alias("t"))
+
+
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The characters of a page back in lines of columns, blanks at the end cut."""
     g = glyphs(spark, sf_dir).withColumn("line", F.floor((812.0 - F.col("t")) / 14.0))
@@ -214,7 +227,7 @@ def sanitize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_count("html", F.lit(script)).alias("scripts"), F.length(clean).alias("left"), (clean != F.col("html")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (quoted_text, mark_hits, range_rects, missing_characters, layout_lines, ocr_words, ocr_line_confidence, ocr_merged_ideographs, utf16_word_ranges, scoring_text, language_pick, appearance_parse, signature_similarity, anchor_origins, pixel_points, recovery_entries, list_without_doubles, metadata_merge, sanitize_counts)}
+QUERIES = {f.__name__: f for f in (quoted_text, mark_hits, range_rects, missing_characters, upright_frame, layout_lines, ocr_words, ocr_line_confidence, ocr_merged_ideographs, utf16_word_ranges, scoring_text, language_pick, appearance_parse, signature_similarity, anchor_origins, pixel_points, recovery_entries, list_without_doubles, metadata_merge, sanitize_counts)}
 
 _G = "(SELECT item_id AS page, k, ch, (k % 40) * 6e0 AS l, 800e0 - (k // 40) * 14 AS b, (k % 40) * 6e0 + 6 AS r, 812e0 - (k // 40) * 14 AS t FROM (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS k FROM benchmark))"
 _M = "(SELECT item_id AS page, mark, (item_id % 7) * 6e0 + ml AS l, b, (item_id % 7) * 6e0 + mr AS r, t FROM benchmark, (VALUES (0, 12e0, 798e0, 80e0, 813e0), (1, 100e0, 784e0, 150e0, 799e0)) x(mark, ml, b, mr, t))"
@@ -233,6 +246,13 @@ SELECT page, string_agg(CASE WHEN blank > last THEN ' ' ELSE '' END || ch, '' OR
 """,
     "mark_hits": f"SELECT g.page, m.mark, count(*) AS hit, count(DISTINCT g.k // 40) AS lines FROM {_G} g JOIN {_M} m ON g.page = m.page AND least(g.r, m.r) - greatest(g.l, m.l) > 0.1 AND least(g.t, m.t) - greatest(g.b, m.b) > 0.1 GROUP BY ALL",
     "range_rects": f"SELECT page, b, min(l) AS l, max(r) AS r, max(t) AS t FROM {_G} WHERE k >= 30 AND k < 100 AND trim(ch) <> '' GROUP BY page, b",
+    "upright_frame": rf"""
+WITH g AS (SELECT *, CAST(CASE WHEN k % 5 = 0 THEN 0 ELSE page % 4 END AS INTEGER) AS turn FROM {_G}),
+v AS (SELECT page, turn, row_number() OVER (PARTITION BY page ORDER BY count(*) DESC, turn) AS place FROM g WHERE NOT regexp_matches(ch, '^\s$') GROUP BY page, turn),
+u AS (SELECT page, k, coalesce(v.turn, 0) AS quarter, l, b, r, t FROM g LEFT JOIN (SELECT page, turn FROM v WHERE place = 1) v USING (page))
+SELECT page, k, quarter, CASE quarter WHEN 1 THEN b WHEN 2 THEN -r WHEN 3 THEN -t ELSE l END + 0e0 AS l, CASE quarter WHEN 1 THEN -r WHEN 2 THEN -t WHEN 3 THEN l ELSE b END + 0e0 AS b,
+  CASE quarter WHEN 1 THEN t WHEN 2 THEN -l WHEN 3 THEN -b ELSE r END + 0e0 AS r, CASE quarter WHEN 1 THEN -l WHEN 2 THEN -b WHEN 3 THEN r ELSE t END + 0e0 AS t FROM u
+""",
     "missing_characters": f"""
 WITH g AS (SELECT * FROM {_G} WHERE trim(ch) <> ''), a AS (SELECT page, ch, b, l + CASE WHEN k % 9 = 0 THEN 0.7e0 ELSE 0.2e0 END AS x FROM g WHERE k % 7 <> 0)
 SELECT page, count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.page = g.page AND a.ch = g.ch AND abs(a.b - g.b) <= 0.5 AND abs(a.x - g.l) <= 0.5) GROUP BY page
