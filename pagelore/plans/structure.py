@@ -99,6 +99,29 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("line", F.trim(F.regexp_replace("line", f"{T.SPACE}+", " "))).filter("line <> ''")
 
 
+def outline_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline nodes as they read back: a link that isn't blank takes the place of the page; a zoom of zero or less is none; only nodes that hold
+    others are open or shut, open if nothing is said. An outline with a page beyond its ten is rejected as a whole. Nodes are pages here, ten
+    to an outline, each below the one of half its number."""
+    n = F.col("page_id") % 10
+    nodes = corpus.table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 10).alias("outline"),
+        n.alias("node"),
+        F.when(n > 0, F.floor((n - 1) / 2)).alias("parent"),
+        F.when(F.floor(F.col("page_id") / 10) % 7 == 0, n + 1).otherwise(n).alias("to"),
+        F.when(n % 4 == 3, F.concat("url", F.lit(" \u00e9"))).when(n % 4 == 2, " ").alias("link"),
+        (n - 2).alias("view"),
+        F.when(n % 3 != 0, n % 2 == 0).alias("said"),
+    )
+    url = F.when(F.trim("link") != "", T.uri_7bit(F.trim("link")))
+    nodes = nodes.withColumn("url", url).withColumn("page", F.when(F.col("url").isNull(), F.col("to")))
+    bad = nodes.groupBy("outline").agg(F.coalesce(F.bool_or(F.col("page") >= 10), F.lit(False)).alias("rejected"))
+    holds = nodes.filter("parent IS NOT NULL").select("outline", F.col("parent").alias("node"), F.lit(True).alias("holds")).distinct()
+    rows = nodes.join(bad, "outline").join(holds, ["outline", "node"], "left")
+    zoom = F.when(F.col("page").isNotNull() & (F.col("view") > 0), F.col("view"))
+    return rows.select("outline", "node", "page", zoom.alias("zoom"), "url", F.when(F.col("holds"), F.coalesce("said", F.lit(True))).alias("open"), "rejected")
+
+
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, digits as #, that stand in three documents of a source or more, and in a fiftieth of them."""
     found = lines(spark, sf_dir).select("source", "doc_id", F.regexp_replace("line", r"\d+", "#").alias("line")).distinct()
@@ -192,7 +215,7 @@ def tagged_run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("k").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
-QUERIES = {f.__name__: f for f in (thread_depth_first, thread_flat, thread_descendants, outline_flatten, running_headers, numbered_headings, body_sizes, headings, heading_parents, sentence_split, paragraph_flow, word_boxes, tagged_run_order)}
+QUERIES = {f.__name__: f for f in (thread_depth_first, thread_flat, thread_descendants, outline_flatten, outline_normalised, running_headers, numbered_headings, body_sizes, headings, heading_parents, sentence_split, paragraph_flow, word_boxes, tagged_run_order)}
 
 _DUCK_WALK = """
 WITH RECURSIVE notes AS (
@@ -212,6 +235,15 @@ ORACLES = {
     "thread_flat": _DUCK_WALK + "SELECT doc_id, root, note, CAST(row_number() OVER (PARTITION BY doc_id, root ORDER BY length, note) AS INTEGER) AS place FROM walk WHERE depth > 0",
     "thread_descendants": _DUCK_WALK + "SELECT doc_id, a AS note, count(*) AS answers FROM (SELECT doc_id, unnest(path[:-2]) AS a FROM walk WHERE depth > 0) GROUP BY doc_id, a",
     "outline_flatten": "SELECT * FROM (VALUES (1, 0, 'One', 0), (2, 1, 'One A', 1), (3, 1, 'One B', 2), (4, 0, 'Two', 5), (5, 1, 'Two A', 6), (6, 2, 'Two A i', 7)) t(place, depth, title, page)",
+    "outline_normalised": r"""
+WITH n AS (SELECT page_id // 10 AS outline, page_id % 10 AS node, url AS u FROM pages),
+x AS (SELECT outline, node, CASE WHEN outline % 7 = 0 THEN node + 1 ELSE node END AS goes,
+  CASE WHEN node % 4 = 3 THEN array_to_string(list_transform(string_split(u || ' ' || chr(233), ''), lambda c: CASE WHEN ord(c) BETWEEN 33 AND 126 THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') END), '') END AS url FROM n),
+y AS (SELECT *, CASE WHEN url IS NULL THEN goes END AS page FROM x)
+SELECT outline, node, page, CASE WHEN page IS NOT NULL AND node > 2 THEN node - 2 END AS zoom, url,
+  CASE WHEN EXISTS (SELECT 1 FROM y c WHERE c.outline = y.outline AND c.node > 0 AND (c.node - 1) // 2 = y.node) THEN coalesce(CASE WHEN node % 3 <> 0 THEN node % 2 = 0 END, true) END AS open,
+  coalesce(bool_or(page >= 10) OVER (PARTITION BY outline), false) AS rejected FROM y
+""",
     "running_headers": rf"""
 SELECT source, sha256(x) AS line_sha256, n AS on_docs FROM (SELECT source, x, count(*) AS n FROM (SELECT DISTINCT source, doc_id, regexp_replace(line, '\d+', '#', 'g') AS x FROM {_LINES}) GROUP BY source, x)
 JOIN (SELECT source, count(*) AS docs FROM documents GROUP BY source) USING (source) WHERE n >= greatest(3, 0.02 * docs)
