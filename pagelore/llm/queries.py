@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import brown, chat, decontam, langid, mixing, quality, rangecoder, sharding, simhash, tokencount
+from pagelore.llm import brown, chat, decontam, langid, mixing, negatives, quality, rangecoder, sharding, simhash, tokencount
 from pagelore.llm.common import fold, table
 
 #: What both rows of the added conversation say.
@@ -74,9 +74,15 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangecoder.encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_sharding, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_quality_rules, op7_benchmark_decontamination, op8_mixing, op9_token_counts, op10_token_id_output)
+    for f in (op1_chat_formatting, op2_sharding, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_quality_rules, op7_benchmark_decontamination, op8_mixing, op9_token_counts, op10_token_id_output, op13_hard_negatives)
 }
 
 
@@ -155,4 +161,23 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, source, block, slot, slot * {_B} + nth % {_B} AS place, slot < until AS in_mix FROM placed, ends
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op8_mixing": OP8_SQL}
+OP13_SQL = f"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor({negatives.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label,
+    CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+), positives AS (
+  SELECT * FROM scored WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {negatives.POSITIVES}
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND n.label <> n.own AND 100 * n.score BETWEEN {negatives.LOW} * p.score AND {negatives.HIGH} * p.score
+WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= {negatives.NEGATIVES}
+"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op8_mixing": OP8_SQL, "op13_hard_negatives": OP13_SQL}
