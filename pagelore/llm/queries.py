@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import brown, chat, decontam, langid, mixing, negatives, quality, rangecoder, sharding, simhash, tokencount
+from pagelore.llm import brown, chat, decontam, langid, mixing, negatives, phrases, quality, rangecoder, sharding, simhash, tokencount
 from pagelore.llm.common import fold, table
 
 #: What both rows of the added conversation say.
@@ -74,6 +74,10 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangecoder.encoded(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
@@ -82,7 +86,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_sharding, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_quality_rules, op7_benchmark_decontamination, op8_mixing, op9_token_counts, op10_token_id_output, op13_hard_negatives)
+    for f in (op1_chat_formatting, op2_sharding, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_quality_rules, op7_benchmark_decontamination, op8_mixing, op9_token_counts, op10_token_id_output, op11_phrases, op13_hard_negatives)
 }
 
 
@@ -161,6 +165,35 @@ WITH RECURSIVE sizes AS (
 SELECT doc_id, source, block, slot, slot * {_B} + nth % {_B} AS place, slot < until AS in_mix FROM placed, ends
 """
 
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split(translate(piece, chr(9), ' '), ' '), lambda w: w <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, '{phrases.UPPER}', '{phrases.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), grams AS (
+  {" UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: w[i:i + {k - 1}])) AS p FROM pieces WHERE len(w) >= {k}" for k in range(1, phrases.LONGEST + 1))}
+), f AS (
+  SELECT lang, p, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= {phrases.LEAST}
+), cuts AS (
+  SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1
+), scored AS (
+  SELECT c.lang, c.p, c.a, c.k, l.a AS l, r.a AS r, CAST({phrases.FACTOR} * CAST(c.a AS HUGEINT) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.p = c.p[:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]
+), chosen AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, a, p[i:j] AS p FROM (SELECT lang, a, p, i, unnest(range(i + 1, len(p) + 1)) AS j FROM (SELECT lang, a, p, unnest(range(1, len(p))) AS i FROM f WHERE len(p) > 2)) WHERE j - i + 1 < len(p)
+), longer AS (
+  SELECT lang, p, max(a) AS most FROM inner_parts GROUP BY lang, p
+), kept AS (
+  SELECT c.lang, array_to_string(c.p, ' ') AS phrase, c.a, l, r, score FROM chosen c LEFT JOIN longer m ON m.lang = c.lang AND m.p = c.p
+  WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < {phrases.COVERED} * CAST(c.a AS HUGEINT)
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER best <= {phrases.TOP}
+"""
+
 OP13_SQL = f"""
 WITH usable AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
@@ -180,4 +213,4 @@ WINDOW best AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_
 QUALIFY row_number() OVER best <= {negatives.NEGATIVES}
 """
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op8_mixing": OP8_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op8_mixing": OP8_SQL, "op11_phrases": OP11_SQL, "op13_hard_negatives": OP13_SQL}
