@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import brown, chat, decontam, langid, mixing, negatives, phrases, quality, rangecoder, sharding, simhash, tokencount
+from pagelore.llm import brown, chat, decontam, langid, mixing, negatives, phrases, private, quality, rangecoder, sharding, simhash, tokencount
 from pagelore.llm.common import fold, table
 
 #: What both rows of the added conversation say.
@@ -78,6 +78,16 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private.annotated(docs, private.learn(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
+    kinds = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in private.KINDS]
+    return found.select("doc_id", *kinds, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
@@ -86,7 +96,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_sharding, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_quality_rules, op7_benchmark_decontamination, op8_mixing, op9_token_counts, op10_token_id_output, op11_phrases, op13_hard_negatives)
+    for f in (op1_chat_formatting, op2_sharding, op3_simhash_near_dedup, op4_language_id, op5_lm_scoring, op6_quality_rules, op7_benchmark_decontamination, op8_mixing, op9_token_counts, op10_token_id_output, op11_phrases, op12_pii, op13_hard_negatives)
 }
 
 
