@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,8 +22,20 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def folder(spark: SparkSession, path: str, suffix: str = ".pdf", most: int = 2000) -> DataFrame:
-    """path, length of the files under a folder whose name ends so (any case), without hidden ones, in order, ``most`` at most."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+def folder(spark: SparkSession, path: str, suffix: str = ".pdf", most: int | None = 2000, content: bool = False) -> DataFrame:
+    """path, length of the files under a folder whose name ends so (any case), without hidden ones, in order, ``most`` at most; ``content``: with
+    their bytes, read where they are used."""
+    columns = ["path", "length", "modificationTime", *(["content"] if content else [])]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(*columns)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(F.lower(name).endswith(suffix) & ~name.startswith(".")).orderBy("path").limit(most)
+    files = files.filter(F.lower(name).endswith(suffix) & ~name.startswith("."))
+    return files if most is None else files.orderBy("path").limit(most)
+
+
+def run_files(files: DataFrame, look: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """path, outcome (done or failed), reason, hits: what ``look`` says of each file's content. A file that can't be used is a row that says why;
+    the others go on."""
+    reason, hits = look(F.col("content"))
+    found = files.select("path", reason.alias("reason"), hits.cast("bigint").alias("hits"))
+    failed = F.col("reason").isNotNull()
+    return found.select("path", F.when(failed, "failed").otherwise("done").alias("outcome"), "reason", F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("hits")).alias("hits"))
