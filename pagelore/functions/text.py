@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space in the widest sense that both white-space classes of the corpus share.
@@ -36,6 +36,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def each(rows: DataFrame, keys: list[str], array: Column, name: str) -> DataFrame:
+    """A row for each element of a computed array. An outer explosion with a filter on what comes out: a plain one lets the planner guess that
+    the array isn't empty, and that guess works the array out once more below."""
+    return rows.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, n: a + n)
 
@@ -65,17 +71,6 @@ def matches(text: Column, pattern: str | Column) -> Column:
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: let(gaps, lambda lengths: place(hits, lengths)))
 
 
-def context(text: Column, start: Column, length: Column, around: int = CONTEXT) -> Column:
-    """What stands around a match, line ends as spaces."""
-    begin = F.greatest(start - around, F.lit(0))
-    return F.translate(F.substring(text, begin + 1, start - begin + length + around), "\r\n", "  ")
-
-
-def context_start(start: Column, around: int = CONTEXT) -> Column:
-    """Where the match begins in its context."""
-    return start - F.greatest(start - around, F.lit(0))
-
-
 def tokens(text: Column) -> Column:
     """Maximal runs without white space."""
     return F.regexp_extract_all(text, F.lit(f"({NOT_SPACE}+)"), F.lit(1))

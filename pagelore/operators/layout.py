@@ -30,7 +30,7 @@ def line_ends(text: str) -> set[int]:
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence. Candidates are marks before white space or at the end of the text and the ends of lines; a mark behind
     nothing but a list marker is none."""
-    marks = {m.end(): m.start() for m in STOP.finditer(text) if m[0][0] in TIGHT or not text[m.end() :][:1].strip()}
+    marks = {m.end(): m.start() for m in STOP.finditer(text) if m[0][0] in TIGHT or not text[m.end() : m.end() + 1].strip()}
     ends, spans, begin = line_ends(text) | {len(text)}, [], 0
     for end in sorted(marks.keys() | ends):
         stop = marks.get(end)

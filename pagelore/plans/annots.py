@@ -74,15 +74,31 @@ def annotation_threads_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All or nothing: of each document every seventh note from 3 goes, every seventh from 4 gets capitals, every seventh from 5 a copy; every
-    fourth document's batch deletes note 12 too, and where that isn't there nothing is done."""
-    old = annotations(spark, sf_dir).select("doc_id", "note", "contents")
-    wanted = old.filter("doc_id % 4 = 0").select("doc_id", F.lit(12).cast("bigint").alias("note")).distinct()
-    refused = wanted.join(old, ["doc_id", "note"], "left_anti").select("doc_id", F.lit(True).alias("refused"))
-    rows = old.join(refused, "doc_id", "left").withColumn("op", F.when(F.col("refused"), -1).when((F.col("doc_id") % 4 == 0) & (F.col("note") == 12), 3).otherwise((F.col("note") % 7).cast("int")))
-    changed = F.when(F.col("op") == 4, F.upper("contents")).otherwise(F.col("contents"))
-    kept = rows.filter("op <> 3").select("doc_id", "note", changed.alias("contents"))
-    return kept.union(rows.filter("op = 5").select("doc_id", F.col("note") + 1000, "contents")).select("doc_id", "note", F.length("contents").alias("length"), F.md5("contents").alias("md5"))
+    """A list of operations on each document's notes, all or nothing: every seventh note from 3 is deleted, every seventh from 4 gets new contents
+    and an author, every seventh from 5 a new colour, and beside every seventh from 6 a note is created. Every fourth document's list deletes
+    note 12 too, every ninth's updates note 1 to a kind that there isn't: where note 12 isn't there or the kind is none, nothing is done."""
+    old = annotations(spark, sf_dir).select("doc_id", "note", "kind", "author", "contents", F.lit(COLOR).alias("color"))
+    made = lambda which, op, note, **new: old.filter(which).select("doc_id", F.lit(op).alias("op"), note.cast("bigint").alias("note"), *[new.get(c, F.lit(None).cast("string")).alias(c) for c in ("kind", "author", "contents", "color")])
+    text = F.concat(F.lit("seen: "), F.substring("contents", 1, 40))
+    asked = made("note % 7 = 3", "delete", F.col("note")).unionByName(made("note % 7 = 4", "update", F.col("note"), contents=text, author=F.lit("editor")))
+    asked = asked.unionByName(made("note % 7 = 5", "update", F.col("note"), color=F.lit("#00ff00"))).unionByName(made("note % 7 = 6", "create", F.col("note") + 1000, kind=F.lit("Note"), author=F.lit("editor"), contents=F.lit("new"), color=F.lit(COLOR)))
+    asked = asked.unionByName(made("note = 0 AND doc_id % 4 = 0", "delete", F.lit(12))).unionByName(made("note = 0 AND doc_id % 9 = 2", "update", F.lit(1), kind=F.lit("Blot")))
+    return batch(old, asked).select("doc_id", "note", "kind", "author", F.md5("contents").alias("md5"), "color")
+
+
+def batch(old: DataFrame, asked: DataFrame) -> DataFrame:
+    """``old`` (doc_id, note, kind, author, contents, color) after the operations ``asked`` (doc_id, op: create, update or delete, note, and what is
+    new, null: as it was). A document whose list has an operation that can't be done stays as it is: updating or deleting what isn't there,
+    creating what is, a kind that there isn't. A note that is deleted and updated is deleted."""
+    there = old.select("doc_id", "note", F.lit(True).alias("there"))
+    rows = asked.join(there, ["doc_id", "note"], "left")
+    wrong = (F.col("op").isin("update", "delete") & F.col("there").isNull()) | ((F.col("op") == "create") & F.col("there")) | ~F.col("kind").isin(*KINDS)
+    refused = rows.filter(wrong).select("doc_id").distinct()
+    rows = rows.drop("there").join(refused, "doc_id", "left_anti")
+    new = rows.filter("op = 'update'").groupBy("doc_id", "note").agg(*[F.max(c).alias(f"new_{c}") for c in ("kind", "author", "contents", "color")])
+    kept = old.join(rows.filter("op = 'delete'").select("doc_id", "note").distinct(), ["doc_id", "note"], "left_anti").join(new, ["doc_id", "note"], "left")
+    kept = kept.select("doc_id", "note", *[F.coalesce(f"new_{c}", c).alias(c) for c in ("kind", "author", "contents", "color")])
+    return kept.unionByName(rows.filter("op = 'create'").select(*kept.columns))
 
 
 def annotations_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +140,8 @@ def runnable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mark_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of one word in one document are a group: its marks in order, groups by page, then by first mark."""
-    marks = annotations(spark, sf_dir).select("doc_id", "page", "note", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("contents"), F.lit(r"\b(the|of|and)\b"), F.lit(1)))).alias("label"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("contents"), F.lit(r"\b(the|of|and)\b"), F.lit(1)))
+    marks = T.each(annotations(spark, sf_dir), ["doc_id", "page", "note"], words, "label")
     groups = marks.groupBy("doc_id", "label").agg(F.min("page").alias("page"), F.sort_array(F.collect_list("note")).alias("notes"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", F.col("notes")[0], "label"))
     return groups.select("doc_id", "label", "page", F.array_join("notes", ",").alias("notes"), place.alias("place"))
@@ -196,9 +213,10 @@ ORACLES = {
     "annotation_markdown": f"{_THREADS} SELECT doc_id, sha256(x) AS sha256, length(x) AS length FROM (SELECT doc_id, '# Annotations — ' || doc_id || chr(10) || chr(10) || count(*) || ' annotations' || chr(10) || string_agg({_MARKDOWN}, '' ORDER BY page, path) AS x FROM (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY page, path) AS before FROM t) GROUP BY doc_id)",
     "annotation_threads_by_page": f"{_THREADS} SELECT doc_id, page, string_agg(note, ',' ORDER BY note) AS notes, count(*) AS n FROM t WHERE depth = 0 AND kind IN {MARKUP} GROUP BY doc_id, page",
     "annotation_batch": f"""
-WITH a AS (SELECT *, doc_id % 4 = 0 AND NOT bool_or(note = 12) OVER (PARTITION BY doc_id) AS refused FROM {_ANNOTS}),
-o AS (SELECT doc_id, note, contents, CASE WHEN refused THEN -1 WHEN doc_id % 4 = 0 AND note = 12 THEN 3 ELSE note % 7 END AS op FROM a)
-SELECT doc_id, note, CAST(length(c) AS INTEGER) AS length, md5(c) AS md5 FROM (SELECT doc_id, note, CASE WHEN op = 4 THEN upper(contents) ELSE contents END AS c FROM o WHERE op <> 3 UNION ALL SELECT doc_id, note + 1000, contents FROM o WHERE op = 5)
+WITH a AS (SELECT *, doc_id % 4 = 0 AND NOT bool_or(note = 12) OVER d OR doc_id % 9 = 2 AND bool_or(note = 0) OVER d AS refused, doc_id % 4 = 0 AND bool_or(note = 0) OVER d AS last FROM {_ANNOTS} WINDOW d AS (PARTITION BY doc_id)),
+o AS (SELECT *, CASE WHEN refused THEN -1 WHEN last AND note = 12 THEN 3 ELSE note % 7 END AS op FROM a)
+SELECT doc_id, note, kind, CASE WHEN op = 4 THEN 'editor' ELSE author END AS author, md5(CASE WHEN op = 4 THEN 'seen: ' || substr(contents, 1, 40) ELSE contents END) AS md5, CASE WHEN op = 5 THEN '#00ff00' ELSE '{COLOR}' END AS color FROM o WHERE op <> 3
+UNION ALL SELECT doc_id, note + 1000, 'Note', 'editor', md5('new'), '{COLOR}' FROM a WHERE NOT refused AND note % 7 = 6
 """,
     "annotations_hidden": f"SELECT doc_id, note, kind = 'Ink' AS hidden, (note % 3 = 0) <> (kind = 'Ink') AS changed FROM {_ANNOTS}",
     "stamped_pages": _STAMPS,

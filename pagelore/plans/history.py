@@ -42,8 +42,8 @@ def pressure_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's edits of one label within an hour of the kept one are one step."""
-    e = events(spark, sf_dir).select("user_id", "event_id", F.lit("edit").alias("label"), (F.col("us") / 1000).cast("bigint").alias("at_ms"))
+    """A user's edits of one label within an hour of the kept one are one step; an edit of another label ends it."""
+    e = events(spark, sf_dir).select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, "move").otherwise("edit").alias("label"), (F.col("us") / 1000).cast("bigint").alias("at_ms"))
     return e.groupBy("user_id").applyInPandas(lambda rows: S.coalesce_edits(rows, 3_600_000), S.KEPT)
 
 
@@ -79,7 +79,7 @@ def recents_pinned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lru_resident_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types that stay in each user's cache of 300 units, by last use; a type is as large as its longest name."""
+    """Types that stay in each user's cache of 180 units, by last use; a type is as large as its longest name."""
     use = events(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("item")).agg(F.max("us").alias("used"), F.max(F.length("event_type") * 10).alias("size"))
     return S.resident(use, "user_id", F.col("used"), "size", 180).select("user_id", "item", F.col("held").cast("bigint").alias("held"))
 
@@ -162,13 +162,13 @@ FROM (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event
 SELECT event_id, coalesce(last_value(CASE WHEN value / 100.0 > 0.85 THEN 'high' WHEN value / 100.0 < 0.7 THEN 'normal' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'normal') AS level FROM events
 """,
     "history_coalesce": """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'move' ELSE 'edit' END AS label, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
 walk AS (
-  SELECT user_id, k, t AS anchor, true AS kept FROM e WHERE k = 1
-  UNION ALL SELECT e.user_id, e.k, CASE WHEN e.t - w.anchor <= 3600000 THEN w.anchor ELSE e.t END, e.t - w.anchor > 3600000 FROM walk w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1
+  SELECT user_id, k, label, t AS anchor, true AS kept FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, label, CASE WHEN joins THEN anchor ELSE t END, NOT joins FROM (SELECT e.*, w.anchor, e.label = w.label AND e.t - w.anchor <= 3600000 AS joins FROM walk w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
 )
-SELECT user_id, min_by(event_id, k) AS event_id, 'edit' AS label, anchor AS at_ms, CAST(count(*) - 1 AS INTEGER) AS folded
-FROM (SELECT e.user_id, event_id, e.k, anchor, sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY e.user_id ORDER BY e.k) AS g FROM walk JOIN e ON e.user_id = walk.user_id AND e.k = walk.k) GROUP BY user_id, g, anchor
+SELECT user_id, min_by(event_id, k) AS event_id, label, anchor AS at_ms, CAST(count(*) - 1 AS INTEGER) AS folded
+FROM (SELECT e.user_id, event_id, e.k, e.label, anchor, sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY e.user_id ORDER BY e.k) AS g FROM walk JOIN e ON e.user_id = walk.user_id AND e.k = walk.k) GROUP BY user_id, g, label, anchor
 """,
     "history_trim": "SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) WHERE back <= 50",
     "history_undo_redo": """

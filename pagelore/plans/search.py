@@ -7,28 +7,13 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import pii
 from pagelore.functions import text as T
+from pagelore.operators.find import hits, places
 from pagelore.sources import corpus
 
 #: What the queries look for.
 NEEDLE, CASED, KEYWORD, FROM_PAGE, ENOUGH = "the", "The", "of the", 2, 16
 
 
-def hits(docs: DataFrame, keys: list[str], pattern: str, match_case: bool = False) -> DataFrame:
-    """A row for each match: keys, char_start, char_length, context, context_at. Texts without a match don't reach the offsets, and contexts
-    are cut before the matches become rows, so that no row carries the text."""
-    hay = F.col("text") if match_case else T.fold(F.col("text"))
-    one = lambda m: F.struct(m["start"].alias("char_start"), m["length"].alias("char_length"), T.context(F.col("text"), m["start"], m["length"]).alias("context"), T.context_start(m["start"]).alias("context_at"))
-    found = docs.withColumn("_h", hay).filter(F.col("_h").rlike(pattern))
-    return found.select(*keys, F.transform(T.matches(F.col("_h"), pattern), one).alias("_m")).select(*keys, F.inline("_m"))
-
-
-def places(docs: DataFrame, keys: list[str], pattern: str) -> DataFrame:
-    """A row for each match without its context: keys, char_start, char_length."""
-    found = docs.withColumn("_h", T.fold(F.col("text"))).filter(F.col("_h").rlike(pattern))
-    one = lambda m: F.struct(m["start"].alias("char_start"), m["length"].alias("char_length"))
-    return found.select(*keys, F.transform(T.matches(F.col("_h"), pattern), one).alias("_m")).select(*keys, F.inline("_m"))
-
-
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(corpus.documents(spark, sf_dir), ["doc_id"], T.literal(NEEDLE))
 
@@ -88,7 +73,7 @@ def search_changed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pii_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.documents(spark, sf_dir).filter(F.col("text").contains("@"))
-    return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pii.EMAIL), F.lit(0))).alias("email"))
+    return T.each(docs, ["doc_id"], F.regexp_extract_all("text", F.lit(pii.EMAIL), F.lit(0)), "email")
 
 
 #: Texts and what has to be found in them.
@@ -120,7 +105,7 @@ PII_FOUND = (
 
 def pii_all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.createDataFrame(list(PII_TEXTS), "text_id int, text string")
-    found = texts.select("text_id", F.explode(pii.merge(pii.find(F.col("text")))).alias("s"))
+    found = T.each(texts, ["text_id"], pii.merge(pii.find(F.col("text"))), "s")
     return found.select("text_id", "s.kind", "s.start", F.col("s.end").alias("stop"))
 
 
@@ -128,7 +113,7 @@ def match_interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of a keyword and of mailboxes in documents, merged."""
     docs = corpus.documents(spark, sf_dir).filter(F.col("text").contains("@"))
     spans = pii.merge(pii.find(F.col("text"), ("email",), keyword=r"[a-z]+@[a-z]+"))
-    return docs.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.kind", "s.start", F.col("s.end").alias("stop"))
+    return T.each(docs, ["doc_id"], spans, "s").select("doc_id", "s.kind", "s.start", F.col("s.end").alias("stop"))
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +127,7 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redaction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What redaction leaves of a document, run by run."""
     docs = corpus.documents(spark, sf_dir).filter(F.col("text").rlike(pii.EMAIL)).withColumn("s", pii.merge(pii.find(F.col("text"), ("email",))))
-    return docs.select("doc_id", F.explode(pii.kept_runs(F.col("text"), F.col("s"))).alias("r")).select("doc_id", "r.start", F.length("r.text").alias("length"))
+    return T.each(docs, ["doc_id"], pii.kept_runs(F.col("text"), F.col("s")), "r").select("doc_id", "r.start", F.length("r.text").alias("length"))
 
 
 def page_text_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +143,7 @@ def image_only_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def web_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = corpus.table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("href"))
+    return T.each(pages, ["page_id"], F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)), "href")
 
 
 def text_export(spark: SparkSession, sf_dir: str) -> DataFrame:

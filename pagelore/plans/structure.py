@@ -166,7 +166,8 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranked = T.let(body_size(F.col("lines")), lambda body: F.transform("lines", lambda x: F.struct(x["k"].alias("k"), level(x, body).alias("level"), x["length"].alias("length"))))
     found = sized_lines(spark, sf_dir).select("doc_id", F.filter(ranked, lambda x: x["level"] > 0).alias("h"))
-    return found.select("doc_id", F.inline("h"))
+    # outer, so that no guess about the array's size works it out again
+    return found.select("doc_id", F.inline_outer("h")).filter("k IS NOT NULL")
 
 
 def heading_parents(spark: SparkSession, sf_dir: str) -> DataFrame:

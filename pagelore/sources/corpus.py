@@ -24,7 +24,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folder(spark: SparkSession, path: str, suffix: str = ".pdf", most: int | None = 2000, content: bool = False) -> DataFrame:
     """path, length of the files under a folder whose name ends so (any case), without hidden ones, in order, ``most`` at most; ``content``: with
-    their bytes, read where they are used."""
+    their bytes, read where they are used. Files without a byte are not listed: the reader leaves them out."""
     columns = ["path", "length", "modificationTime", *(["content"] if content else [])]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(*columns)
     name = F.element_at(F.split("path", "/"), -1)
