@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "pages", "compare", "structure", "exchange", "history", "geometry", "glyphs", "stream", "annots", "moves", "jobs")
+MODULES = ("search", "pages", "compare", "structure", "exchange", "history", "geometry", "glyphs", "stream", "annots", "moves", "jobs", "writing")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
