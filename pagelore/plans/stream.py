@@ -40,12 +40,13 @@ def _table_of(spark: SparkSession, rows: DataFrame, name: str, parts: int, chang
 
 
 def stream_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of a user within an hour of the kept one are one; each user's last edit is still open and not given out."""
+    """Edits of a user within an hour of the kept one of their label are one. A single edit of another year ends the stream, so all are done."""
     e = corpus.table(spark, sf_dir, "events")
-    rows = e.select("user_id", F.lit("edit").alias("label"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"), F.when(F.month("ts") % 2 == 1, 0).otherwise(1).alias("part"))
-    half = rows.agg(F.expr("percentile_approx(at_ms, 0.5)").alias("m")).first()["m"]
-    rows = rows.withColumn("part", (F.col("at_ms") > F.lit(half)).cast("int"))
-    return _table_of(spark, rows, "edits", 2, lambda stream: P.coalesced(stream, 3_600_000))
+    rows = e.select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, "move").otherwise("edit").alias("label"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"))
+    bounds = rows.agg(F.expr("percentile_approx(at_ms, 0.5)").alias("m"), F.max("at_ms").alias("last")).first()
+    later = spark.range(2).select(F.lit(-1).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("end").alias("label"), F.lit((bounds["last"] or 0) + 40_000_000_000).alias("at_ms"), (F.col("id") + 2).cast("int").alias("part"))
+    rows = rows.withColumn("part", (F.col("at_ms") > F.lit(bounds["m"])).cast("int")).unionByName(later)
+    return _table_of(spark, rows, "edits", 4, lambda stream: P.coalesced(stream, 3_600_000)).filter("user_id >= 0")
 
 
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +65,12 @@ QUERIES = {f.__name__: f for f in (stream_page_upsert, stream_coalesce, stream_l
 ORACLES = {
     "stream_page_upsert": "SELECT conv_id AS doc_id, turn AS page, CAST((len(string_split(lower(coalesce(text, '')), 'the')) - 1) * CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS hits FROM conversations",
     "stream_coalesce": """
-WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'move' ELSE 'edit' END AS label, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
 walk AS (
-  SELECT user_id, k, t AS anchor FROM e WHERE k = 1
-  UNION ALL SELECT e.user_id, e.k, CASE WHEN e.t - w.anchor <= 3600000 THEN w.anchor ELSE e.t END FROM walk w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1
+  SELECT user_id, k, label, t AS anchor, 1 AS g FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, label, CASE WHEN joins THEN anchor ELSE t END, CASE WHEN joins THEN g ELSE g + 1 END FROM (SELECT e.*, w.anchor, w.g, e.label = w.label AND e.t - w.anchor <= 3600000 AS joins FROM walk w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
 )
-SELECT user_id, label, at_ms, folded FROM (SELECT user_id, 'edit' AS label, anchor AS at_ms, CAST(count(*) - 1 AS INTEGER) AS folded, anchor = max(anchor) OVER (PARTITION BY user_id) AS still_open FROM walk GROUP BY user_id, anchor) WHERE NOT still_open
+SELECT user_id, label, anchor AS at_ms, CAST(count(*) - 1 AS INTEGER) AS folded FROM walk GROUP BY user_id, g, label, anchor
 """,
     "stream_late_drop": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL",
 }

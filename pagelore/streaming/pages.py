@@ -54,25 +54,32 @@ STATE = "label string, at_ms bigint, folded int"
 def _fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState, within: int) -> Iterator[pd.DataFrame]:
     label, at, folded = state.get if state.exists else (None, 0, 0)
     rows = []
-    for x in pd.concat(list(batches)).sort_values("at_ms").itertuples():
-        if label is not None and x.label == label and x.at_ms - at <= within:
-            folded += 1
-            continue
-        if label is not None:
-            rows.append((key[0], label, at, folded))
-        label, at, folded = x.label, x.at_ms, 0
-    state.update((label, int(at), int(folded)))
+    if state.hasTimedOut:
+        rows.append((key[0], label, at, folded))
+        state.remove()
+    else:
+        for x in pd.concat(list(batches)).sort_values(["at_ms", "event_id"]).itertuples():
+            if label is not None and x.label == label and x.at_ms - at <= within:
+                folded += 1
+                continue
+            if label is not None:
+                rows.append((key[0], label, at, folded))
+            label, at, folded = x.label, x.at_ms, 0
+        state.update((label, int(at), int(folded)))
+        # nothing that comes after this can join the kept edit
+        state.setTimeoutTimestamp(max(int(at) + within, state.getCurrentWatermarkMs()) + 1)
     yield pd.DataFrame(rows, columns=["user_id", "label", "at_ms", "folded"])
 
 
-def coalesced(edits: DataFrame, within: int = ANCHOR_MS) -> DataFrame:
-    """A stream of edits (user_id, label, at_ms) with those folded that come within ``within`` ms of a kept one of the same label. A kept
-    edit is given out once the next one shows that it is done."""
+def coalesced(edits: DataFrame, within: int = ANCHOR_MS, late: str = "1 minute") -> DataFrame:
+    """A stream of edits (user_id, event_id, label, at_ms) with those folded that come within ``within`` ms of a kept one of the same label. A kept
+    edit is given out, and its state goes, once the next one or the watermark shows that it is done."""
 
     def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         return _fold(key, batches, state, within)
 
-    return edits.groupBy("user_id").applyInPandasWithState(run, KEPT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = edits.withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", late)
+    return rows.groupBy("user_id").applyInPandasWithState(run, KEPT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def in_time(rows: DataFrame, time: str, late: str, window: str) -> DataFrame:
