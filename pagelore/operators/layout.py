@@ -132,4 +132,5 @@ def word_boxes(chars: pd.DataFrame) -> pd.DataFrame:
         else:
             out.append({"text": c.ch, "l": c.l, "r": c.r, "baseline": c.baseline})
         open_ = True
-    return pd.DataFrame([(chars["page"].iloc[0], k, w["text"], w["l"], w["r"]) for k, w in enumerate(out)], columns=["page", "k", "text", "l", "r"])
+    rows = [(chars["page"].iloc[0], k, w["text"], w["l"], w["r"], w["baseline"]) for k, w in enumerate(out)]
+    return pd.DataFrame(rows, columns=["page", "k", "text", "l", "r", "baseline"])

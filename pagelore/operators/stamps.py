@@ -65,7 +65,7 @@ def add(pages: DataFrame, specs: DataFrame, date: str) -> DataFrame:
     rows = rows.withColumn("text", T.expand(F.col("template"), values))
     # half a size for a character, 1.2 sizes for a line
     x, y = place(F.col("anchor"), F.col("margin"), F.col("width"), F.col("height"), F.length("text") * F.col("size") * 0.5, F.col("size") * 1.2, F.col("turn"))
-    return rows.select("doc_id", "page", "spec", "role", "text", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+    return rows.select("doc_id", "page", "spec", "role", "text", (F.round(x, 4) + 0.0).alias("x"), (F.round(y, 4) + 0.0).alias("y"))
 
 
 def remove(stamps: DataFrame, role: str | None = None, ranges: list[tuple[int, int]] | None = None) -> DataFrame:

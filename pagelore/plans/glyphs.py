@@ -5,11 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pagelore.functions import text as T
+from pagelore.operators import layout as L
 from pagelore.sources import corpus
 
 #: Characters stand in lines of this many, 6 points wide, 12 high, 14 apart.
@@ -83,6 +84,30 @@ def upright_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(most, "page", "left").select("page", "k", q.alias("quarter"), left.alias("l"), low.alias("b"), right.alias("r"), high.alias("t"))
 
 
+def turned_back(q: Column, l: str = "l", b: str = "b", r: str = "r", t: str = "t") -> dict[str, Column]:  # noqa: E741
+    """A box in the frame that is ``q`` quarter turns back."""
+    pick = lambda *of: F.element_at(F.array(*of), q + 1)
+    x0, y0, x1, y1 = (F.col(c) for c in (l, b, r, t))
+    return {"l": pick(x0, y0, -x1, -y1), "b": pick(y0, -x1, -y1, x0), "r": pick(x1, y1, -x0, -y0), "t": pick(y1, -x0, -y0, x1)}
+
+
+def upright_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and lines of pages that are drawn turned: in the frame where most visible characters read upright, characters are grouped to words
+    and words to lines again. Page p is drawn p quarters turned, all but each fifth character; those stand apart in that frame."""
+    g = glyphs(spark, sf_dir).withColumn("turn", F.when(F.col("k") % 5 == 0, 0).otherwise((F.col("page") % 4).cast("int")))
+    drawn = turned_back((4 - F.col("turn")) % 4)
+    g = g.select("page", "k", "ch", "turn", *[v.alias(c) for c, v in drawn.items()])
+    votes = g.filter(~F.col("ch").rlike(r"^\s$")).groupBy("page", "turn").agg(F.count("*").alias("n"))
+    most = votes.groupBy("page").agg(F.max_by("turn", F.struct("n", -F.col("turn"))).alias("quarter"))
+    g = g.join(most, "page", "left").withColumn("quarter", F.coalesce("quarter", F.lit(0)))
+    frame = turned_back(F.col("quarter"))
+    chars = g.select(F.col("page").cast("int").alias("page"), F.col("k").cast("int").alias("k"), "ch", (frame["l"] + 0.0).alias("l"), (frame["r"] + 0.0).alias("r"), (frame["b"] + 0.0).alias("baseline"), F.lit(12.0).alias("size"))
+    words = chars.groupBy("page").applyInPandas(L.word_boxes, f"{L.MERGED}, baseline double")
+    order = Window.partitionBy("page").orderBy("k")
+    fresh = F.coalesce((F.abs(F.col("baseline") - F.lag("baseline").over(order)) > 6.0).cast("int"), F.lit(1))
+    return words.withColumn("fresh", fresh).select("page", (F.sum("fresh").over(order) - 1).cast("int").alias("line"), "k", "text", "l", "r", "baseline")
+
+
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The characters of a page back in lines of columns, blanks at the end cut."""
     g = glyphs(spark, sf_dir).withColumn("line", F.floor((812.0 - F.col("t")) / 14.0))
@@ -227,7 +252,7 @@ def sanitize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_count("html", F.lit(script)).alias("scripts"), F.length(clean).alias("left"), (clean != F.col("html")).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (quoted_text, mark_hits, range_rects, missing_characters, upright_frame, layout_lines, ocr_words, ocr_line_confidence, ocr_merged_ideographs, utf16_word_ranges, scoring_text, language_pick, appearance_parse, signature_similarity, anchor_origins, pixel_points, recovery_entries, list_without_doubles, metadata_merge, sanitize_counts)}
+QUERIES = {f.__name__: f for f in (quoted_text, mark_hits, range_rects, missing_characters, upright_frame, upright_words, layout_lines, ocr_words, ocr_line_confidence, ocr_merged_ideographs, utf16_word_ranges, scoring_text, language_pick, appearance_parse, signature_similarity, anchor_origins, pixel_points, recovery_entries, list_without_doubles, metadata_merge, sanitize_counts)}
 
 _G = "(SELECT item_id AS page, k, ch, (k % 40) * 6e0 AS l, 800e0 - (k // 40) * 14 AS b, (k % 40) * 6e0 + 6 AS r, 812e0 - (k // 40) * 14 AS t FROM (SELECT item_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS k FROM benchmark))"
 _M = "(SELECT item_id AS page, mark, (item_id % 7) * 6e0 + ml AS l, b, (item_id % 7) * 6e0 + mr AS r, t FROM benchmark, (VALUES (0, 12e0, 798e0, 80e0, 813e0), (1, 100e0, 784e0, 150e0, 799e0)) x(mark, ml, b, mr, t))"
@@ -252,6 +277,17 @@ v AS (SELECT page, turn, row_number() OVER (PARTITION BY page ORDER BY count(*)
 u AS (SELECT page, k, coalesce(v.turn, 0) AS quarter, l, b, r, t FROM g LEFT JOIN (SELECT page, turn FROM v WHERE place = 1) v USING (page))
 SELECT page, k, quarter, CASE quarter WHEN 1 THEN b WHEN 2 THEN -r WHEN 3 THEN -t ELSE l END + 0e0 AS l, CASE quarter WHEN 1 THEN -r WHEN 2 THEN -t WHEN 3 THEN l ELSE b END + 0e0 AS b,
   CASE quarter WHEN 1 THEN t WHEN 2 THEN -l WHEN 3 THEN -b ELSE r END + 0e0 AS r, CASE quarter WHEN 1 THEN -l WHEN 2 THEN -b WHEN 3 THEN r ELSE t END + 0e0 AS t FROM u
+""",
+    "upright_words": rf"""
+WITH g AS (SELECT *, CAST(CASE WHEN k % 5 = 0 THEN 0 ELSE page % 4 END AS INTEGER) AS turn FROM {_G}),
+v AS (SELECT page, turn, row_number() OVER (PARTITION BY page ORDER BY count(*) DESC, turn) AS place FROM g WHERE NOT regexp_matches(ch, '^\s$') GROUP BY page, turn),
+q AS (SELECT g.*, (coalesce(v.turn, 0) - g.turn + 4) % 4 AS q FROM g LEFT JOIN (SELECT page, turn FROM v WHERE place = 1) v USING (page)),
+f AS (SELECT page, k, ch, CAST(CASE q WHEN 1 THEN b WHEN 2 THEN -r WHEN 3 THEN -t ELSE l END AS DOUBLE) AS l, CAST(CASE q WHEN 1 THEN -r WHEN 2 THEN -t WHEN 3 THEN l ELSE b END AS DOUBLE) AS b, CAST(CASE q WHEN 1 THEN t WHEN 2 THEN -l WHEN 3 THEN -b ELSE r END AS DOUBLE) AS r FROM q),
+n AS (SELECT *, sum(CASE WHEN p IS NULL OR regexp_matches(p, '^\s$') OR abs(b - pb) > 6 OR l - pr > 3 OR l - pr < -6 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY k) AS w
+  FROM (SELECT *, lag(ch) OVER o AS p, lag(b) OVER o AS pb, lag(r) OVER o AS pr FROM f WINDOW o AS (PARTITION BY page ORDER BY k))),
+words AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY w) - 1 AS k, string_agg(ch, '' ORDER BY k) AS text, min(l) AS l, max(r) AS r, first(b ORDER BY k) AS baseline FROM n WHERE NOT regexp_matches(ch, '^\s$') GROUP BY page, w)
+SELECT CAST(page AS INTEGER) AS page, CAST(sum(fresh) OVER (PARTITION BY page ORDER BY k) - 1 AS INTEGER) AS line, CAST(k AS INTEGER) AS k, text, l + 0e0 AS l, r + 0e0 AS r, baseline + 0e0 AS baseline
+FROM (SELECT *, CASE WHEN abs(baseline - lag(baseline) OVER (PARTITION BY page ORDER BY k)) <= 6 THEN 0 ELSE 1 END AS fresh FROM words)
 """,
     "missing_characters": f"""
 WITH g AS (SELECT * FROM {_G} WHERE trim(ch) <> ''), a AS (SELECT page, ch, b, l + CASE WHEN k % 9 = 0 THEN 0.7e0 ELSE 0.2e0 END AS x FROM g WHERE k % 7 <> 0)

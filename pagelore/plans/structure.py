@@ -197,7 +197,7 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.sum(F.when(F.col("ch") == ",", 5.0).otherwise(0.0)).over(Window.partitionBy("page").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     left = F.col("k") * 6.0 + F.coalesce(gap, F.lit(0.0))
     chars = items.select("page", "k", "ch", left.alias("l"), (left + 6.0).alias("r"), F.lit(0.0).alias("baseline"), F.lit(12.0).alias("size"))
-    return chars.groupBy("page").applyInPandas(L.word_boxes, L.MERGED)
+    return chars.groupBy("page").applyInPandas(L.word_boxes, f"{L.MERGED}, baseline double").drop("baseline")
 
 
 #: Marks of content runs in order, and the tree's order of marks; -1 joins what stands before.

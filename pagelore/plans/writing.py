@@ -61,7 +61,7 @@ def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("html")
     sheet = F.when(F.col("page_id") % 3 == 1, "a4").when(F.col("page_id") % 3 == 2, "letter")
     found = S.layout((50 + n % 17_000).cast("double"), (50 + n * 7 % 1500).cast("double"), sheet, F.col("page_id") % 2 == 0, (F.col("page_id") % 4) * 12.0)
-    return corpus.table(spark, sf_dir, "pages").select("page_id", found.alias("p")).select("page_id", *[F.round(F.col("p")[c], 6).alias(c) for c in ("page_w", "page_h", "x", "y", "w", "h")])
+    return corpus.table(spark, sf_dir, "pages").select("page_id", found.alias("p")).select("page_id", *[(F.round(F.col("p")[c], 6) + 0.0).alias(c) for c in ("page_w", "page_h", "x", "y", "w", "h")])
 
 
 def resized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def resized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.select("*", S.resized(*crop.values(), w, h, F.col("page") % 2 == 0).alias("m"), w.alias("w"), h.alias("h"))
     x, y = lambda c: F.col(c) * F.col("m.s") + F.col("m.tx"), lambda c: F.col(c) * F.col("m.s") + F.col("m.ty")
     inside = (x("l") >= 0) & (y("b") >= 0) & (x("r") <= F.col("w")) & (y("t") <= F.col("h"))
-    return rows.select("page", F.round("m.s", 6).alias("scale"), *[F.round(v, 4).alias(c) for c, v in (("l", x("l")), ("b", y("b")), ("r", x("r")), ("t", y("t")))], inside.alias("inside"))
+    return rows.select("page", F.round("m.s", 6).alias("scale"), *[(F.round(v, 4) + 0.0).alias(c) for c, v in (("l", x("l")), ("b", y("b")), ("r", x("r")), ("t", y("t")))], inside.alias("inside"))
 
 
 def shrunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +117,8 @@ WITH s AS (
 ), b AS (SELECT *, CASE WHEN page % 5 = 2 THEN 842.0 ELSE 595.0 END AS pw, CASE WHEN page % 5 = 2 THEN 595.0 ELSE 842.0 END AS ph, length(text) * [10, 8, 48, 9, 9][spec] * 0.5 AS w, [10, 8, 48, 9, 9][spec] * 1.2 AS h, radians([0, 0, 45, 90, 0][spec]) AS a FROM s),
 t AS (SELECT *, w * abs(cos(a)) + h * abs(sin(a)) AS bw, w * abs(sin(a)) + h * abs(cos(a)) AS bh FROM b),
 stamped AS (
-  SELECT doc_id, page, spec, role, text, round(CAST(CASE spec WHEN 1 THEN (pw - bw) / 2 WHEN 2 THEN pw - 18 - bw WHEN 3 THEN (pw - bw) / 2 ELSE 12 END + (bw - w) / 2 AS DOUBLE), 4) AS x,
-    round(CAST(CASE spec WHEN 1 THEN ph - 20 - bh WHEN 2 THEN 18 WHEN 3 THEN (ph - bh) / 2 WHEN 4 THEN 12 ELSE ph - 12 - bh END + (bh - h) / 2 AS DOUBLE), 4) AS y FROM t
+  SELECT doc_id, page, spec, role, text, round(CAST(CASE spec WHEN 1 THEN (pw - bw) / 2 WHEN 2 THEN pw - 18 - bw WHEN 3 THEN (pw - bw) / 2 ELSE 12 END + (bw - w) / 2 AS DOUBLE), 4) + 0e0 AS x,
+    round(CAST(CASE spec WHEN 1 THEN ph - 20 - bh WHEN 2 THEN 18 WHEN 3 THEN (ph - bh) / 2 WHEN 4 THEN 12 ELSE ph - 12 - bh END + (bh - h) / 2 AS DOUBLE), 4) + 0e0 AS y FROM t
 )
 """
 _LINES = r"""SELECT conv_id, turn, trim(x) AS t, CASE WHEN k > 0 THEN 11.0 WHEN turn % 3 = 0 THEN 24.0 WHEN turn % 3 = 1 THEN 14.5 ELSE 11.0 END AS size, k
@@ -134,12 +134,12 @@ SELECT doc_id, sha256(x) AS sha256, length(x) AS length FROM d
     "stamps_removed_by_role": f"{_STAMPED} SELECT doc_id, page, spec FROM stamped WHERE NOT (role IS NOT DISTINCT FROM 'footer' AND page BETWEEN 1 AND 3) AND page < 5",
     "image_layout": f"""
 WITH i AS (SELECT page_id, CAST(50 + length(html) % 17000 AS DOUBLE) AS w, CAST(50 + length(html) * 7 % 1500 AS DOUBLE) AS h, CAST(page_id % 4 * 12.0 AS DOUBLE) AS m, page_id % 3 AS s FROM pages),
-f AS (SELECT *, least((14400 - 2 * m) / w, (14400 - 2 * m) / h, 1) AS own, CASE WHEN (w > h) = (s = 1) THEN 0 ELSE 0 END AS z,
+f AS (SELECT *, least((14400 - 2 * m) / w, (14400 - 2 * m) / h, 1) AS own, 
   CASE WHEN s = 1 THEN CASE WHEN w > h THEN {S.A4[1]} ELSE {S.A4[0]} END ELSE CASE WHEN w > h THEN 792.0 ELSE 612.0 END END AS pw, CASE WHEN s = 1 THEN CASE WHEN w > h THEN {S.A4[0]} ELSE {S.A4[1]} END ELSE CASE WHEN w > h THEN 612.0 ELSE 792.0 END END AS ph FROM i),
 g AS (SELECT *, least(greatest(pw - 2 * m, 1) / w, greatest(ph - 2 * m, 1) / h) AS fit, greatest(w * own, 1) AS ow, greatest(h * own, 1) AS oh FROM f),
 k AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN fit ELSE least(fit, 1) END AS sc FROM g)
-SELECT page_id, round(CAST(CASE WHEN s = 0 THEN ow + 2 * m ELSE pw END AS DOUBLE), 6) AS page_w, round(CAST(CASE WHEN s = 0 THEN oh + 2 * m ELSE ph END AS DOUBLE), 6) AS page_h, round(CAST(CASE WHEN s = 0 THEN m ELSE (pw - w * sc) / 2 END AS DOUBLE), 6) AS x,
-  round(CAST(CASE WHEN s = 0 THEN m ELSE (ph - h * sc) / 2 END AS DOUBLE), 6) AS y, round(CAST(CASE WHEN s = 0 THEN ow ELSE w * sc END AS DOUBLE), 6) AS w, round(CAST(CASE WHEN s = 0 THEN oh ELSE h * sc END AS DOUBLE), 6) AS h FROM k
+SELECT page_id, round(CAST(CASE WHEN s = 0 THEN ow + 2 * m ELSE pw END AS DOUBLE), 6) + 0e0 AS page_w, round(CAST(CASE WHEN s = 0 THEN oh + 2 * m ELSE ph END AS DOUBLE), 6) + 0e0 AS page_h, round(CAST(CASE WHEN s = 0 THEN m ELSE (pw - w * sc) / 2 END AS DOUBLE), 6) + 0e0 AS x,
+  round(CAST(CASE WHEN s = 0 THEN m ELSE (ph - h * sc) / 2 END AS DOUBLE), 6) + 0e0 AS y, round(CAST(CASE WHEN s = 0 THEN ow ELSE w * sc END AS DOUBLE), 6) + 0e0 AS w, round(CAST(CASE WHEN s = 0 THEN oh ELSE h * sc END AS DOUBLE), 6) + 0e0 AS h FROM k
 """,
     "resized_pages": f"""
 WITH n AS (SELECT item_id AS page, length(text) AS n FROM benchmark WHERE text <> ''),
@@ -147,7 +147,7 @@ b AS (SELECT page, CAST(0 AS DOUBLE) AS l, CAST(least(n, {COLUMNS}) * 6 AS DOUBL
 s AS (SELECT *, CASE WHEN cw > 842 THEN {S.A4[1]} ELSE {S.A4[0]} END AS w, CASE WHEN cw > 842 THEN {S.A4[0]} ELSE {S.A4[1]} END AS h FROM b),
 m AS (SELECT *, CAST(CASE WHEN page % 2 = 0 THEN least(w / CAST(cw AS DOUBLE), h / CAST(842 AS DOUBLE)) ELSE 1 END AS DOUBLE) AS sc FROM s),
 p AS (SELECT *, (w - CAST(cw AS DOUBLE) * sc) / 2 - 10 * sc AS tx, (h - 842 * sc) / 2 AS ty FROM m)
-SELECT page, round(sc, 6) AS scale, round(l * sc + tx, 4) AS l, round(b * sc + ty, 4) AS b, round(r * sc + tx, 4) AS r, round(t * sc + ty, 4) AS t, l * sc + tx >= 0 AND b * sc + ty >= 0 AND r * sc + tx <= w AND t * sc + ty <= h AS inside FROM p
+SELECT page, round(sc, 6) AS scale, round(l * sc + tx, 4) + 0e0 AS l, round(b * sc + ty, 4) + 0e0 AS b, round(r * sc + tx, 4) + 0e0 AS r, round(t * sc + ty, 4) + 0e0 AS t, l * sc + tx >= 0 AND b * sc + ty >= 0 AND r * sc + tx <= w AND t * sc + ty <= h AS inside FROM p
 """,
     "shrunk_pages": f"""
 WITH p AS (SELECT conv_id AS doc_id, 400 + length(coalesce(text, '')) % 500 AS w, 400 + length(coalesce(text, '')) * 3 % 500 AS h FROM conversations),

@@ -10,7 +10,7 @@ sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("PYTHONPATH"))))
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR, LARGER_DIR = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -30,15 +30,24 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def connected(folder):
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
     for name in TABLES:
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF_DIR}/{name}.parquet')")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return connected(SF_DIR)
+
+
+@pytest.fixture(scope="session")
+def duck_larger():
+    return connected(LARGER_DIR)
+
+
 def plain(value):
     """A value that compares the same from either engine."""
     if isinstance(value, float):
