@@ -29,7 +29,7 @@ def stream_page_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found.select("doc_id", "page", "hits", F.lit(0).alias("delivery"), F.lit(0).alias("part")).union(again)
     keep = P.PageUpsert(scratch(spark, "upsert"), ["doc_id", "page"], ["delivery"])
     deliver(spark, rows, "pages", 2, lambda stream: stream.writeStream.foreachBatch(keep))
-    return keep.result(spark, 1).select("doc_id", "page", "hits")
+    return keep.result(spark).select("doc_id", "page", "hits")
 
 
 def _table_of(spark: SparkSession, rows: DataFrame, name: str, parts: int, change: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,16 @@ def digest(rows: DataFrame) -> tuple[int, int]:
     return found["n"], int(found["h"])
 
 
+def present(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table of a folder, or None if there is no such folder."""
+    try:
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 class Versions:
     """Versions of a table under a folder. ``publish`` writes a new one beside the present one, reads it back and compares number and hashes of
     the rows with what was to be written; only if they agree does the new version become the present one. A failure anywhere before leaves
@@ -25,12 +36,8 @@ class Versions:
 
     def number(self, spark: SparkSession) -> int:
         """The present version, 0 if there is none."""
-        try:
-            return spark.read.schema("version int").parquet(f"{self.folder}/present").agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
-        except Exception as e:  # Spark has one error class for paths that are not there
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+        found = present(spark, f"{self.folder}/present", "version int")
+        return 0 if found is None else found.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first()["v"]
 
     def present(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/v{self.number(spark)}")

@@ -1,7 +1,7 @@
 """Streams of page results and edits.
 
-Files that arrive in a folder are read as a stream. What a stream keeps goes to a folder of versions, so that a batch that is delivered
-again after a failure writes the same version again.
+Files that arrive in a folder are read as a stream. What a stream keeps goes to a folder of parts, of which a batch replaces those that it has
+something for.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from pagelore.operators.series import ANCHOR_MS
+from pagelore.sources.scratch import stored
+from pagelore.sources.versions import present
 
 
 def read(spark: SparkSession, folder: str, schema: StructType | str, files_a_batch: int | None = None) -> DataFrame:
@@ -30,21 +32,28 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+#: Parts of what a stream keeps: a batch writes those again that it has keys of.
+PARTS = 32
+
+
 class PageUpsert:
-    """Keeps the newest results of each page under ``folder``: a page that comes again replaces its rows. Used with foreachBatch."""
+    """Keeps the newest results of each page under ``folder``: a page that comes again replaces its rows. Used with foreachBatch. Only the parts that
+    a batch touches are read and written again (dynamic overwrite); a batch that is delivered again leaves the same rows."""
 
     def __init__(self, folder: str, keys: list[str], order: list[str]) -> None:
         self.folder, self.keys, self.order = folder, keys, order
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        new = latest(batch, self.keys, self.order)
-        if number > 0:
-            held = batch.sparkSession.read.parquet(f"{self.folder}/v{number - 1}")
-            new = latest(held.unionByName(new), self.keys, self.order)
-        new.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
-
-    def result(self, spark: SparkSession, number: int) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/v{number}")
+        spark = batch.sparkSession
+        new = stored(latest(batch, self.keys, self.order).withColumn("part", F.pmod(F.xxhash64(*self.keys), F.lit(PARTS)).cast("int")), "batch")
+        held = present(spark, self.folder)
+        if held is not None:
+            held = held.join(F.broadcast(new.select("part").distinct()), "part", "left_semi")  # at most PARTS rows
+            new = stored(latest(held.unionByName(new), self.keys, self.order), "batch")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.folder)
+
+    def result(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.folder).drop("part")
 
 
 KEPT = "user_id bigint, label string, at_ms bigint, folded int"
