@@ -131,9 +131,10 @@ def end_of_mix(blocks: Mapping[str, int], slots: Mapping[str, int], place: Mappi
     return min(blocks[s] // n * length + place[s][blocks[s] % n] for s, n in slots.items())
 
 
-def interleaved(df: DataFrame, weights: Mapping[str | None, float] | None = None, **how) -> DataFrame:
-    """All rows in the order of the mix, or with given weights those in the mix, without added columns: range-partitioned by place, so
-    files follow each other in order."""
-    mixed = mix(df, weights, **how)
+def interleaved(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """All rows in the order of the mix, or with given weights those in the mix, with the columns of ``df``, whatever their names:
+    range-partitioned by place, so files follow each other in order."""
+    whole = df.select(F.struct(*df.columns).alias("whole"), df[source].alias("of_source"), df[key].alias("of_key"))
+    mixed = mix(whole, weights, "of_source", "of_key", **how)
     mixed = mixed if weights is None else mixed.filter("in_mix")
-    return mixed.orderBy("place").select(*[c for c in df.columns if c not in ADDED])
+    return mixed.orderBy("place").select("whole.*")

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
@@ -216,7 +216,7 @@ def links(fps: DataFrame, leaf: int = LEAF) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) for each value with a link; root is the smallest value that its links reach. Alternating large and small stars, each
-    an aggregation and a join in tables; a value of many links is only ever aggregated."""
+    an aggregation and a join in tables; the rows of a value of many links are joined with its one row, which a skew join may split."""
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
 # Near copies of a given similarity: bands of least hashes, and links checked by the sets of shingles.
 
 #: Words of a shingle; bands of a text, least hashes of a band; members and shingles of a node that are compared in one go.
-COPY_SHINGLE, COPY_BANDS, COPY_ROWS, COPY_LEAF, COPY_HELD = 5, 24, 5, 2048, 4_000_000
+COPY_SHINGLE, COPY_BANDS, COPY_ROWS, COPY_LEAF, COPY_HELD = 5, 24, 5, 1024, 1_000_000
 #: Bits of the fingerprint, differing bits that a candidate may have, and those that most pairs at a similarity of 0.8 stay within.
 COPY_BITS, COPY_REACH, COPY_RADIUS = 256, 80, 48
 #: Factors (odd) and summands of the hashes.
@@ -304,18 +304,46 @@ def copy_sets(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"set": [set_key(x) for x in sets], "print": [wide_fingerprint(x) for x in texts], "shingles": sets})
 
 
+def rarest(size: np.ndarray) -> np.ndarray:
+    """How many of its shingles, the rarest first, a set of each size must share one of with any set of similarity 0.8: of a fifth."""
+    return size - (4 * size + 4) // 5 + 1
+
+
+def joinable(at: np.ndarray, size: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The sets that may have a similarity of 0.8 with one of another group: they share one of their ``rarest`` shingles (by the number of these
+    sets that hold it) with it. Texts of one template share none, however much of the template they have in common. ``at``: the numbers of all
+    shingles, set by set."""
+    owner = np.repeat(np.arange(len(size)), size)
+    held = np.bincount(at)
+    order = np.lexsort((at, held[at], owner))
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    kept = order[nth < rarest(size)[owner]]
+    kept = kept[held[at[kept]] > 1]
+    kept = kept[np.lexsort((root[owner[kept]], at[kept]))]
+    shingle, group = at[kept], root[owner[kept]]
+    edge = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]) if len(kept) else np.empty(0, np.int64)
+    if not len(edge):
+        return np.empty(0, np.int64)
+    last = np.r_[edge[1:], len(kept)] - 1
+    mixed = np.repeat(group[edge] != group[last], np.diff(np.r_[edge, len(kept)]))
+    return np.unique(owner[kept[mixed]])
+
+
 def across(sets: list[np.ndarray], prints: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
     """Links between sets of different groups (``root`` has each set's) that join all groups with a similarity of 0.8 between any two of
-    their sets. ``prints``: the fingerprint of each set, COPY_BITS / 64 words; a set is compared with what the Gray-order index finds
-    within COPY_REACH of it."""
+    their sets. ``prints``: the fingerprint of each set, COPY_BITS / 64 words; a set that is ``joinable`` is compared with what the Gray-order
+    index of those finds within COPY_REACH of it."""
     size = np.array([len(x) for x in sets])
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     start, mark, root, out = np.cumsum(size) - size, np.zeros(len(at), np.int32), root.copy(), []
-    order = gray_order(prints)
-    levels = hierarchy(prints[order])
-    for first in range(0, len(sets), QUERIES):
-        q, c = near(levels, prints[first : first + QUERIES], COPY_REACH)
-        q, c = q + first, order[c]
+    some = joinable(at, size, root)
+    if not len(some):
+        return []
+    order = gray_order(prints[some])
+    levels = hierarchy(prints[some][order])
+    for first in range(0, len(some), QUERIES):
+        q, c = near(levels, prints[some[first : first + QUERIES]], COPY_REACH)
+        q, c = some[q + first], some[order[c]]
         ahead = (c > q) & (5 * np.minimum(size[c], size[q]) >= 4 * np.maximum(size[c], size[q])) & (size[q] > 0)
         q, c = q[ahead], c[ahead]
         order_q = np.argsort(q, kind="stable")
@@ -390,7 +418,20 @@ def copy_links(docs: DataFrame, prints: DataFrame, leaf: int = COPY_LEAF) -> Dat
     found = found.union(checked(apart))
     of = stored(rooted(members, components(found), "set", "root"), "of")
     mixed = of.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total")).filter("low != high")
-    # a large node's members are dealt into parts, and each two parts meet in one block
+    many = mixed.filter((F.col("n") > leaf) | (F.col("total") > COPY_HELD))
+    if many.head(1):
+        # a large node falls into one for each shingle that is among the rarest of some of its members
+        large = of.join(many.select("node"), "node")
+        inner = stored(large.join(sets.select("set", "shingles"), "set").select("node", "set", "root", "size", F.explode("shingles").alias("shingle")), "shingles")
+        held = inner.groupBy("node", "shingle").count().filter("count > 1")
+        # those of no other member come first in a set's order, so they only take places
+        alone = F.col("size") - F.count("*").over(Window.partitionBy("node", "set"))
+        place = alone + F.row_number().over(Window.partitionBy("node", "set").orderBy("count", "shingle"))
+        inner = inner.join(held, ["node", "shingle"]).withColumn("place", place).filter(F.col("place") <= F.col("size") - F.floor((4 * F.col("size") + 4) / 5) + 1)
+        inner = stored(inner.select(F.xxhash64("node", "shingle").alias("node"), "set", "root", "size"), "rare")
+        of = stored(of.join(many.select("node"), "node", "left_anti").unionByName(inner.select(*of.columns)), "of")
+        mixed = of.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total")).filter("low != high")
+    # members of a node that is still large are dealt into parts, and each two parts meet in one block
     parts = F.when((F.col("n") <= leaf) & (F.col("total") <= COPY_HELD), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / leaf, F.col("total") / COPY_HELD)))
     rows = of.join(mixed.select("node", parts.alias("parts")), "node").withColumn("p", F.pmod(F.xxhash64("set"), F.col("parts")))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))

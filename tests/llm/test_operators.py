@@ -203,22 +203,22 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def wide_components(texts):
-    """Components of wide fingerprints by comparing all of them."""
-    prints = np.array([np.frombuffer(simhash.wide_fingerprint(t), np.uint64) for t in texts])
+def copy_components(texts):
+    """Components of a similarity of 0.8 or more of the sets of 5-word shingles, by comparing all of them."""
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
     root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.COPY_RADIUS:
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 5 * len(x & y) >= 4 * len(x | y):
                 a, b = root[i], root[j]
-                root = [min(a, b) if x in (a, b) else x for x in root]
+                root = [min(a, b) if k in (a, b) else k for k in root]
     return root
 
 
 def test_one_of_each(spark, odd, none):
     data = rows()
     least = {}
-    for r, k in zip(data, wide_components([r[1] for r in data]), strict=True):
+    for r, k in zip(data, copy_components([r[1] for r in data]), strict=True):
         if r[0] is not None:
             least[k] = min(least.get(k, r[0]), r[0])
     kept = [r["doc_id"] for r in simhash.one_of_each(odd).collect()]
@@ -304,6 +304,34 @@ def test_large_families_lose_no_link(spark, leaf):
     assert 4 < len(set(root)) < len(texts) / 2
 
 
+def test_texts_of_one_template_are_not_compared(spark):
+    """Half of each text is the same: they share nodes, but no shingle that is rare among them. Copies of such texts are found all the same."""
+    rnd = random.Random(12)
+    template = [f"t{k}" for k in range(200)]
+    bases = [[*template, *(f"w{rnd.randrange(10**9)}" for _ in range(100))] for _ in range(300)]
+    texts = [" ".join(b) for b in bases] + [" ".join(changed(rnd, b, 3)) for b in bases[:40]]
+    sets = [simhash.shingle_set(t) for t in texts]
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    some = simhash.joinable(at, np.array([len(x) for x in sets]), np.arange(len(sets)))
+    assert set(some.tolist()) == {*range(40), *range(300, 340)}
+    for leaf in (simhash.COPY_LEAF, 20):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), leaf).collect()}
+        assert got == {k: k if k < 300 else k - 300 for k in range(340)}
+
+
+def test_rare_shingles_lose_no_pair():
+    rnd = random.Random(13)
+    for _ in range(200):
+        pool = list(range(rnd.randint(3, 40)))
+        sets = [np.array(sorted(rnd.sample(pool, rnd.randint(1, len(pool))))) for _ in range(12)]
+        size, at = np.array([len(x) for x in sets]), np.unique(np.concatenate(sets), return_inverse=True)[1]
+        some = set(simhash.joinable(at, size, np.arange(12)).tolist())
+        for i in range(12):
+            for j in range(i):
+                if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                    assert {i, j} <= some
+
+
 def test_blocks_find_what_the_whole_finds():
     rnd = random.Random(7)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(160)]
@@ -377,7 +405,9 @@ def test_languages(spark, docs, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, F.lit(False)).collect()} == {"und"}
     assert langid.accepted(odd).columns == odd.columns
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
-    assert langid.accepted(unlabelled).count() == langid.accepted(odd).count()
+    # without a label all letters stay; with labels only what the labelled rows explain
+    texts = [{r["text"] for r in langid.accepted(x).select("text").collect()} for x in (unlabelled, odd)]
+    assert texts[1] < texts[0] and texts[0] - texts[1] == {"two words", "x" * 5000}
 
 
 def test_rejected_by_prediction(spark):
@@ -392,6 +422,18 @@ def test_rejected_by_prediction(spark):
     assert {(r["doc_id"], r["_p"], r["_verdict"]) for r in langid.identify(frame).collect()} == {(d, p, v) for d, _, _, p, v in data}
 
 
+def test_noise_in_known_letters_goes(spark):
+    data = [(k, "the house on the hill and the river" if k % 2 else "la maison sur la colline et le fleuve", "en" if k % 2 else "fr") for k in range(40)]
+    noise = ["zxqv wvkj qqqx zzzk " * 20, "qqqq", "QQQQ zzzz", "xkcd wvvv"]
+    kept = ["hill", "the hous", "fleuves", "colline qqqq la maison"]
+    frame = spark.createDataFrame(data + [(100 + k, t, None) for k, t in enumerate(noise)] + [(200 + k, t, None) for k, t in enumerate(kept)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in langid.accepted(frame).collect()}
+    assert set(got) == set(range(40)) | {200, 201, 202, 203}
+    assert (got[200], got[201], got[202]) == ("en", "en", "fr")
+    # a prediction that does not stand out fills nothing
+    assert {r["lang"] for r in langid.accepted(frame, edge=1.0).filter("doc_id >= 200").collect()} == {None}
+
+
 def test_many_labels(spark):
     """A dirty label column ends nothing: the most frequent labels teach."""
     data = [(k, "word aa" if k % 2 else "other bb", "xx" if k % 2 else "yy") for k in range(20)] + [(100 + k, f"t{k}", f"l{k}") for k in range(langid.LANGUAGES + 50)]
@@ -804,7 +846,10 @@ def test_mix(spark, docs, odd, none):
             assert abs(share - 0.75 * n) < 1.01
     assert mixing.mix(docs, {"nowhere": 1.0}).filter("in_mix or slot is not null").count() == 0
     assert mixing.mix(none).count() == 0 and mixing.interleaved(none).count() == 0
-    assert mixing.interleaved(odd).columns == [c for c in odd.columns if c not in mixing.ADDED]
+    # a user's own columns stay, also where mix() adds one of the name
+    own = odd.withColumn("block", F.lit("mine")).withColumn("in_mix", F.col("doc_id"))
+    assert mixing.interleaved(own).columns == own.columns
+    assert collections.Counter(map(tuple, mixing.interleaved(own).collect())) == collections.Counter(map(tuple, own.collect()))
 
 
 def test_mix_leaves_no_row_out(spark):
