@@ -32,8 +32,9 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 #: Words of the longest phrase, least count, score's factor, hundredths of a phrase's count at which a longer one stands for it, rows of a language.
 LONGEST, LEAST, FACTOR, COVERED, TOP = 4, 30, 2_000_000, 80, 2000
 
-#: Words of a dictionary that is broadcast, words whose counts a task holds, numbers of a run of text, bits of the table of frequent keys.
-MOST_WORDS, HELD, RUN, BITS = 500_000, 200_000, 1 << 20, 1 << 26
+#: Words of a dictionary that is broadcast, words whose counts a task holds, numbers of a stored run of text (readers take 4,096 rows at once),
+#: n-grams that are sorted at once, bits of the table of frequent keys.
+MOST_WORDS, HELD, RUN, SORTED, BITS = 500_000, 500_000, 1 << 11, 1 << 20, 1 << 26
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -195,20 +196,19 @@ def _ngrams(n: int, table: Broadcast | None, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in batch["run"]:
-                ids = np.frombuffer(row.as_buffer(), "<i4")
+            # each run ends with 0, so a batch is one run
+            data, offsets = batch["run"].buffers()[2], np.frombuffer(batch["run"].buffers()[1], np.int32)[batch["run"].offset :][: batch.num_rows + 1]
+            whole = np.frombuffer(data, "<i4", (offsets[-1] - offsets[0]) // 4, offsets[0]) if batch.num_rows else np.zeros(0, "<i4")
+            for first in range(0, len(whole), SORTED):
+                ids = whole[first : first + SORTED + n - 1]
                 m = max(0, len(ids) - n + 1)
-                fits = np.logical_and.reduce([ids[k : k + m] != 0 for k in range(n)])
-                if table is not None:
-                    part = np.flatnonzero(fits)
-                    for a in (0, 1):
-                        where = bit([ids[part + a + k] for k in range(n - 1)], bits)
-                        part = part[table.value[where >> 3] >> (where & 7).astype(np.uint8) & 1 == 1]
-                else:
-                    part = np.flatnonzero(fits)
+                part = np.flatnonzero(np.logical_and.reduce([ids[k : k + m] != 0 for k in range(n)]))
+                for a in (0, 1) if table is not None else ():
+                    where = bit([ids[part + a + k] for k in range(n - 1)], bits)
+                    part = part[table.value[where >> 3] >> (where & 7).astype(np.uint8) & 1 == 1]
                 held.append([ids[part + k] for k in range(n)])
                 size += len(part)
-                if size >= 4 * RUN:
+                if size >= SORTED:
                     yield counted(held)
                     held, size = [], 0
         if size:
@@ -245,7 +245,8 @@ KEYS = "high bigint, low bigint, n bigint"
 def frequent_ngrams(runs: DataFrame, n: int, table: Broadcast | None, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """high, low, n of the n-grams found at least ``least`` times."""
     spark = runs.sparkSession
-    counted = stored(runs.mapInArrow(_ngrams(n, table, bits), KEYS), f"grams{n}")
+    # not stored: counting once more for the sample of the ranges costs less than a copy of all keys
+    counted = runs.mapInArrow(_ngrams(n, table, bits), KEYS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return stored(counted.repartitionByRange(parts, "high", "low").sortWithinPartitions("high", "low").mapInArrow(_run_lengths(least), KEYS), f"frequent{n}")
 

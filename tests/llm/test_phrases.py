@@ -53,11 +53,12 @@ def found(frame):
     return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in frame.collect())
 
 
-@pytest.mark.parametrize("most_words,bits,run", [(phrases.MOST_WORDS, phrases.BITS, 1 << 20), (0, 64, 50)])
+@pytest.mark.parametrize("most_words,bits,run", [(phrases.MOST_WORDS, phrases.BITS, phrases.RUN), (0, 64, 50)])
 def test_against_brute_force(spark, most_words, bits, run, monkeypatch):
     """The second case: a dictionary too large to broadcast and a table in which every bit is set."""
     monkeypatch.setattr(phrases, "RUN", run)
     monkeypatch.setattr(phrases, "HELD", 1000)
+    monkeypatch.setattr(phrases, "SORTED", 10 * run)
     rows = texts()
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
     want = brute(rows)
