@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagelore.operators.graph import components
 
@@ -11,10 +16,30 @@ from pagelore.operators.graph import components
 TILE, LEAST, MOST = 8, 3, 64
 
 
-def differing(a: Column, b: Column) -> Column:
+def differing(a: str, b: str) -> np.ndarray:
     """Places of two texts' characters that differ, from 0; beyond the shorter one's end a blank stands."""
-    cells = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x, F.lit(" ")) != F.coalesce(y, F.lit(" ")))
-    return F.filter(F.transform(cells, lambda d, k: F.when(d, k)), lambda k: k.isNotNull())
+    x, y = (np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    n = max(len(x), len(y))
+    x, y = (np.pad(c, (0, n - len(c)), constant_values=32) for c in (x, y))
+    return np.flatnonzero(x != y)
+
+
+def text_tiles(pairs: DataFrame, across: int, tile: int = TILE, least: int = LEAST) -> DataFrame:
+    """g, tx, ty of the changed tiles of two texts (g, a, b) on a grid of ``across`` characters: a text's tiles are counted where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = -(-across // tile)
+        for batch in batches:
+            row, places = [], []
+            for k, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
+                at = differing(a, b)
+                found, n = np.unique(at // across // tile * wide + at % across // tile, return_counts=True)
+                places.append(found[n >= least])
+                row.append(np.full(len(places[-1]), k))
+            row, place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (row, places))
+            yield pa.RecordBatch.from_arrays([batch["g"].take(pa.array(row)), pa.array(place % wide), pa.array(place // wide)], names=["g", "tx", "ty"])
+
+    return pairs.select("g", "a", "b").mapInArrow(run, StructType([pairs.schema["g"], StructField("tx", LongType()), StructField("ty", LongType())]))
 
 
 def changed_tiles(cells: DataFrame, tile: int = TILE, least: int = LEAST) -> DataFrame:

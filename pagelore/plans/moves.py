@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelore.operators import flow, graph, regions
 from pagelore.plans.glyphs import COLUMNS, glyphs
 from pagelore.sources import corpus
+from pagelore.sources.scratch import stored
 
 #: Characters of a line of the grid, the word that the second page has in capitals.
 ACROSS, WORD = 64, "with"
@@ -17,8 +18,7 @@ def changed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's characters on a grid, against a page on which one word is in capitals and a tenth of the text is missing at the end."""
     docs = corpus.documents(spark, sf_dir).filter("text <> ''").withColumn("n", F.length("text"))
     other = F.replace(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 10)).cast("int")), F.lit(WORD), F.lit(WORD.upper()))
-    cells = docs.select(F.col("doc_id").alias("g"), F.explode(regions.differing(F.col("text"), other)).alias("k"))
-    tiles = regions.changed_tiles(cells.select("g", (F.col("k") % ACROSS).alias("x"), F.floor(F.col("k") / ACROSS).alias("y")))
+    tiles = stored(regions.text_tiles(docs.select(F.col("doc_id").alias("g"), F.col("text").alias("a"), other.alias("b")), ACROSS), "tiles")
     sizes = docs.select(F.col("doc_id").alias("g"), F.lit(ACROSS).cast("bigint").alias("w"), F.ceil(F.col("n") / ACROSS).alias("h"))
     return regions.regions(tiles, sizes).withColumnRenamed("g", "doc_id")
 

@@ -67,9 +67,15 @@ def test_regions(spark):
     assert sum(r["g"] == 3 for r in got) == 64
 
 
-def test_differing(spark):
-    rows = spark.createDataFrame([("abc", "abd"), ("ab", "ab  "), ("", "x"), ("é日", "é本"), ("a", "a")], "a string, b string")
-    assert [r[0] for r in rows.select(regions.differing(F.col("a"), F.col("b"))).collect()] == [[2], [], [0], [1], []]
+def test_text_tiles(spark):
+    rows = [("abc", "abd"), ("ab", "ab  "), ("", "x"), ("é日🙂", "é本🙂"), ("a", "a")]
+    assert [regions.differing(a, b).tolist() for a, b in rows] == [[2], [], [0], [1], []]
+    rnd = random.Random(9)
+    texts = [(k, "".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 900))), "".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 900)))) for k in range(20)] + [(None, "abc", None), (21, None, None)]
+    cells = [(g, int(k) % 30, int(k) // 30) for g, a, b in texts for k in regions.differing(a, b)]
+    want = regions.changed_tiles(spark.createDataFrame(cells, "g int, x int, y int"))
+    got = regions.text_tiles(spark.createDataFrame(texts, "g int, a string, b string").repartition(3), 30)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 SPEC = "page int, item bigint, kind string, line boolean, l double, b double, r double, t double"
