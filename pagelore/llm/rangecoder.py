@@ -1,16 +1,16 @@
 """Token ids in compressed binary files: an adaptive context-mixing range coder.
 
-A block holds BLOCK ids, starts from an empty model and ends in its own checksums, so blocks are read and repaired alone. For each id:
+A block holds BLOCK ids, starts from an empty model and ends in its own checksums, so blocks are read and repaired alone. It begins with its
+distinct ids as plain numbers in order of first appearance; what is coded is each id's place in that list. For each id:
 
 * order 2 and order 1 each give all of their chance to the id that last followed the same two ids, or the same one;
-* order 0 spreads its chance over the ids of the block so far by their frequencies, renewed each time the block's length doubles, with a
-  rest for the ids that it doesn't know;
-* the id is coded with the weighted sum of the three. The weights adapt: they are a mixture of two tables, one by how often orders 2 and 1
-  were right of late and one by the last outcomes, and the mixture follows the table that does better;
-* what no order knows falls into order 0's rest and is followed by whether it is new in the block, by an adaptive chance, then by its number
-  or by 16 or 32 plain bits.
+* order 0 spreads its chance over the ids of the block so far by their frequencies, renewed at the places RENEW, with a rest for the ids that
+  it doesn't know, as large as their share was between the last two renewals;
+* the id is coded with the weighted sum of the three. The weights adapt: they depend on how often orders 2 and 1 were right of late and on
+  whether they agree, and are renewed with order 0 from the outcomes of the block so far;
+* what no order knows falls into order 0's rest and is followed by one more choice: the next new id, or one of those since the renewal.
 
-Ids are numbered within a block by first appearance, so models are small and take ids of any vocabulary up to 32 bits.
+Lists are of the block alone, so models are small and take ids of any vocabulary up to 32 bits.
 
 The arithmetic coder is carry-less with 32-bit digits. numpy runs it over many blocks of a partition side by side, one id of each block a
 step; a block's bytes don't depend on its neighbours.
@@ -24,6 +24,8 @@ of the text; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import struct
 import uuid
@@ -39,103 +41,129 @@ from pyspark.sql.types import LongType
 
 from pagelore.llm.common import shared_dir, stored
 
-MAGIC, BLOCK, LANES = b"PLR2", 4096, 2048
+MAGIC, BLOCK, LANES = b"PLR3", 4096, 2048
 #: Slots of the order-2 table, bits of weights, bits of order 0.
 SLOTS, WEIGHT, ORDER0 = 2048, 11, 13
 WHOLE0, BITS = 1 << ORDER0, WEIGHT + ORDER0
 REMEMBERED, PROBES = 1_000_000, 200
+#: The number of what order 0 doesn't know.
+UNKNOWN = 1 << 13
 HEAD = struct.Struct("<4sIIIII")
+DICTIONARY = struct.Struct("<?H")
 PIECE = np.dtype([("doc", "<i8"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<u4")])
 U = np.uint64
 FULL, DIGIT = U((1 << 64) - 1), U(1 << 32)
-RENEW = [1 << k for k in range(6, BLOCK.bit_length())]
+RENEW = [32, 64, 128, 256, 512, 1024, 1536, 2048, 3072]
 
 
 class Orders:
     """Orders 1 and 2 and the weights of all three, for many blocks side by side. A slot holds an id's number and, in its low two bits, how
-    often it was right of late. Outcomes: 0 order 2 was right, 1 order 1, 2 neither."""
+    often it was right of late. A block's weights depend on what both slots were worth and on whether they agree (CONTEXTS); they are renewed
+    with order 0, from all outcomes of the block so far."""
 
-    RATE = np.float32(0.03)
-    KEEP = np.float32(1) - RATE
-    #: The weights of order 2 and of order 1 are the two parts of one complex number. What an outcome adds to them; which way it moves the
-    #: share of the first table; the last two outcomes after it.
-    ADD = np.array([RATE, RATE * 1j, 0], np.complex64)
-    TOWARDS = np.array([0.05, -0.05, -0.05], np.float32)
-    PAST = np.array([k % 3 * 3 + w for k in range(9) for w in range(3)])
+    CONTEXTS, PRIOR = 32, 8
+    #: By how often a slot was right, and 4 if it is now: what its low bits change by. At 0 the slot is taken over.
+    MOVES = np.array([0, -1, -1, -2, 1, 1, 1, 0], np.int16)
 
     def __init__(self, n: int, longest: int) -> None:
-        lanes = np.arange(n)
-        self.own1, self.own2, self.by, self.of = lanes * longest, lanes * SLOTS, lanes * 32, lanes * 9
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.slots2, self.slots1 = np.zeros(n * SLOTS, np.int32), np.zeros(n * longest, np.int32)
-        self.by_trust, self.by_past = np.full(n * 32, (1 + 1j) / 3, np.complex64), np.full(n * 9, (1 + 1j) / 3, np.complex64)
-        self.past, self.share = np.full(n, 8), np.full(n, 0.5, np.float32)
-
-    def predict(self, n: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1 of the first n blocks, and their weights, out of 2 ** WEIGHT."""
+        lanes, apart = np.arange(n, dtype=np.int32), longest + 37  # blocks that lie a power of two apart would share few lines of the cache
+        self.own1, self.own2, self.by = lanes * apart, lanes * (SLOTS + 37), lanes * self.CONTEXTS
+        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.slots2, self.slots1 = np.zeros(n * (SLOTS + 37), np.int16), np.zeros(n * apart, np.int16)
+        third = ((1 << WEIGHT) - 3) // 3 + 1
+        self.weights = np.full(n * self.CONTEXTS, third << WEIGHT | third, np.int32)
+        self.outcomes, self.counts, self.upto = np.zeros((longest, n), np.uint8), np.zeros((n, self.CONTEXTS, 4)), 0
+
+    def renew(self, t: int, n: int) -> None:
+        """The weights of the first n blocks from their outcomes before t."""
+        some = self.outcomes[self.upto : t, :n] + np.arange(n, dtype=np.int32) * (self.CONTEXTS * 4)
+        self.counts[:n] += np.bincount(some.ravel(), minlength=n * self.CONTEXTS * 4).reshape(n, self.CONTEXTS, 4)
+        self.upto = t
+        own = self.counts[:n]
+        right = np.stack([own[..., 1] + own[..., 3], own[..., 2]], -1)
+        total = own.sum(-1, keepdims=True)
+        usual = (right.sum(1, keepdims=True) + 1) / (total.sum(1, keepdims=True) + 3)
+        chance = ((right + self.PRIOR * usual) / (total + self.PRIOR) * ((1 << WEIGHT) - 3)).astype(np.int32) + 1
+        self.weights[: n * self.CONTEXTS] = (chance[..., 0] << WEIGHT | chance[..., 1]).ravel()
+
+    def predict(self, n: int) -> None:
+        """Guesses (g2, g1) of order 2 and 1 of the first n blocks, and the weights (w0, w2, w1) of all, out of 2 ** WEIGHT."""
         self.k1 = self.own1[:n] + self.last[:n]
         self.k2 = self.own2[:n] + (self.last[:n] * 40503 + self.before[:n] * 30011 >> 3 & SLOTS - 1)
-        self.s2, self.s1 = self.slots2.take(self.k2), self.slots1.take(self.k1)
+        self.s2, self.s1 = self.slots2[self.k2], self.slots1[self.k1]
         self.g2, self.g1 = self.s2 >> 2, self.s1 >> 2
-        if first:  # no number has an id yet
-            self.g2, self.g1 = self.g2 - 1, self.g1 - 1
-        self.context = self.by[:n] + ((self.s2 & 3) * 4 + (self.s1 & 3) + (self.g2 == self.g1) * np.int32(16))
-        self.recent = self.of[:n] + self.past[:n]
-        self.a, self.b = self.by_trust.take(self.context), self.by_past.take(self.recent)
-        self.apart = self.a - self.b
-        mixed = self.b + self.share[:n] * self.apart
-        scale = np.float32((1 << WEIGHT) - 3)
-        return self.g2, self.g1, (mixed.real * scale).astype(np.int64) + 1, (mixed.imag * scale).astype(np.int64) + 1
-
-    def learn(self, now: np.ndarray) -> None:
+        self.t2, self.t1 = self.s2 & 3, self.s1 & 3
+        self.context = self.t2 * 4 + self.t1 + (self.g2 == self.g1) * np.int16(16)
+        weights = self.weights[self.by[:n] + self.context]
+        self.w2, self.w1 = weights >> WEIGHT, weights & (1 << WEIGHT) - 1
+        self.w0 = (1 << WEIGHT) - self.w2 - self.w1
+
+    def interval(self, now: np.ndarray, begin0: np.ndarray, size0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers ``now`` begin and how wide they are in the weighted sum, given the same in order 0."""
+        self.is2, self.is1 = now == self.g2, now == self.g1
+        begin = self.w0 * begin0 + (self.w2 * (self.g2 < now) + self.w1 * (self.g1 < now) << ORDER0)
+        return begin, self.w0 * size0 + (self.w2 * self.is2 + self.w1 * self.is1 << ORDER0)
+
+    def rest(self, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for what no order knows, of the blocks ``at``."""
+        w0, known = self.w0[at], known[at]
+        return w0 * known + ((1 << WEIGHT) - w0 << ORDER0), w0 * (WHOLE0 - known)
+
+    def learn(self, t: int, now: np.ndarray) -> None:
         n = len(now)
-        is2, is1 = now == self.g2, now == self.g1
-        which = np.where(is2, 0, 2 - is1)
-        w = self.share[:n]
-        w += self.apart.real * self.TOWARDS.take(which)
-        np.minimum(np.maximum(w, np.float32(0.02), out=w), np.float32(0.98), out=w)
-        add = self.ADD.take(which)
-        self.by_trust[self.context], self.by_past[self.recent] = self.a * self.KEEP + add, self.b * self.KEEP + add
-        new = now << 2
-        for slots, key, slot, right in ((self.slots2, self.k2, self.s2, is2), (self.slots1, self.k1, self.s1, is1)):
-            trust = slot & 3
-            slots[key] = np.where(right, slot + (trust < 3), np.where(trust > 0, slot - (trust + 1 >> 1), new))
-        self.past[:n] = self.PAST.take(self.past[:n] * 3 + which)
+        new, two, one = now << 2, self.is2.view(np.int8), self.is1.view(np.int8)
+        self.outcomes[t, :n] = self.context * 4 + two + 2 * one
+        for slots, key, slot, trust, right in ((self.slots2, self.k2, self.s2, self.t2, two), (self.slots1, self.k1, self.s1, self.t1, one)):
+            trust = trust + 4 * right
+            slots[key] = np.where(trust == 0, new, slot + self.MOVES[trust])
         self.before[:n] = self.last[:n]
         self.last[:n] = now
 
 
 class Order0:
-    """Frequencies of the numbers so far, for many blocks; each block's add up to WHOLE0 with the rest for numbers from ``kinds`` on."""
-
-    def __init__(self, now: np.ndarray, n: int, slots: bool) -> None:
-        steps = len(now)
-        wide = int(now.max()) + 1 if steps else 1
-        count = np.bincount((np.arange(n) * wide + now).ravel(), minlength=n * wide).reshape(n, wide)
-        self.kinds = (count > 0).sum(1)
-        kinds = self.kinds[:, None]
-        rest = np.maximum(1, WHOLE0 * kinds // (2 * (max(steps, 1) + kinds)))
-        freq = np.where(count > 0, 1 + count * (WHOLE0 - rest - kinds) // max(steps, 1), 0)
-        cum = np.zeros((n, wide + 1), np.int64)
-        np.cumsum(freq, axis=1, out=cum[:, 1:])
-        self.cum, self.base, self.known = cum.ravel(), np.arange(n) * (wide + 1), cum[:, -1]
+    """Frequencies of the numbers before t, for many blocks; each block's add up to WHOLE0 with the rest for numbers from ``kinds`` on. The
+    rest is as large as the share of such numbers was since the table ``before``, and so is the chance that they are new in the block:
+    for m of them since t, ``fresh`` * m / FRESH + 1 against m."""
+
+    FRESH = 64
+
+    def __init__(self, numbers: np.ndarray, t: int, n: int, before: Order0 | None, slots: bool) -> None:
+        since = before.at if before is not None else 0
+        self.at, now = t, numbers[since:t, :n]
+        wide = max(int(now.max()) + 1 if t else 1, before.wide if before is not None else 1)
+        count = np.bincount((now + np.arange(n, dtype=np.int32) * wide).ravel(), minlength=n * wide).astype(np.int32).reshape(n, wide)
+        if before is not None:
+            count[:, : before.wide] += before.count[:n]
+        self.count = count
+        self.kinds, rest, self.fresh = (count > 0).sum(1), np.full(n, WHOLE0 - 1), np.full(n, self.FRESH)
+        if before is not None:
+            old = before.kinds[:n]
+            unknown = (now >= old).sum(0)
+            new = self.kinds - old
+            rest = np.clip(WHOLE0 * (unknown + 1) // (t - since + 2), 1, WHOLE0 - self.kinds)
+            self.fresh = self.FRESH * (new + 1) // (unknown - new + 1)
+        freq = count * (WHOLE0 - rest - self.kinds).astype(np.int32)[:, None] // np.int32(max(t, 1)) + (count > 0)
+        begin = np.zeros((n, wide + 1), np.int32)
+        np.cumsum(freq, axis=1, out=begin[:, 1:])
+        self.known = begin[:, -1].copy()
+        self.wide, self.base, self.both = wide, np.arange(n, dtype=np.int32) * (wide + 1), begin << 14
+        self.both[:, :-1] |= freq
+        self.both = self.both.ravel()
         if slots:
-            all_of = np.zeros((n, wide + 1), np.int64)
-            all_of[:, :-1] = freq
-            all_of[np.arange(n), self.kinds] = WHOLE0 - self.known
-            self.slot = np.repeat(np.tile(np.arange(wide + 1, dtype=np.int16), n), all_of.ravel())
+            upto = np.append(freq, WHOLE0 - self.known[:, None], 1)
+            value = np.arange(wide + 1, dtype=np.int16)
+            value[-1] = UNKNOWN
+            self.slot = np.repeat(np.tile(value, n), upto.ravel())
 
-    def find(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where numbers begin and how wide they are, a column for each of the first n blocks; unknown ones begin at the rest, and have none."""
-        at, end = np.clip(x, 0, self.kinds[:n]), np.clip(x + 1, 0, self.kinds[:n])
-        begin = self.cum.take(self.base[:n] + at)
-        return begin, self.cum.take(self.base[:n] + end) - begin
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """Where numbers begin (times 2 ** 14) and how wide they are, a column for each block; unknown ones begin at the rest, and have none."""
+        return self.both[np.minimum(numbers, self.wide) + self.base[: numbers.shape[-1]]]
 
 
 class Coder:
     """Low ends and widths of many blocks' intervals. With a code, digits are read, else written.
 
-    A width is over 32 bits after ``shift``, so that narrowing by BITS, or by 13 and 16 bits, fits between two shifts. If less is left, either the first
+    A width is over 32 bits after ``shift``, so that narrowing by up to 24 bits fits between two shifts. If less is left, either the first
     digit is settled, or the interval is cut where it would pass on a carry; so each shift is of one digit."""
 
     def __init__(self, n: int, digits: np.ndarray) -> None:
@@ -147,36 +175,47 @@ class Coder:
         self.code = self.digits[:, 0].astype(U) << U(32) | self.digits[:, 1].astype(U)
         self.used += 2
 
-    def value(self, at: np.ndarray | slice, bits: int) -> np.ndarray:
-        return np.minimum((self.code[at] - self.low[at]) // (self.width[at] >> U(bits)), U((1 << bits) - 1)).astype(np.int64)
-
-    def narrow(self, at: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        part = self.width[at] >> U(bits)
-        self.low[at] += part * cum.astype(U)
-        self.width[at] = part * freq.astype(U)
-
-    def one_of(self, at: np.ndarray, of: np.ndarray, pick: np.ndarray | None) -> np.ndarray:
-        """One of ``of`` equal parts: written if given, else read."""
-        part = self.width[at] // of.astype(U)
-        if pick is None:
-            pick = np.minimum((self.code[at] - self.low[at]) // part, of.astype(U) - U(1)).astype(np.int64)
-        self.low[at] += part * pick.astype(U)
-        self.width[at] = part
-        return pick
-
-    def shift(self, at: np.ndarray | None, n: int) -> None:
-        """Of the blocks ``at``, or the first n, those whose width has become small."""
-        if at is None:
-            at = np.flatnonzero(self.width[:n] < DIGIT)
+    def value(self, n: int) -> np.ndarray:
+        """Where the codes of the first n blocks are, out of 2 ** BITS."""
+        self.part = self.width[:n] >> U(BITS)
+        return ((self.code[:n] - self.low[:n]) // self.part).astype(np.int32)
+
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
+        n = len(begin)
+        part = self.width[:n] >> U(BITS) if self.code is None else self.part
+        self.low[:n] += part * begin.astype(U)
+        np.multiply(part, size.astype(U), out=self.width[:n])
+        self.shift(np.flatnonzero(self.width[:n] < DIGIT))
+
+    def unknown(self, at: np.ndarray, kinds: np.ndarray, fresh: np.ndarray, known: np.ndarray, number: np.ndarray | None) -> np.ndarray:
+        """Of the blocks ``at``, numbers that order 0 with its ``kinds`` doesn't know: written if given, else read. ``known``: how many the block has
+        had; it is counted on."""
+        kinds, had = kinds[at], known[at]
+        m = had - kinds
+        ahead = (m * fresh[at] >> 6) + 1
+        part = self.width[at] // (m + ahead).astype(U)
+        if number is None:
+            pick = np.minimum((self.code[at] - self.low[at]) // part, (m + ahead - 1).astype(U)).astype(np.int64)
+            new = pick < ahead
+            number = np.where(new, had, kinds + pick - ahead)
         else:
-            at = at[self.width.take(at) < DIGIT]
-        low, width, used = self.low.take(at), self.width.take(at), self.used.take(at)
+            new = number == had
+        self.low[at] += part * np.where(new, 0, ahead + number - kinds).astype(U)
+        width = part * np.where(new, ahead, 1).astype(U)
+        self.width[at] = width
+        known[at] = had + new
+        self.shift(at[width < DIGIT])
+        return number
+
+    def shift(self, at: np.ndarray) -> None:
+        """Of the blocks ``at``, whose width has become small."""
+        low, width, used = self.low[at], self.width[at], self.used[at]
         width = np.where((low ^ low + width) < DIGIT, width, (U(0) - low) & U(DIGIT - U(1)))
         place = at * self.room + used
         if self.code is None:
             self.flat[place] = (low >> U(32)).astype(np.uint32)
         else:
-            self.code[at] = self.code.take(at) << U(32) | self.flat.take(place)
+            self.code[at] = self.code[at] << U(32) | self.flat[place]
         self.used[at] = used + 1
         self.low[at], self.width[at] = low << U(32), width << U(32)
 
@@ -187,142 +226,104 @@ class Coder:
             self.used += 1
 
 
-def numbered(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Ids (a column for each block) as numbers in order of first appearance in their block."""
-    n, steps = ids.shape[1], ids.shape[0]
-    key = (np.arange(n)[:, None] << 32 | ids.T).ravel()
-    key[(np.arange(steps)[None, :] >= lengths[:, None]).ravel()] = -1
-    kinds, first, back = np.unique(key, return_index=True, return_inverse=True)
-    order = np.argsort(first[kinds >= 0], kind="stable") + int((kinds < 0).sum())
-    lane = first[order] // steps
-    rank = np.zeros(len(kinds), np.int64)
-    rank[order] = np.arange(len(order)) - np.searchsorted(lane, np.arange(n))[lane]
-    return np.ascontiguousarray(rank[back].reshape(n, steps).T)
-
-
-class Rest:
-    """Numbers that order 0 doesn't know yet: those of the block since its renewal, or a new one, which an id follows."""
-
-    BITS = 12
-
-    def __init__(self, n: int, wide: np.ndarray) -> None:
-        self.known, self.fresh, self.wide = np.zeros(n, np.int64), np.full(n, 1 << self.BITS - 1), wide
-
-    def code(self, coder: Coder, at: np.ndarray, kinds: np.ndarray, number: np.ndarray | None, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the blocks ``at``, with ``kinds`` numbers in order 0: the numbers, the places of new ones in ``at``, and their ids. They are written
-        if given, else read."""
-        known, whole = self.known[at], 1 << self.BITS
-        chance = np.where(known == kinds, whole, self.fresh[at])
-        new = coder.value(at, self.BITS) < chance if number is None else number == known
-        coder.narrow(at, np.where(new, 0, chance), np.where(new, chance, whole - chance), self.BITS)
-        self.fresh[at] = np.clip(self.fresh[at] + np.where(new, whole - self.fresh[at], -self.fresh[at]) // 16, 16, whole - 16)
-        old = np.flatnonzero(~new)
-        found = known.copy()
-        found[old] = kinds[old] + coder.one_of(at[old], (known - kinds)[old], None if number is None else (number - kinds)[old])
-        new = np.flatnonzero(new)
-        to = at[new]
-        low = coder.one_of(to, np.full(len(to), 1 << 16), None if ids is None else ids[new] & 0xFFFF)
-        coder.shift(at, 0)
-        if self.wide.any():
-            more = np.flatnonzero(self.wide[to])
-            high = coder.one_of(to[more], np.full(len(more), 1 << 16), None if ids is None else ids[new][more] >> 16)
-            coder.shift(to[more], 0)
-            low[more] |= high << 16
-        self.known[to] += 1
-        return found, new, low
+def numbered(ids: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as numbers in order of first appearance, and the ids in that order. ``scratch``: 2 ** 16 places."""
+    if int(ids.max()) >= len(scratch):
+        kinds, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        rank = np.empty(len(kinds), np.int64)
+        rank[order] = np.arange(len(kinds))
+        return rank[back], kinds[order]
+    at = np.arange(len(ids))
+    scratch[ids[::-1]] = at[::-1]  # of repeated places the last value stays, which is the first one's
+    first = scratch[ids]
+    begins = first == at
+    return (np.cumsum(begins) - 1)[first], ids[begins]
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The digits of each block, in order. Blocks of 1 to BLOCK ids under 2 ** 32. The first digit says whether ids have over 16 bits."""
+    """Each block's ids in order of appearance (DICTIONARY says how wide and how many), and the digits of their numbers. Blocks of 1 to BLOCK ids
+    under 2 ** 32."""
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     lengths = np.array([len(blocks[k]) for k in order])
-    ids = np.zeros((lengths[0], len(order)), np.int64)
+    rows, heads, scratch = np.zeros((len(order), lengths[0]), np.int16), [], np.zeros(1 << 16, np.int64)
     for lane, k in enumerate(order):
-        ids[: len(blocks[k]), lane] = blocks[k]
-    wide = ids.max(0) >= 1 << 16
-    numbers = numbered(ids, lengths)
-    orders, coder = Orders(len(order), lengths[0]), Coder(len(order), np.zeros((len(order), 3 * lengths[0] + 8), np.uint32))
-    others, start = Rest(len(order), wide), 0
-    for t in range(lengths[0]):
-        n = int(np.searchsorted(-lengths, -t))  # blocks longer than t
+        rows[lane, : len(blocks[k])], kinds = numbered(blocks[k], scratch)
+        wide = bool(kinds.max() >= 1 << 16)
+        heads.append(DICTIONARY.pack(wide, len(kinds)) + kinds.astype("<u4" if wide else "<u2").tobytes())
+    numbers = np.ascontiguousarray(rows.T)
+    orders, coder = Orders(len(order), lengths[0]), Coder(len(order), np.zeros((len(order), 2 * lengths[0] + 8), np.uint32))
+    known, table = np.ones(len(order), np.int64), None
+    for t, n in enumerate(np.searchsorted(-lengths, -np.arange(lengths[0])).tolist()):  # n blocks are longer than t
         if t == 0 or t in RENEW:
-            table, start = Order0(numbers[:t, :n], n, False), t
-            cum, freq = table.find(numbers[t : min(max(2 * t, RENEW[0]), lengths[0]), :n], n)
+            table = Order0(numbers, t, n, table, False)
+            orders.renew(t, n)
+            begins = table.find(numbers[t : min([k for k in RENEW if k > t], default=BLOCK), :n])
+            sizes = begins & (1 << 14) - 1
+            begins >>= 14
         now = numbers[t, :n]
-        g2, g1, w2, w1 = orders.predict(n, t == 0)
-        w0 = (1 << WEIGHT) - w2 - w1
-        begin = w0 * cum[t - start, :n] + (w2 * (g2 < now) + w1 * (g1 < now) << ORDER0)
-        size = w0 * freq[t - start, :n] + (w2 * (g2 == now) + w1 * (g1 == now) << ORDER0)
+        orders.predict(n)
+        begin, size = orders.interval(now, begins[t - table.at, :n], sizes[t - table.at, :n])
         rest = np.flatnonzero(size == 0)
         if len(rest):
-            begin[rest] = w0[rest] * table.known[rest] + (w2[rest] + w1[rest] << ORDER0)
-            size[rest] = w0[rest] * (WHOLE0 - table.known[rest])
-        coder.narrow(slice(0, n), begin, size, BITS)
-        coder.shift(None, n)
+            begin[rest], size[rest] = orders.rest(rest, table.known)
+        coder.narrow(begin, size)
         if len(rest):
-            others.code(coder, rest, table.kinds[rest], now[rest], ids[t, rest])
-        orders.learn(now)
+            coder.unknown(rest, table.kinds, table.fresh, known, now[rest])
+        orders.learn(t, now)
     coder.close()
     out: list[bytes] = [b""] * len(order)
     for lane, k in enumerate(order):
-        out[k] = (b"\1" if wide[lane] else b"\0") + coder.digits[lane, : coder.used[lane]].astype("<u4").tobytes()
+        out[k] = heads[lane] + coder.digits[lane, : coder.used[lane]].astype("<u4").tobytes()
     return out
 
 
 def decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    """From (number of ids, digits) of each block its ids."""
+    """From (number of ids, bytes) of each block its ids."""
     order = sorted(range(len(coded)), key=lambda k: -coded[k][0])
     lengths = np.array([coded[k][0] for k in order])
-    digits = np.zeros((len(order), max(len(coded[k][1]) for k in order) // 4 + 8), np.uint32)
-    wide = np.array([coded[k][1][0] == 1 for k in order])
+    digits, kinds = np.zeros((len(order), max(len(coded[k][1]) for k in order) // 4 + 8), np.uint32), []
     for lane, k in enumerate(order):
-        own = np.frombuffer(coded[k][1], "<u4", offset=1)
+        wide, n = DICTIONARY.unpack_from(coded[k][1])
+        kinds.append(np.frombuffer(coded[k][1], "<u4" if wide else "<u2", n, DICTIONARY.size))
+        own = np.frombuffer(coded[k][1], "<u4", offset=DICTIONARY.size + kinds[-1].nbytes)
         digits[lane, : len(own)] = own
-    numbers, ids = np.zeros((lengths[0], len(order)), np.int64), np.zeros((len(order), lengths[0]), np.int64)
+    numbers = np.zeros((lengths[0], len(order)), np.int16)
     orders, coder = Orders(len(order), lengths[0]), Coder(len(order), digits)
-    others, lanes = Rest(len(order), wide), np.arange(len(order))
+    known, table, places = np.ones(len(order), np.int64), None, np.arange(len(order), dtype=np.int32) << ORDER0
     coder.open()
-    for t in range(lengths[0]):
-        n = int(np.searchsorted(-lengths, -t))
+    for t, n in enumerate(np.searchsorted(-lengths, -np.arange(lengths[0])).tolist()):
         if t == 0 or t in RENEW:
-            table = Order0(numbers[:t, :n], n, True)
-        g2, g1, w2, w1 = orders.predict(n, t == 0)
-        w0 = (1 << WEIGHT) - w2 - w1
-        # the guesses in order, with what they add; two guesses of one number are one
-        swap = g1 < g2
-        lo, hi = np.minimum(g1, g2), np.maximum(g1, g2)
-        both = lo == hi
-        w_lo, w_hi = np.where(swap, w1, w2) << ORDER0, np.where(swap, w2, w1) << ORDER0
-        c_lo, f_lo = table.find(lo, n)
-        c_hi, f_hi = table.find(hi, n)
-        a0 = w0 * c_lo
-        a1 = a0 + w0 * f_lo + np.where(both, w_lo + w_hi, w_lo)
-        b0 = np.where(both, a1, w0 * c_hi + w_lo)
-        b1 = np.where(both, a1, b0 + w0 * f_hi + w_hi)
-        v = coder.value(slice(0, n), BITS)
+            table = Order0(numbers, t, n, table, True)
+            orders.renew(t, n)
+        orders.predict(n)
+        g2, g1, w0 = orders.g2, orders.g1, orders.w0
+        # the guesses in order, with what they add; if both are of one number, their two intervals overlap and are that number's
+        lo, hi, all_of = np.minimum(g1, g2), np.maximum(g1, g2), (1 << WEIGHT) - w0 << ORDER0
+        at2, at1 = table.find(g2), table.find(g1)
+        at_lo, at_hi = np.minimum(at1, at2), np.maximum(at1, at2)
+        add = np.where(g1 < g2, orders.w1, orders.w2) << ORDER0
+        a0, b0 = w0 * (at_lo >> 14), w0 * (at_hi >> 14) + add
+        a1, b1 = a0 + w0 * (at_lo & (1 << 14) - 1) + add, w0 * ((at_hi >> 14) + (at_hi & (1 << 14) - 1)) + all_of
+        v = coder.value(n)
         past_lo, past_hi = v >= a1, v >= b1
-        spread = (v - np.where(past_lo, w_lo, 0) - np.where(past_hi, w_hi, 0)) // w0
-        now = table.slot.take((lanes[:n] << ORDER0) + np.clip(spread, 0, WHOLE0 - 1)).astype(np.int64)
-        now = np.where((v >= a0) & ~past_lo, lo, np.where((v >= b0) & ~past_hi, hi, now))
-        is_lo, is_hi = now == lo, now == hi
-        begin, f = table.find(now, n)
-        begin = w0 * begin + np.where(now > lo, w_lo, 0) + np.where(now > hi, w_hi, 0)
-        size = w0 * f + np.where(is_lo, w_lo, 0) + np.where(is_hi, w_hi, 0)
-        rest = np.flatnonzero(~(((v >= a0) & ~past_lo) | ((v >= b0) & ~past_hi)) & (now == table.kinds[:n]))
+        spread = ((v - past_lo * add - past_hi * (all_of - add)) / w0).astype(np.int32)
+        now = table.slot[places[:n] + np.minimum(spread, WHOLE0 - 1)]
+        now = np.where((v >= a0) > past_lo, lo, np.where((v >= b0) > past_hi, hi, now))
+        at = table.find(now)
+        begin, size = orders.interval(now, at >> 14, at & (1 << 14) - 1)
+        rest = np.flatnonzero(now == UNKNOWN)
         if len(rest):
-            begin[rest] = w0[rest] * table.known[rest] + (w2[rest] + w1[rest] << ORDER0)
-            size[rest] = w0[rest] * (WHOLE0 - table.known[rest])
-        coder.narrow(slice(0, n), begin, size, BITS)
-        coder.shift(None, n)
+            begin[rest], size[rest] = orders.rest(rest, table.known)
+        coder.narrow(begin, size)
         if len(rest):
-            number, new, found = others.code(coder, rest, table.kinds[rest], None, None)
-            now[rest] = number
-            ids[rest[new], number[new]] = found
+            now[rest] = coder.unknown(rest, table.kinds, table.fresh, known, None)
         numbers[t, :n] = now
-        orders.learn(now)
-    out: list[np.ndarray] = [ids[0, :0]] * len(order)
+        orders.learn(t, now)
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(order)
+    rows = np.ascontiguousarray(numbers.T)
     for lane, k in enumerate(order):
-        out[k] = ids[lane].take(numbers[: lengths[lane], lane])
+        out[k] = kinds[lane][rows[lane, : lengths[lane]]].astype(np.int64)
     return out
 
 
@@ -340,12 +341,54 @@ def unpack(payload: bytes) -> tuple[int, np.ndarray, bytes, int]:
     return n, np.frombuffer(rest, PIECE, pieces), rest[pieces * PIECE.itemsize :], crc
 
 
+class Numbers(dict):
+    """Numbers of byte strings by first appearance; new ones wait in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = k = len(self)
+        self.new.append(key)
+        return k
+
+
+class Runs:
+    """A run of ids for each number."""
+
+    def __init__(self) -> None:
+        self.flat, self.filled, self.kept = np.zeros(1 << 16, np.uint32), 0, 0
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        k, upto, total = self.kept, self.kept + len(lengths), self.filled + len(ids)
+        while len(self.start) < upto:
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        while len(self.flat) < total:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : total] = ids
+        self.count[k:upto], self.start[k:upto] = lengths, self.filled + np.cumsum(lengths) - lengths
+        self.kept, self.filled = upto, total
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all numbers, how many of them up to each number's end)"""
+        count = self.count[numbers]
+        upto = np.cumsum(count, dtype=np.int64)
+        at = np.repeat(self.start[numbers] - (upto - count), count)
+        at += np.arange(len(at))
+        return self.flat[at], upto
+
+
 class WordIds:
     """Ids of texts from the tokenizers library. Where its normalizer and splitter never join across white space, each distinct word is
-    encoded once; that is tried on PROBES pairs of words from the vocabulary, and if it fails texts are encoded whole."""
+    encoded once; that is tried on PROBES pairs of words from the vocabulary, and if it fails texts are encoded whole. Where they also cut a word's
+    last punctuation off and take A-Z as a-z, which is tried in the same way, words that differ in these share their letters' ids: of a word of
+    Latin letters alone (without marks, which may join a letter) the letters in lower case and the punctuation after them are encoded."""
+
+    TAIL = b".,;:!?"
 
     def __init__(self, path: str, end_id: int) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         vocabulary = sorted(self.tokenizer.get_vocab())
@@ -353,39 +396,89 @@ class WordIds:
         words = [x for x in ("".join(p.split()) for p in probes) if x]
         pairs = [(a, b, " \n\t\r\x0b\x0c"[k % 6] * (1 + k % 2)) for k, (a, b) in enumerate(zip(words, reversed(words), strict=True))]
         self.by_word = self._batch([a + s + b for a, b, s in pairs]) == [x + y for x, y in zip(self._batch([a for a, _, _ in pairs]), self._batch([b for _, b, _ in pairs]), strict=True)]
+        letters = [x for x in (*words, *(v.replace("</w>", "") for v in vocabulary[:: max(1, len(vocabulary) // (20 * PROBES))])) if self._letters(x.encode("utf-8", "replace"))]
+        marks = self.TAIL.decode()
+        tails = [marks[k % 6] * (1 + k % 4 // 3) + marks[k // 6 % 6] * (k % 2) for k in range(len(letters))]
+        cut = [x + y for x, y in zip(self._batch([x.encode().lower().decode() for x in letters]), self._batch(tails), strict=True)]
+        self.by_part = self.by_word and bool(letters) and all(self._batch([f(x) + y for x, y in zip(letters, tails, strict=True)]) == cut for f in (str, self._capital, self._capitals))
+        self.parts, self.part_ids = Numbers(), Runs()
+        # of a-z alone, words need no normalizer; a text of such words gives all their ids at once, each with its word's number
+        plain = [x for x in (y.encode().lower().decode() for y in letters if y.isascii())]
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        if not self.by_part or not plain or self._plain(plain)[0].tolist() != [i for own in self._batch(plain) for i in own]:
+            self.plain = None
         self.forget()
 
+    @staticmethod
+    def _letters(word: bytes) -> bool:
+        """Whether a word has Latin letters alone, also in lower case (that of U+0130 has a mark)."""
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode("utf-8", "replace")
+        return max(text) < "\u0250" and text.isalpha() and text.lower().isalpha()
+
+    @staticmethod
+    def _capital(x: str) -> str:
+        return x[0].encode().upper().decode() + x[1:]
+
+    @staticmethod
+    def _capitals(x: str) -> str:
+        return x.encode().upper().decode()
+
     def _batch(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in run(texts, add_special_tokens=False)]
 
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many of each word) of words of a-z."""
+        found = self.plain.encode(" ".join(words), add_special_tokens=False)
+        return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
+
     def forget(self) -> None:
-        self.memo: dict[bytes, int] = {b" ": 0}  # no word: the end of a text
-        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 1
-        self.flat[0] = self.end_id
-        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.count[0] = 1
+        self.memo, self.ids = Numbers(), Runs()
+        self.memo[b" "] = 0  # no word: the end of a text
+        self.ids.add(np.array([self.end_id], np.uint32), np.array([1]))
+        if len(self.parts) > REMEMBERED or not self.parts:
+            self.parts, self.part_ids = Numbers(), Runs()
+            self.parts[b""] = 0  # no punctuation
+            self.place = np.zeros(1, np.int64)
+            self.part_ids.add(np.zeros(0, np.uint32), np.array([0]))
 
     def add(self, words: list[bytes]) -> None:
-        ids = self._batch([w.decode("utf-8", "replace") for w in words])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        k, total = len(self.memo), int(lengths.sum())
-        while len(self.start) < k + len(words):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        while len(self.flat) < self.filled + total:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.filled : self.filled + total] = [x for own in ids for x in own]
-        self.count[k : k + len(words)] = lengths
-        self.start[k : k + len(words)] = self.filled + np.cumsum(lengths) - lengths
-        self.filled += total
-        self.memo.update(zip(words, range(k, k + len(words)), strict=True))
+        """Words' ids, from those of their parts."""
+        of = []
+        for word in words:
+            body = word.rstrip(self.TAIL)
+            if self.by_part and (body.isalpha() or self._letters(body)):
+                of += (self.parts[body.lower()], self.parts[word[len(body) :]])
+            else:
+                of += (self.parts[word], 0)
+        new, self.parts.new = self.parts.new, []
+        # the plain ones first, so parts have other places than numbers
+        is_plain = [self.plain is not None and w.isalpha() for w in new]
+        for kind in (True, False):
+            some = [w.decode("utf-8", "replace") for w, k in zip(new, is_plain, strict=True) if k == kind]
+            for at in range(0, len(some), 20_000):
+                if kind:
+                    self.part_ids.add(*self._plain(some[at : at + 20_000]))
+                else:
+                    ids = self._batch(some[at : at + 20_000])
+                    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+                    self.part_ids.add(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        first = len(self.parts) - len(new)
+        place = first + np.argsort(np.argsort(~np.array(is_plain, bool), kind="stable"))
+        self.place = np.concatenate([self.place, place])
+        ids, upto = self.part_ids.of(self.place[np.array(of, np.int64)])
+        self.ids.add(ids, np.diff(upto[1::2], prepend=0))
+        words.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of each text), with the end id after each text."""
         if not self.by_word:
             found = [[*own, self.end_id] for own in self._batch([t or "" for t in texts])]
             return np.array([x for own in found for x in own], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-        if len(self.memo) > REMEMBERED:
+        if len(self.memo) > REMEMBERED // 2:
             self.forget()
         words: list[bytes] = []
         ends = np.empty(len(texts), np.int64)
@@ -393,13 +486,10 @@ class WordIds:
             words += (text or "").encode("utf-8", "replace").split()
             words.append(b" ")
             ends[k] = len(words)
-        new = [w for w in set(words) if w not in self.memo]
-        for at in range(0, len(new), 20_000):
-            self.add(new[at : at + 20_000])
         own = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        count = self.count[own]
-        upto = np.cumsum(count)
-        ids = self.flat[np.repeat(self.start[own] - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)]
+        if self.memo.new:
+            self.add(self.memo.new)
+        ids, upto = self.ids.of(own)
         return ids, np.diff(upto[ends - 1], prepend=0) if len(texts) else np.zeros(0, np.int64)
 
 
@@ -409,7 +499,8 @@ _encoders: dict[tuple[str, int], WordIds] = {}
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None) -> None:
     """The ids of all texts, in ascending doc_id order, as blocks under ``path``."""
     spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # half of the usual number: a task that codes more blocks side by side takes less time for each
+    partitions = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -422,8 +513,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, parti
         def blocks(last: bool) -> Iterator[pd.DataFrame]:
             """Whole blocks of what is held; all of it at the end."""
             nonlocal held_ids, held_pieces, block
-            while len(held_ids) >= BLOCK * LANES or (last and len(held_ids)):
-                take = min(len(held_ids), BLOCK * LANES)
+            while len(held_ids) >= BLOCK * LANES * 3 // 2 or (last and len(held_ids)):
+                take = len(held_ids) if len(held_ids) < BLOCK * LANES * 3 // 2 else BLOCK * LANES
                 edges = np.append(np.arange(0, take, BLOCK), take)
                 upto = np.cumsum(held_pieces["n"].astype(np.int64))
                 first = upto - held_pieces["n"]
@@ -471,16 +562,31 @@ def times(a: int, b: int) -> int:
     return out
 
 
+@functools.cache
+def powers() -> list[int]:
+    """x to the power 32 * n modulo that polynomial, for the n of a block."""
+    out = [1 << 31]
+    word = 1 << 31 - 8
+    for _ in range(2):
+        word = times(word, word)
+    while len(out) <= BLOCK:
+        out.append(times(out[-1], word))
+    return out
+
+
 def crc_joined(parts: list[tuple[int, int]]) -> int:
     """crc32 of a whole from (bytes, crc32) of its parts in order."""
     out = 0
     for n, crc in parts:
-        power, square, k = 1 << 31, 1 << 23, n  # x^0 and x^8
-        while k:
-            if k & 1:
-                power = times(power, square)
-            square, k = times(square, square), k >> 1
-        out = times(out, power) ^ crc
+        if n % 4 == 0 and n <= 4 * BLOCK:
+            power = powers()[n // 4]
+        else:
+            power, square, k = 1 << 31, 1 << 23, n  # x^0 and x^8
+            while k:
+                if k & 1:
+                    power = times(power, square)
+                square, k = times(square, square), k >> 1
+        out = (times(out, power) if out else 0) ^ crc
     return out
 
 
@@ -490,8 +596,9 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), LANES):
-                some = batch.iloc[at : at + LANES]
+            step = -(-len(batch) // -(-len(batch) * 2 // (3 * LANES))) if len(batch) else 1
+            for at in range(0, len(batch), step):
+                some = batch.iloc[at : at + step]
                 found = [unpack(bytes(p)) for p in some["payload"]]
                 rows = []
                 for (n, pieces, _, crc), ids, part, block in zip(found, decode([(x[0], x[2]) for x in found]), some["part"], some["block"], strict=True):
@@ -512,7 +619,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 @F.pandas_udf(LongType())
 def joined(parts: pd.Series) -> pd.Series:
-    return pd.Series([crc_joined([(4 * int(p["n"]), int(p["crc"])) for p in own]) for own in parts], dtype="int64")
+    return pd.Series([crc_joined([(4 * int(p["n"]), int(p["crc"])) for p in own]) if len(own) > 1 else 0 for own in parts], dtype="int64")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:

@@ -1022,3 +1022,26 @@ def test_written_ids(spark, docs, odd, none):
         order = [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])]
         assert order == sorted(order, key=lambda d: (d is not None, d or 0))
     assert rangecoder.encoded(none, PUBLIC.path("word_bpe_49k.json")).count() == 0
+
+
+def test_words_share_their_letters_ids():
+    """Capitals and last punctuation are no new words for the library, except where they change what it does with the letters."""
+    own, lib = rangecoder.WordIds(PUBLIC.path("word_bpe_49k.json"), 2), library("word_bpe_49k.json")
+    assert own.by_part and not rangecoder.WordIds(PUBLIC.path("byte_bpe_50k.json"), 2).by_part
+    asked = []
+    batch, plain = own._batch, own._plain
+    own._batch, own._plain = lambda x: asked.extend(x) or batch(x), lambda x: asked.extend(x) or plain(x)
+    odd = ["\u0130;", "J\u030c.", "\u0958!", "\u00c9T\u00c9,", "don't!", "'TIS,", "x2.", "...", "a.b.", "\ufb01n?", "A\u030a:", "\u65e5\u672c.", "Stra\u00dfe;!", "<|endoftext|>.", "\u212a."]
+    texts = ["quoph Quoph, QUOPH! quoph?! quoph.", " ".join(odd), "".join(odd), None, "!quoph Quoph"]
+    ids, counts = own.encode(texts)
+    want = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == [x for t in want for x in t] and counts.tolist() == [len(t) for t in want]
+    assert asked.count("quoph") == 1 and not {"Quoph,", "QUOPH!", "quoph?!", "Quoph"} & set(asked)
+
+
+@pytest.mark.parametrize("lengths", [[1], [31, 32, 33, 4096], [64, 1023, 1025, 2, 1]])
+def test_blocks_of_lengths_about_a_renewal(lengths):
+    rnd = np.random.default_rng(len(lengths))
+    blocks = [np.where(rnd.random(n) < 0.5, rnd.integers(0, 9, n), rnd.integers(0, 2**32 if k % 2 else 2**16, n)) for k, n in enumerate(lengths)]
+    for want, got in zip(blocks, rangecoder.decode([(len(b), d) for b, d in zip(blocks, rangecoder.encode(blocks), strict=True)]), strict=True):
+        assert (want == got).all()
