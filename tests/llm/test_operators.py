@@ -1045,3 +1045,35 @@ def test_blocks_of_lengths_about_a_renewal(lengths):
     blocks = [np.where(rnd.random(n) < 0.5, rnd.integers(0, 9, n), rnd.integers(0, 2**32 if k % 2 else 2**16, n)) for k, n in enumerate(lengths)]
     for want, got in zip(blocks, rangecoder.decode([(len(b), d) for b, d in zip(blocks, rangecoder.encode(blocks), strict=True)]), strict=True):
         assert (want == got).all()
+
+
+def test_words_of_many_texts_are_encoded_once():
+    """Symbols after a word and accents don't lead to slow calls for each word, Arrow texts give what a list gives, and nothing is kept."""
+    import pyarrow as pa
+
+    own, lib = rangecoder.WordIds(PUBLIC.path("word_bpe_49k.json"), 2), library("word_bpe_49k.json")
+    asked = []
+    batch = own._batch
+    own._batch = lambda x: asked.extend(x) or batch(x)
+    texts = ["quoph$$$ \u00e9t\u00e9 na\u00efve%% quoph", None, "", " \t\n", "quoph#|&. \u00e9t\u00e9,\x1cx \u00c9T\u00c9 \u0149 \u00df\u0130 don't'$ a\u0301."]
+    want = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for given in (texts, pa.array(texts, pa.large_string()), pa.array(["x", *texts], pa.large_string())[1:]):
+        ids, counts = own.encode(given)
+        assert ids.tolist() == [x for t in want for x in t] and counts.tolist() == [len(t) for t in want]
+    assert not {"quoph", "quoph$$$", "quoph#|&.", "\u00e9t\u00e9", "na\u00efve%%", "na\u00efve"} & set(asked)
+    assert own.encode([])[0].tolist() == []
+
+
+def test_carry_runs_through_digits():
+    coder, lane = rangecoder.Coder(2, None), np.array([1])
+    coder.lanes, coder.written = [np.array([0, 1]), lane, lane], [np.array([5, 1], np.uint64), *[np.array([0xFFFFFFFF], np.uint64)] * 2]
+    coder.used, coder.carries = np.array([1, 3]), [(lane, np.array([3]))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.close()] == [[5, 0, 0], [2, 0, 0, 0, 0]]
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 40, 4096])
+def test_many_new_ids_between_renewals(kinds):
+    rnd = np.random.default_rng(kinds)
+    blocks = [rnd.permutation(rangecoder.BLOCK) % kinds, rnd.integers(0, kinds, rangecoder.BLOCK), np.sort(rnd.integers(0, kinds, 3000)), np.arange(kinds)]
+    for want, got in zip(blocks, rangecoder.decode([(len(b), d) for b, d in zip(blocks, rangecoder.encode(blocks), strict=True)]), strict=True):
+        assert (want == got).all()
