@@ -45,12 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 MOST_BROADCAST, SALTS = 200_000, 16
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input. Spark sizes what comes out of an explosion, or of a well-packed file, too low and would
+    broadcast it, so its joins are sort-merge joins by hint."""
+    return side.hint("merge")
+
+
 def looked_up(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``found``, which has one small row for each key, where few keys may hold most rows: rows stay where they are, or if
     ``found`` is too large for a broadcast are dealt by key and salt. ``found`` is counted, so it should be stored."""
     if found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         return rows.join(F.broadcast(found), key, how)
-    salted = found.withColumn("salt_of_join", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = merged(found.withColumn("salt_of_join", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     return rows.withColumn("salt_of_join", F.floor(F.rand(SEED) * SALTS).cast("int")).join(salted, [key, "salt_of_join"], how).drop("salt_of_join")
 
 

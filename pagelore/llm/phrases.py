@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import SALTS, SEED, looked_up, stored
+from pagelore.llm.common import SALTS, SEED, looked_up, merged, stored
 
 #: Pieces end at these; words are divided by blanks and tabs.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -147,7 +147,7 @@ def runs_of(docs: DataFrame, dictionary: DataFrame, most_words: int = MOST_WORDS
     docs = stored(docs.filter("text is not null").select(F.monotonically_increasing_id().alias("row"), "lang", words.alias("words")), "pieces")
     each = docs.select("row", "lang", F.posexplode("words").alias("at", "word")).withColumn("salt", F.floor(F.rand(SEED) * SALTS).cast("int"))
     salted = dictionary.select("lang", "word", F.col("id").cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = each.join(salted, ["lang", "word", "salt"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(0)).alias("id")))).alias("found"))
+    each = each.join(merged(salted), ["lang", "word", "salt"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(0)).alias("id")))).alias("found"))
     return each.select(F.col("found.id").alias("ids")).mapInArrow(_gather, "run binary")
 
 
@@ -311,18 +311,18 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, most_words
     score = F.expr(f"({FACTOR} * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
     found = found.withColumn("score", score).groupBy("high", "low", "a").agg(F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("cut"))
     longest = longer.groupBy("high", "low").agg(F.max("n").alias("longer"))
-    found = found.join(longest, ["high", "low"], "left").filter(F.col("longer").isNull() | (exact("longer") * 100 < exact("a") * COVERED))
+    found = found.join(merged(longest), ["high", "low"], "left").filter(F.col("longer").isNull() | (exact("longer") * 100 < exact("a") * COVERED))
     found = stored(found.select("high", "low", "a", "cut.*"), "cuts")
 
     ids = F.filter(F.array(*[part_of(LONGEST, k, 1)[0] for k in range(LONGEST)]), lambda x: x != 0)
     each = found.select("high", "low", F.posexplode(ids).alias("at", "word_key"))
     spelt = looked_up(each, stored(dictionary.select(F.shiftleft("id", 32).alias("word_key"), "word", "lang"), "spelling"), "word_key")
     spelt = spelt.groupBy("high", "low").agg(F.first("lang").alias("lang"), F.array_join(F.sort_array(F.collect_list(F.struct("at", "word")))["word"], " ").alias("phrase"))
-    found = found.join(spelt, ["high", "low"])
+    found = found.join(merged(spelt), ["high", "low"])
 
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # of each part of a language the first ones, then of those
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("high", "low"), F.lit(64))).orderBy(*order)
     found = found.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    return found.join(F.broadcast(totals) if totals.limit(most_words).count() < most_words else totals, "lang").select("lang", F.col("rank").cast("bigint"), "phrase", "a", "l", "r", F.col("total").alias("n"), F.col("score").cast("bigint"))
+    return found.join(F.broadcast(totals) if totals.limit(most_words).count() < most_words else merged(totals), "lang").select("lang", F.col("rank").cast("bigint"), "phrase", "a", "l", "r", F.col("total").alias("n"), F.col("score").cast("bigint"))

@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from pagelore.llm import phrases
+from pagelore.llm import common, phrases
 from pagelore.llm.queries import OP11_SQL, op11_phrases
 
 from conftest import SF_DIR, same
@@ -67,6 +68,21 @@ def test_against_brute_force(spark, most_words, bits, run, monkeypatch):
     assert found(phrases.collocations(frame, top=7, most_words=most_words, bits=bits)) == brute(rows, top=7)
 
 
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Small tables here, which Spark would broadcast without a hint; beyond its bounds the query must not leave that to Spark's sizes."""
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    rows = texts()
+    frame = spark.createDataFrame(rows, SCHEMA)
+    out = phrases.collocations(frame, most_words=0)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert found(out) == brute(rows)
+    words = spark.createDataFrame([("en", "a", 40, 1)], "lang string, word string, n bigint, id bigint")
+    assert "BroadcastExchange" not in phrases.runs_of(frame, words, 0)._jdf.queryExecution().executedPlan().toString()
+    looked = common.looked_up(spark.range(9).select(F.col("id").alias("k")), spark.range(3).select(F.col("id").alias("k")), "k")
+    assert "BroadcastExchange" not in looked._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.k for r in looked.collect()) == [0, 1, 2]
+
+
 def test_no_rows(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None, "", 1, "", "")], SCHEMA)).count() == 0
