@@ -97,7 +97,7 @@ def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", F.when(F.col("doc_id") % 7 == 1, short).when(F.col("doc_id") % 7 == 2, foreign).otherwise(F.col("whole")).alias("buffer"))
     head = payload.header(F.col("buffer"))
     words = payload.spans_of(F.col("buffer"), "words")
-    return docs.select("doc_id", head["page"].alias("page"), head["chars"].alias("chars"), head["words"].alias("words"), head["lines"].alias("lines"), payload.text_offset(head).alias("text_at"), F.element_at(words, -1)["length"].alias("last_word"), F.sha2(payload.text_of(F.col("buffer")), 256).alias("sha256"))
+    return docs.select("doc_id", head["page"].alias("page"), head["chars"].alias("chars"), head["words"].alias("words"), head["lines"].alias("lines"), payload.text_offset(head).alias("text_at"), F.try_element_at(words, F.lit(-1))["length"].alias("last_word"), F.sha2(payload.text_of(F.col("buffer")), 256).alias("sha256"))
 
 
 QUERIES = {f.__name__: f for f in (page_job, recognised_pages, outline_published, folder_search, payload_round_trip)}

@@ -3,13 +3,17 @@
 import random
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pagelore.operators import find, flow, graph, regions
+from pagelore.plans import jobs
 from pagelore.sources import corpus, payload
 from pagelore.sources.versions import Versions, apply_run, digest
 
+from conftest import same
+
 
 def test_components(spark):
     rnd = random.Random(1)
@@ -171,6 +175,18 @@ def test_payload(spark):
     assert [r["t"] for r in read([b"XXXX" + got[7][4:], got[7][:20] + b"\xff\xff\xff\x7f" + got[7][24:], got[7] + b"more"])] == [None, None, whole]
 
 
+ODD_TEXTS = ["", None, " \n ", "\n\n", "a", "one two\n\nthree é🙂 ", "\u0085x\u2003y\u3000\u00a0ß\u1680", "İx Σ ΑΣ", "tab\there\r\n"]
+
+
+def test_payload_of_odd_documents(spark, tmp_path):
+    """Texts without a word, whole, short and foreign; ids beyond 32 bits."""
+    rows = [(7 * (10 * k + j) + k % 7 + high, t) for j, t in enumerate(ODD_TEXTS) for k in range(4) for high in (0, 7 << 32)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same(jobs.payload_round_trip(spark, str(tmp_path)), con.sql(jobs.ORACLES["payload_round_trip"]))
+
+
 def test_find(spark):
     rows = spark.createDataFrame([(1, "The\r\nİthe Σthe", "x"), (2, None, "y"), (3, "", "z"), (None, "the" * 3, None)], "doc_id int, text string, other string")
     got = sorted(((r["doc_id"], r["char_start"], r["context"], r["context_at"]) for r in find.hits(rows, ["doc_id"], "the", around=2).collect()), key=str)
