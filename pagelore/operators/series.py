@@ -20,6 +20,18 @@ def upper_median(values: Column) -> Column:
     return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(F.get(F.array_sort(values), (F.size(values) / 2).cast("int")))
 
 
+def exact_sum(values: Column) -> Column:
+    """The sum of doubles, the same in whatever order rows come: as decimals of 18 places where all values and their sum fit those, else as doubles."""
+    exact = values.try_cast("decimal(38,18)")
+    return F.coalesce(F.when(F.count(exact) == F.count(values), F.try_sum(exact).cast("double")), F.sum(values))
+
+
+def one_decimal(value: Column) -> Column:
+    """A double to one decimal, halves up; what has no fraction stays as it is."""
+    moved = value * 10 + 0.5
+    return F.when(F.abs(moved) < 2.0**53, F.floor(moved).cast("double")).otherwise(moved) / 10
+
+
 KEPT = "user_id bigint, event_id bigint, label string, at_ms bigint, folded int"
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelore.operators import find, flow, graph, regions
-from pagelore.plans import jobs
+from pagelore.plans import history, jobs
 from pagelore.sources import corpus, payload
 from pagelore.sources.versions import Versions, apply_run, digest
 
@@ -187,6 +187,40 @@ def test_payload_of_odd_documents(spark, tmp_path):
     same(jobs.payload_round_trip(spark, str(tmp_path)), con.sql(jobs.ORACLES["payload_round_trip"]))
 
 
+def hundredths(rnd, ties):
+    """Values of a user whose mean lies halfway between two decimals."""
+    n = 10 * rnd.randint(1, 9)
+    values = [rnd.randint(0, 20_000) for _ in range(n - 1)]
+    return [*values, (5 * n - sum(values)) % (10 * n) + (0 if ties else 1)]
+
+
+def test_mean_confidence_of_any_order(spark, tmp_path):
+    """Sums of doubles hang on the order of rows; halves would go either way."""
+    rnd, rows, want = random.Random(5), [], {}
+    for user in range(400):
+        values = hundredths(rnd, user % 2)
+        rnd.shuffle(values)
+        rows += [(user, v / 100, "view", user * 1000 + k) for k, v in enumerate(values)]
+        total, n = sum(values), len(values)
+        want[user] = (total + 5 * n) // (10 * n) / 10
+    frame = spark.createDataFrame(rows, "user_id bigint, value double, event_type string, event_id bigint").withColumn("ts", F.timestamp_seconds("event_id"))
+    for k, parts in enumerate((1, 7)):
+        folder = tmp_path / str(k)
+        frame.orderBy(F.xxhash64("event_id")).repartition(parts).write.parquet(str(folder / "events.parquet"))
+        got = history.mean_confidence(spark, str(folder)).collect()
+        assert {r["user_id"]: r["mean"] for r in got} == want == {r["user_id"]: r["weighted"] for r in got}
+
+
+def test_mean_confidence_of_odd_values(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    users = [[1.5, None, 2.25, None], [None], [nan, 1.0, 2.0], [inf, 1.0], [1e300, 1e300], [-0.05], [1e-30, 0.15], [0.35, 0.35, None]]
+    rows = [(u, v, None if k == 1 else "view", 10 * u + k) for u, vs in enumerate(users) for k, v in enumerate(vs)]
+    spark.createDataFrame(rows, "user_id bigint, value double, event_type string, event_id bigint").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    same(history.mean_confidence(spark, str(tmp_path)), con.sql(history.ORACLES["mean_confidence"]))
+
+
 def test_find(spark):
     rows = spark.createDataFrame([(1, "The\r\nİthe Σthe", "x"), (2, None, "y"), (3, "", "z"), (None, "the" * 3, None)], "doc_id int, text string, other string")
     got = sorted(((r["doc_id"], r["char_start"], r["context"], r["context_at"]) for r in find.hits(rows, ["doc_id"], "the", around=2).collect()), key=str)
