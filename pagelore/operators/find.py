@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from pagelore.functions import spans
+from pagelore.functions import text as T
 from pagelore.functions.text import CONTEXT
 
 #: Rows of a batch that is given out.
@@ -81,3 +84,21 @@ def places(docs: DataFrame, keys: list[str], pattern: str, match_case: bool = Fa
 def hits(docs: DataFrame, keys: list[str], pattern: str, match_case: bool = False, around: int = CONTEXT) -> DataFrame:
     """A row for each match: keys, char_start, char_length, context, context_at."""
     return places(docs, keys, pattern, match_case, around)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in spans.slices(batch):
+            many, start, length, found = spans.runs(part["text"])
+            row = pa.array(np.repeat(np.arange(part.num_rows, dtype=np.int32), many))
+            names = [c for c in part.schema.names if c != "text"]
+            numbers = [pa.array(x, pa.int32()) for x in (spans.numbers_in(many).astype(np.int32), start, length)]
+            yield pa.RecordBatch.from_arrays([*(part[c].take(row) for c in names), *numbers, found], names=[*names, "k", "start", "length", "key"])
+
+
+def words(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each maximal run without white space in ``text``: keys, k (its number from 0), start, length, key (the run, folded)."""
+    # folding keeps each code point's place
+    rows = docs.select(*keys, T.fold(F.col("text")).alias("text"))
+    more = [StructField(c, IntegerType()) for c in ("k", "start", "length")] + [StructField("key", StringType())]
+    return rows.mapInArrow(_words, StructType([f for f in rows.schema if f.name != "text"] + more))

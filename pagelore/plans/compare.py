@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelore.functions import text as T
 from pagelore.operators import compare as C
+from pagelore.operators import find
 from pagelore.sources import corpus
 
 
@@ -22,8 +23,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each document with their spans."""
-    found = corpus.documents(spark, sf_dir).select("doc_id", F.posexplode(T.matches(F.col("text"), f"{T.NOT_SPACE}+")).alias("k", "m"))
-    return found.select("doc_id", "k", F.col("m.start").alias("start"), F.col("m.length").alias("length"), T.fold(F.col("m.text")).alias("key"))
+    return find.words(corpus.documents(spark, sf_dir), ["doc_id"])
 
 
 def page_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

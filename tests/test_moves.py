@@ -7,8 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pagelore.functions import spans
+from pagelore.functions import text as T
 from pagelore.operators import find, flow, graph, regions
-from pagelore.plans import history, jobs
+from pagelore.plans import compare, history, jobs
 from pagelore.sources import corpus, payload
 from pagelore.sources.versions import Versions, apply_run, digest
 
@@ -187,6 +189,25 @@ def test_payload_of_odd_documents(spark, tmp_path):
     same(jobs.payload_round_trip(spark, str(tmp_path)), con.sql(jobs.ORACLES["payload_round_trip"]))
 
 
+def test_words_with_spans(spark, monkeypatch):
+    """One pass in Arrow batches, cut anywhere between texts, against the column functions of before."""
+    monkeypatch.setattr(spans, "AT_ONCE", 8)
+    rows = spark.createDataFrame([(k, None if k % 2 else "key", t) for k, t in enumerate(ODD_TEXTS)], "doc_id bigint, other string, text string")
+    want = rows.select("doc_id", "other", F.posexplode(T.matches(F.col("text"), f"{T.NOT_SPACE}+")).alias("k", "m"))
+    want = want.select("doc_id", "other", "k", F.col("m.start").alias("start"), F.col("m.length").alias("length"), T.fold(F.col("m.text")).alias("key"))
+    got = find.words(rows.repartition(2), ["doc_id", "other"])
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert find.words(rows.limit(0), ["doc_id"]).count() == 0
+
+
+def test_word_tokens_is_one_pass(spark, tmp_path):
+    """No array of a text's words, gaps and running sums is worked out in interpreted steps."""
+    spark.createDataFrame([(1, "a b", "s")], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = compare.word_tokens(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambdafunction" not in plan
+
+
 def hundredths(rnd, ties):
     """Values of a user whose mean lies halfway between two decimals."""
     n = 10 * rnd.randint(1, 9)
