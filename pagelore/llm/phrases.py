@@ -6,8 +6,8 @@ sorts them by 16-bit digits and counts runs; the keys with their counts are deal
 only packed where both its parts of n - 1 words may be frequent: they are looked up by hash in a bit table of fixed size, built from the
 frequent keys. A wrong bit costs work and changes nothing, as every count is a full one.
 
-The dictionary is broadcast up to MOST_WORDS words; beyond that the words of the texts are joined with it, salted. A word's language is
-part of its entry, so a key needs no language.
+Of the dictionary the MOST_WORDS most frequent words are broadcast; where there are more, only the words of the texts that these leave over are
+joined with the rest, and their numbers are put into the texts. A word's language is part of its entry, so a key needs no language.
 
 Defined cases: null text is empty, null lang is `und`; a text without words adds nothing; repeated rows count each; ties go to the
 greater count, then the phrase in byte order; an empty table gives an empty result; other columns are ignored.
@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import SALTS, SEED, looked_up, merged, stored
+from pagelore.llm.common import looked_up, merged, stored
 
 #: Pieces end at these; words are divided by blanks and tabs.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -33,8 +33,8 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 LONGEST, LEAST, FACTOR, COVERED, TOP = 4, 30, 2_000_000, 80, 2000
 
 #: Words of a dictionary that is broadcast, words whose counts a task holds, numbers of a stored run of text (readers take 4,096 rows at once),
-#: n-grams that are sorted at once, bits of the table of frequent keys.
-MOST_WORDS, HELD, RUN, SORTED, BITS = 500_000, 500_000, 1 << 11, 1 << 20, 1 << 26
+#: n-grams that are sorted at once, bits of the table of frequent keys, coded texts that are given out at once.
+MOST_WORDS, HELD, RUN, SORTED, BITS, CODED_ROWS = 500_000, 500_000, 1 << 11, 1 << 20, 1 << 26, 500
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -104,15 +104,26 @@ class Runs:
         return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], names=["run"])
 
 
+def _known(dictionary: DataFrame) -> dict[str, dict[str, int]]:
+    known: dict[str, dict[str, int]] = {}
+    for batch in dictionary.select("lang", "word", "id").toArrow().to_batches(10_000):
+        for lang, word, k in zip(*(batch[c].to_pylist() for c in ("lang", "word", "id")), strict=True):
+            known.setdefault(lang, {})[word] = k
+    return known
+
+
+def words_and_ends(text: str) -> list[str]:
+    """The words of a text; a piece's end becomes a word that no text has."""
+    return [w for w in text.replace("\n", " \n ").split(" ") if w]
+
+
 def _encode(dictionary: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, runs = dictionary.value, Runs()
         for batch in batches:
             for lang, text in texts(batch):
                 get = known.get(lang, {}).get
-                # a piece's end becomes a word that no text has
-                ids = [get(w, 0) for w in text.replace("\n", " \n ").split(" ") if w]
-                runs.add(np.array(ids, dtype=np.int32))
+                runs.add(np.array([get(w, 0) for w in words_and_ends(text)], dtype=np.int32))
                 if runs.size > RUN:
                     yield runs.out()
         if runs.size:
@@ -121,34 +132,68 @@ def _encode(dictionary: Broadcast):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+CODED = pa.schema([("row", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("rest", pa.list_(pa.struct([("at", pa.int32()), ("word", pa.string())])))])
+
+
+def _encode_in_part(dictionary: Broadcast):
+    """Numbers of the words in ``dictionary``; all other words with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dictionary.value
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for row, (lang, text) in zip(batch["row"].to_pylist(), texts(batch), strict=True):
+                get, words = known.get(lang, {}).get, words_and_ends(text)
+                ids = [get(w, 0) for w in words]
+                rest = [{"at": k, "word": w} for k, (w, n) in enumerate(zip(words, ids, strict=True)) if not n and w != "\n"]
+                for x, value in zip(out, (row, lang, np.array(ids, "<i4").tobytes(), rest), strict=True):
+                    x.append(value)
+                if len(out[0]) == CODED_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, CODED, strict=True)], schema=CODED)
+                    out = [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, CODED, strict=True)], schema=CODED)
+
+    return run
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of coded texts with the numbers that were found for their other words."""
     runs = Runs()
     for batch in batches:
-        lists = batch["ids"]
-        for k in range(batch.num_rows):
-            runs.add(lists[k].values.to_numpy(zero_copy_only=False).astype(np.int32))
+        for ids, at, number in zip(*(batch[c] for c in ("ids", "at", "id")), strict=True):
+            ids = np.frombuffer(ids.as_buffer(), "<i4").astype(np.int32)
+            if at.is_valid:
+                ids[at.values.to_numpy()] = number.values.to_numpy()
+            runs.add(ids)
             if runs.size > RUN:
                 yield runs.out()
     if runs.size:
         yield runs.out()
 
 
+def most_frequent(dictionary: DataFrame, most: int) -> int:
+    """The least count at which no more than ``most`` words are found so often or more often."""
+    sizes = dictionary.groupBy("n").agg(F.count("*").alias("size"))
+    # a row for each count that occurs: their number grows with the root of the texts' words
+    reached = sizes.withColumn("words", F.sum("size").over(Window.orderBy(F.desc("n"))))
+    return reached.filter(F.col("words") > most).agg(F.max("n")).first()[0] + 1
+
+
 def runs_of(docs: DataFrame, dictionary: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """run: binary, little-endian 32-bit numbers of the words of the texts, 0 for all that ends a piece."""
-    docs = docs.select(lang_of().alias("lang"), "text")
+    context, docs = docs.sparkSession.sparkContext, docs.select(lang_of().alias("lang"), "text")
     if dictionary.count() <= most_words:
-        known: dict[str, dict[str, int]] = {}
-        for batch in dictionary.select("lang", "word", "id").toArrow().to_batches(10_000):
-            for lang, word, k in zip(*(batch[c].to_pylist() for c in ("lang", "word", "id")), strict=True):
-                known.setdefault(lang, {})[word] = k
-        return docs.mapInArrow(_encode(docs.sparkSession.sparkContext.broadcast(known)), "run binary")
-    plain = F.translate("text", UPPER + ENDS + "\t", LOWER + "\n" * len(ENDS) + " ")
-    words = F.filter(F.split(F.replace(plain, F.lit("\n"), F.lit(" \n ")), " "), lambda w: w != "")
-    docs = stored(docs.filter("text is not null").select(F.monotonically_increasing_id().alias("row"), "lang", words.alias("words")), "pieces")
-    each = docs.select("row", "lang", F.posexplode("words").alias("at", "word")).withColumn("salt", F.floor(F.rand(SEED) * SALTS).cast("int"))
-    salted = dictionary.select("lang", "word", F.col("id").cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = each.join(merged(salted), ["lang", "word", "salt"], "left").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("id", F.lit(0)).alias("id")))).alias("found"))
-    return each.select(F.col("found.id").alias("ids")).mapInArrow(_gather, "run binary")
+        return docs.mapInArrow(_encode(context.broadcast(_known(dictionary))), "run binary")
+    # the most frequent words are broadcast; of the others none is frequent enough to fill a task
+    least = most_frequent(dictionary, most_words)
+    known = context.broadcast(_known(dictionary.filter(F.col("n") >= least)))
+    coded = docs.filter("text is not null").select(F.monotonically_increasing_id().alias("row"), "lang", "text")
+    coded = stored(coded.mapInArrow(_encode_in_part(known), "row bigint, lang string, ids binary, rest array<struct<at:int,word:string>>"), "coded")
+    rest = coded.select("row", "lang", F.explode("rest").alias("x")).select("row", "lang", "x.at", "x.word")
+    others = dictionary.filter(F.col("n") < least).select("lang", "word", F.col("id").cast("int").alias("id"))
+    found = rest.join(merged(others), ["lang", "word"]).groupBy("row").agg(F.collect_list(F.struct("at", "id")).alias("found"))
+    whole = coded.select("row", "ids").join(merged(found), "row", "left")
+    return whole.select("ids", F.col("found.at").alias("at"), F.col("found.id").alias("id")).mapInArrow(_filled, "run binary")
 
 
 def radix_order(columns: list[np.ndarray]) -> np.ndarray:

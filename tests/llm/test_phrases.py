@@ -83,6 +83,22 @@ def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
     assert sorted(r.k for r in looked.collect()) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("most_words", [1, 9, 40])
+def test_rest_of_a_large_dictionary(spark, most_words):
+    """Frequent words are numbered where the texts are; a join sees only what these leave over."""
+    rows = texts()
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    counts = phrases.stored(phrases.word_counts(frame), "wordcounts")
+    dictionary = phrases.numbered(counts.filter("n >= 3"))
+    assert dictionary.count() > 40
+    least = phrases.most_frequent(dictionary, most_words)
+    assert dictionary.filter(F.col("n") >= least).count() <= most_words < dictionary.filter(F.col("n") >= least - 1).count()
+    pieces = lambda runs: collections.Counter(p for r in runs.collect() for p in re.split(b"(?:0 )+", b"".join(b"%d " % k for k in memoryview(bytes(r["run"])).cast("i"))))
+    whole, part = pieces(phrases.runs_of(frame, dictionary)), pieces(phrases.runs_of(frame, dictionary, most_words))
+    whole.pop(b"", None), part.pop(b"", None)
+    assert whole == part
+
+
 def test_no_rows(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None, "", 1, "", "")], SCHEMA)).count() == 0
