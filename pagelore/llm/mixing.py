@@ -21,14 +21,19 @@ the small ones share one weight; an empty table gives an empty result; a column
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Mapping
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import stored
+
 #: Rows of a block, slots of a period, sources that a mix may have, rows that a digest range should hold.
 BLOCK, PERIOD, MOST_SOURCES, RANGE_ROWS = 4, 1000, 10_000, 20_000
-ADDED = ("block", "slot", "place", "in_mix")
+ADDED, PLACED = ("block", "slot", "place", "in_mix"), ("place", "in_mix")
 
 
 def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -87,10 +92,24 @@ def softened(sizes: Mapping[str | None, int], power: float) -> dict[str | None,
     return {s: float(n) ** power for s, n in sizes.items()}
 
 
-def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int = PERIOD, power: float = 0.8) -> DataFrame:
-    """All rows of ``df`` with block (its number in the source), slot, place (slot * block + row in the block: the order of the mix) and
-    in_mix: whether the slot comes before the end of the mix. Without weights, they are row counts to the power ``power``."""
-    spark, sizes = df.sparkSession, counts(df, source)
+@dataclass(frozen=True)
+class Plan:
+    """Of a mix: rows and slots of each source, its slots in a period, the period's length, and the slot at which the mix ends."""
+
+    sizes: dict[str, int]
+    slots: dict[str, int]
+    place: dict[str, list[int]]
+    length: int
+    until: int
+
+    def rows(self, block: int) -> int:
+        """Rows in the mix."""
+        periods, rest = divmod(self.until, self.length) if self.slots else (0, 0)
+        return sum(min(self.sizes[s], block * (periods * n + bisect_left(self.place[s], rest))) for s, n in self.slots.items())
+
+
+def planned(df: DataFrame, weights: Mapping[str | None, float] | None, source: str, block: int, period: int, power: float) -> Plan:
+    sizes = counts(df, source)
     if weights is None:
         wanted = softened(sizes, power)
     else:
@@ -101,6 +120,14 @@ def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source
     for t, (s, _) in enumerate(plan):
         place[s].append(t)
     until = end_of_mix({s: -(-sizes[s] // block) for s in slots}, slots, place, length) if plan else 0
+    return Plan(sizes, slots, place, length, until)
+
+
+def mix(df: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", key: str = "doc_id", block: int = BLOCK, period: int = PERIOD, power: float = 0.8) -> DataFrame:
+    """All rows of ``df`` with block (its number in the source), slot, place (slot * block + row in the block: the order of the mix) and
+    in_mix: whether the slot comes before the end of the mix. Without weights, they are row counts to the power ``power``."""
+    spark, plan = df.sparkSession, planned(df, weights, source, block, period, power)
+    sizes, slots, place, length, until = plan.sizes, plan.slots, plan.place, plan.length, plan.until
 
     # what comes from outside stays in one struct, so that its names meet no others
     kept = [c for c in df.columns if c not in ADDED]
@@ -138,3 +165,25 @@ def interleaved(df: DataFrame, weights: Mapping[str | None, float] | None = None
     mixed = mix(whole, weights, "of_source", "of_key", **how)
     mixed = mixed if weights is None else mixed.filter("in_mix")
     return mixed.orderBy("place").select("whole.*")
+
+
+def placed(df: DataFrame, source: str = "source", block: int = BLOCK, period: int = PERIOD, power: float = 0.8) -> DataFrame:
+    """``df``, which holds what ``interleaved`` gave without weights, with place, a row's number from 0 in the order of the mix, and in_mix, whether the
+    mix is still at its weights there. The order is that of the files that ``df`` is read from, else that of its partitions: a reader deals
+    files out by size, so the order of rows alone doesn't outlast a table. No row is moved."""
+    kept = F.struct(*[df[c] for c in df.columns if c not in PLACED]).alias("kept")
+    try:
+        of_file = df.metadataColumn("_metadata")
+        rows = df.select(kept, of_file["file_path"].alias("file"), of_file["row_index"].alias("at"))
+    except AnalysisException:  # not read from files
+        at = F.monotonically_increasing_id()
+        rows = stored(df.select(kept, at.alias("at")), "placed")
+        rows = rows.select("kept", F.lpad(F.shiftright("at", 33).cast("string"), 10, "0").alias("file"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    # a row for each file
+    number = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"part-(\d+)", 1).try_cast("bigint")
+    starts = rows.groupBy("file").agg(F.count("*").alias("n"))
+    ahead = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    rows = rows.join(F.broadcast(starts), "file").withColumn("place", F.col("before") + F.col("at"))
+    until = planned(df, None, source, block, period, power).rows(block)
+    return rows.select("kept.*", "place", (F.col("place") < until).alias("in_mix"))

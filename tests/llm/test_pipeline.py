@@ -104,6 +104,25 @@ def test_mixing_stage(stages):
     assert kept == first
 
 
+def test_place_in_the_mix(stages, spark, tmp_path):
+    """The mix comes out of the last stage, which reads files in any order: of equal sources, and of some that run out early."""
+    before, after, result = stages[3][0], stages[4][1], corpus_pipeline.run(spark, SF_DIR)
+    want = [(k, r["doc_id"], r["in_mix"]) for k, r in enumerate(sorted(mixing.mix(before).collect(), key=lambda r: r["place"]))]
+    for frame in (after, result):
+        assert sorted((r["place"], r["doc_id"], r["in_mix"]) for r in frame.collect()) == want
+    rnd, read = random.Random(4), []
+    skewed = [(k, "x" * rnd.randint(0, 300), "en", rnd.choice("aaaaaaaabbc") if k % 50 else None, 1) for k in range(3000)]
+    docs = spark.createDataFrame(skewed, before.schema).repartition(7)
+    want = [(k, r["doc_id"], r["in_mix"]) for k, r in enumerate(sorted(mixing.mix(docs).collect(), key=lambda r: r["place"]))]
+    assert 0 < sum(w[2] for w in want) < len(want)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF_DIR)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    for rows in (spark.read.parquet(str(tmp_path / "mixed")), mixed):
+        got = corpus_pipeline.shard(spark, rows, SF_DIR)
+        assert got.columns == [*docs.columns, "place", "in_mix", "slot", "shard"]
+        assert sorted((r["place"], r["doc_id"], r["in_mix"]) for r in got.collect()) == want
+
+
 def test_sharding_stage(stages):
     before, after, _ = stages[4]
     assert ids(before) == ids(after)
